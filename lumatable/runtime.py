@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once a Spark application; to be called before Python functions run there."""
+    context = spark.sparkContext
+    if getattr(context, "_lumatable_shipped", None) == context.applicationId:
+        return
+    root, folder = Path(__file__).resolve().parent, tempfile.mkdtemp(prefix="lumatable-code-")
+    atexit.register(shutil.rmtree, folder, True)
+    with zipfile.ZipFile(f"{folder}/lumatable_code.zip", "w") as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.write(source, source.relative_to(root.parent))
+    context.addPyFile(f"{folder}/lumatable_code.zip")
+    context._lumatable_shipped = context.applicationId
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
