@@ -65,8 +65,8 @@ def number_us(v: Column) -> Column:
         scaled = v - F.lit(epoch * unit)
         us = scaled * (MICROS // unit) if unit <= MICROS else _div(scaled, unit // MICROS)
         out = out.when((v >= (low + epoch) * unit) & (v < min((high + epoch) * unit, 2**63 - 1)), us)
-    stamped = v.between(20_120_101_000_000, 20_251_231_235_959)
-    longer = v.between(20_120_101_000_000_000, 20_251_231_235_959_999)
-    dated = v.between(20_120_101, 20_251_231)
-    milli = _digits_us(_div(v, 1000)) + (v % 1000) * 1000
-    return out.when(stamped, _digits_us(v)).when(longer, milli).when(dated, _digits_us(v * MICROS))
+    stamp = F.when(v.between(20_120_101_000_000, 20_251_231_235_959), v).when(v.between(20_120_101_000_000_000, 20_251_231_235_959_999), _div(v, 1000)).when(v.between(20_120_101, 20_251_231), v * MICROS)
+    millis = F.when(v > 10**16, v % 1000).otherwise(0)
+    # a lambda, so that the code of the calendar is made once and not for each use of the stamp
+    digits = F.transform(F.array(stamp), _digits_us)[0] + millis * 1000
+    return F.coalesce(out, F.when(stamp.isNotNull() & out.isNull(), digits))
