@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lumatable.llm import history, percentiles, survivors
+from lumatable.llm import history, packing, percentiles, survivors, tokens
 
 QUERIES = {
     "p2_percentiles": percentiles.quality_percentiles,
     "p5_found": history.found,
     "p6_found": survivors.found,
+    "p8_ids": tokens.ids,
+    "p9_containers": packing.containers,
 }
 
 SQL: dict[str, str] = {name: text() for m in (percentiles, survivors) for name, text in m.SQL.items()}
