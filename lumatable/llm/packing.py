@@ -84,14 +84,14 @@ def pack(sizes: DataFrame, limits: Limits = Limits(), group_items: int = GROUP_I
         n = waiting.count()
         groups = max(1, -(-n // group_items))
 
-        def group(items: pd.DataFrame, turn: int = turn) -> pd.DataFrame:
+        def group(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
             items = items.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
             at = best_fit(items.n_tokens.to_numpy(), limits)
             by = items.groupby(at).n_tokens
-            name = f"{turn}-{items.group_id.iloc[0]}-"
+            name = f"{items.turn.iloc[0]}-{key[0]}-"
             return pd.DataFrame({"doc_id": items.doc_id, "piece": items.piece, "n_tokens": items.n_tokens, "container_id": [name + str(x) for x in at], "first_token": (by.cumsum() - items.n_tokens).astype("int32"), "filled": by.transform("sum").astype("int32")})
 
-        hashed = waiting.withColumn("group_id", F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(groups)).cast("int"))
+        hashed = waiting.withColumn("group_id", F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(groups)).cast("int")).withColumn("turn", F.lit(turn))
         packed = materialize(hashed.groupBy("group_id").applyInPandas(group, schema), "packed")
         last = groups == 1 or turn == ROUNDS - 1
         good = packed if last else packed.where(F.col("filled") >= int(c * WELL_FILLED))
