@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Characters that surround a value without belonging to it: white space of any kind, NUL, byte-order mark, quotes.
-_SPACE = r"\s\x00\x1c-\x1f\x85   -     　﻿"
+_SPACE = r"\s\x00\x1c-\x1f\u0085   -     　﻿"
 _QUOTES = r"\"'‘’“”«»`"
 
 
