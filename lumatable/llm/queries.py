@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumatable.llm import history, packing, percentiles, survivors, tokens
+from lumatable.llm import history, packing, percentiles, pii, survivors, tokens
 
 QUERIES = {
     "p2_percentiles": percentiles.quality_percentiles,
@@ -10,6 +10,8 @@ QUERIES = {
     "p6_found": survivors.found,
     "p8_ids": tokens.ids,
     "p9_containers": packing.containers,
+    "p10_found": pii.found,
+    "p10_redacted": pii.redacted,
 }
 
 SQL: dict[str, str] = {name: text() for m in (percentiles, survivors) for name, text in m.SQL.items()}
