@@ -72,7 +72,7 @@ def offset_table(spark: SparkSession) -> DataFrame:
             a, b = (int(datetime(y, 1, 1, tzinfo=UTC).timestamp()) for y in (year, year + 1))
             first = max(0, bisect_right(local_ends, a) - 1)
             rows.append((zone, year, [x for x in spans[first:] if x[0] < b]))
-    return spark.createDataFrame(rows, "zone string, local_year int, spans array<struct<begin:bigint,until:bigint,offset:int>>")
+    return spark.createDataFrame(rows, "zone string, local_year int, __spans array<struct<begin:bigint,until:bigint,offset:int>>")
 
 
 def resolve_zone(df: DataFrame, local_s: str, zone: str, out: str) -> DataFrame:
@@ -84,10 +84,10 @@ def resolve_zone(df: DataFrame, local_s: str, zone: str, out: str) -> DataFrame:
     keyed = df.withColumn("__zone", F.lower(F.col(zone))).withColumn("__year", F.when(F.col("__zone").isNotNull() & year.isNotNull(), F.greatest(F.lit(YEARS[0]), F.least(F.lit(YEARS[1] - 1), year))))
     spans = F.broadcast(offset_table(df.sparkSession).withColumnRenamed("zone", "__zone").withColumnRenamed("local_year", "__year"))  # the public zones: a fixed size
     t = F.col(local_s)
-    holding = F.filter("spans", lambda x: (x["begin"] <= t) & (t < x["until"]))
-    passed = F.filter("spans", lambda x: x["until"] <= t)
+    holding = F.filter("__spans", lambda x: (x["begin"] <= t) & (t < x["until"]))
+    passed = F.filter("__spans", lambda x: x["until"] <= t)
     offset = F.when(F.size(holding) > 0, F.array_max(F.transform(holding, lambda x: x["offset"]))).otherwise(F.try_element_at(passed, F.lit(-1))["offset"])
-    return keyed.join(spans, ["__zone", "__year"], "left").withColumn(out, F.when(F.col("spans").isNotNull(), offset)).drop("__zone", "__year", "spans")
+    return keyed.join(spans, ["__zone", "__year"], "left").withColumn(out, F.when(F.col("__spans").isNotNull(), offset)).drop("__zone", "__year", "__spans")
 
 
 _OFFSET = r"[+-](?:0?\d|1[0-8])(?::?[0-5]\d)?"
