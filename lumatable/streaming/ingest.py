@@ -18,7 +18,7 @@ def commit_batch(spark: SparkSession, target: str, key: str):
     def run(batch: DataFrame, number: int) -> None:
         folder = f"{target}/batch={number}"
         drop_path(spark, folder)
-        known = spark.read.schema(batch.schema).parquet(target) if _exists(spark, target) else None
+        known = spark.read.schema(batch.schema).option("recursiveFileLookup", "true").parquet(target) if _exists(spark, target) else None
         first = batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*batch.columns), F.struct(*[c for c in batch.columns if c != key])).alias("r")).select("r.*")
         fresh = first if known is None else first.join(known.select(key).distinct(), key, "left_anti")
         fresh.select(*batch.columns).write.mode("overwrite").parquet(folder)
@@ -40,7 +40,7 @@ def start(spark: SparkSession, source: str, schema: str, target: str, checkpoint
 
 
 def accepted(spark: SparkSession, target: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).parquet(target)
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(target)
 
 
 def daily_counts(events: DataFrame, at: str, late: str = "1 hour") -> DataFrame:
