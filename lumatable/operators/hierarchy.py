@@ -25,9 +25,10 @@ def _chains(active: DataFrame, rounds: Rounds) -> DataFrame | None:
     children = active.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("n_children"), F.min("id").alias("child"))
     below = active.join(children, "id", "left").where("n_children is null or n_children = 1")
     links = rounds.keep(below.select("id", "parent", "name", "extra", F.coalesce("child", "id").alias("to"), F.when(F.col("n_children").isNull(), 0).otherwise(1).cast("bigint").alias("steps"), F.col("n_children").isNull().alias("at_leaf")))
-    if links.where("at_leaf").isEmpty():
+    leaves, unbranched = links.agg(F.count_if("at_leaf"), F.count_if(~F.col("at_leaf"))).first()
+    if not leaves:
         return None
-    while True:
+    while unbranched:
         far = links.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("steps").alias("steps2"), F.col("at_leaf").alias("at_leaf2"))
         # a link whose target was not found points at a branching node and leads to no leaf
         links = rounds.keep(
@@ -35,11 +36,11 @@ def _chains(active: DataFrame, rounds: Rounds) -> DataFrame | None:
             .where("at_leaf or to2 is not null")
             .select("id", "parent", "name", "extra", F.when(F.col("at_leaf"), F.col("to")).otherwise(F.col("to2")).alias("to"), F.when(F.col("at_leaf"), F.col("steps")).otherwise(F.col("steps") + F.col("steps2")).alias("steps"), (F.col("at_leaf") | F.col("at_leaf2")).alias("at_leaf"), F.col("at_leaf").alias("done"))
         )
-        left = links.where("not at_leaf")
         # links that go round a cycle never reach a leaf; all others do within as many doublings as the longest chain has bits
-        if links.where("at_leaf and not done").isEmpty() or left.isEmpty():
-            break
+        fresh, unbranched = links.agg(F.count_if(F.col("at_leaf") & ~F.col("done")), F.count_if(~F.col("at_leaf"))).first()
         links = links.drop("done")
+        if not fresh:
+            break
     return links.where("at_leaf").select("id", "parent", "name", "extra", F.col("to").alias("leaf"), "steps")
 
 
