@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Characters that surround a value without belonging to it: white space of any kind, NUL, byte-order mark, quotes.
-_SPACE = r"\s\x00\x1c-\x1f\u0085   -     　﻿"
-_QUOTES = r"\"'‘’“”«»`"
+_SPACE = r"\s\x00\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+_QUOTES = r"\"'\u2018\u2019\u201c\u201d\u00ab\u00bb`"
 
 
 def strip_space(c: Column) -> Column:

@@ -86,6 +86,20 @@ class Rounds:
         self.old = self.old[cut:]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over as many tasks as there are cores, for costly Python work on a few small files; inputs of enough splits stay as they are."""
+    spark = df.sparkSession
+    cores, paths = spark.sparkContext.defaultParallelism, df.inputFiles()
+    if not paths or len(paths) >= cores:
+        return df
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    conf, splits = spark._jsc.hadoopConfiguration(), 0
+    for p in paths:  # fewer than there are cores
+        target = spark._jvm.org.apache.hadoop.fs.Path(p)
+        splits += -(-target.getFileSystem(conf).getFileStatus(target).getLen() // split)
+    return df if splits >= cores else df.repartition(cores)
+
+
 def broadcast_within(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """`df` with a broadcast hint where a count proves it has at most `rows` rows; else as it is, for a shuffled join."""
     small = df.limit(rows + 1).count() <= rows
