@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumatable.runtime import hot_keys, materialize, salted_lookup, ship, table
+from lumatable.runtime import hot_keys, materialize, salted_lookup, ship, spread, table
 
 #: Characters the rolling hash covers; one in so many borders, and one in so many other places, become cuts; longest chunk.
 WINDOW, BORDER_EVERY, OTHER_EVERY, LONGEST = 16, 24, 1_024, 4_096
@@ -184,7 +184,7 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                     start, before = end, sure
             yield pd.DataFrame(rows, columns=["doc_id", "text_key", "seq", "h", "chunk", "sure", "sure_before"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(split, "doc_id bigint, text_key binary, seq int, h binary, chunk string, sure boolean, sure_before boolean")
+    return spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInPandas(split, "doc_id bigint, text_key binary, seq int, h binary, chunk string, sure boolean, sure_before boolean")
 
 
 def encode_corpus(docs: DataFrame, ranks: str | None = None) -> DataFrame:
@@ -224,7 +224,7 @@ def count_tokens(docs: DataFrame, ranks: str | None = None) -> DataFrame:
     def count(texts: pd.Series) -> pd.Series:
         return pd.Series([len(x) for x in vocabulary.get().encode_ordinary_batch(["" if t is None else t for t in texts], num_threads=1)], dtype="int32")
 
-    return docs.select("doc_id", count(F.col("text")).alias("n_tokens")).groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens"))
+    return spread(docs.select("doc_id", "text")).select("doc_id", count(F.col("text")).alias("n_tokens")).groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens"))
 
 
 def ids(spark: SparkSession, sf_dir: str) -> DataFrame:
