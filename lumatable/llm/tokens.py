@@ -190,10 +190,11 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
 def encode_corpus(docs: DataFrame, ranks: str | None = None) -> DataFrame:
     """(doc_id, ids) of documents (doc_id, text), without special tokens; their strings in a text are ordinary text.
 
-    Empty and null texts give an empty list. Repeated rows come out once; a doc_id with different texts has a row for each.
+    Empty and null texts give an empty list. Repeated rows come out once; a doc_id with different texts has a row for each;
+    rows without a doc_id are dropped.
     """
     vocabulary = Vocabulary(docs.sparkSession, ranks)
-    chunks = materialize(chunk_rows(docs), "chunks")
+    chunks = materialize(chunk_rows(docs.where("doc_id is not null")), "chunks")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = vocabulary.get()
