@@ -8,13 +8,11 @@ before are added; so a group with a third of all rows is spread over as many tas
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumatable.functions.text import camera_key
-from lumatable.runtime import table
+from lumatable.runtime import materialize, table
 
 #: Percentiles asked for, and value ranges a group is cut into.
 PERCENTS = (1, 10, 50, 80, 90, 99)
@@ -35,10 +33,6 @@ def combine(partials: DataFrame, keys: list[str]) -> DataFrame:
     return partials.groupBy(*keys, "value").agg(F.sum("n").alias("n"))
 
 
-def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda x, y: x & y, (a[k].eqNullSafe(b[f"__{k}"]) for k in keys))
-
-
 def percentiles(counts: DataFrame, keys: list[str], by: str | None = None, percents: tuple[int, ...] = PERCENTS, ranges: int = RANGES) -> DataFrame:
     """n_values and p01, p10, ... of each group of a partial result: the smallest value whose cumulative count reaches
     ceil(p * n / 100). `by` names the key whose columns are cut into ranges separately. Null keys form groups of their own."""
@@ -46,18 +40,20 @@ def percentiles(counts: DataFrame, keys: list[str], by: str | None = None, perce
     cut = F.percentile_approx("value", F.array(*map(F.lit, steps)), F.lit(1_000)).alias("cuts")
     if by:
         cuts = counts.groupBy(F.col(by).alias("__by")).agg(cut)  # a row of `ranges` numbers for each column measured
-        placed = counts.join(F.broadcast(cuts), counts[by].eqNullSafe(F.col("__by")), "left").drop("__by")
+        placed = counts.join(F.broadcast(cuts), counts[by].eqNullSafe(F.col("__by")), "left")
     else:
         placed = counts.crossJoin(F.broadcast(counts.agg(cut)))  # one row
-    placed = placed.withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
-    within = Window.partitionBy(*keys, "part").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # a struct of the keys equals itself whatever is null in it, so all steps below share one partitioning
+    placed = placed.select(F.struct(*keys).alias("g"), F.size(F.filter("cuts", lambda c: c < F.col("value"))).alias("part"), "value", "n")
+    within = Window.partitionBy("g", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = placed.withColumn("upto", F.sum("n").over(within))
-    sums = placed.groupBy(*keys, "part").agg(F.sum("n").alias("of_part"))
-    order = Window.partitionBy(*keys).orderBy("part")
-    offsets = sums.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("part").alias("__part"), (F.sum("of_part").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("of_part")).alias("before"), F.sum("of_part").over(Window.partitionBy(*keys)).alias("n_values"))
-    ranked = running.join(offsets, _same(running, offsets, keys) & (running["part"] == F.col("__part"))).withColumn("upto", F.col("upto") + F.col("before"))
+    sums = running.groupBy("g", "part").agg(F.max("upto").alias("of_part"))
+    order = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = sums.select("g", "part", (F.sum("of_part").over(order) - F.col("of_part")).alias("before"), F.sum("of_part").over(Window.partitionBy("g")).alias("n_values"))
+    ranked = running.join(offsets, ["g", "part"]).withColumn("upto", F.col("upto") + F.col("before"))
     reaches = lambda p: F.col("upto") >= F.call_function("div", F.col("n_values") * p + 99, F.lit(100))
-    return ranked.groupBy(*keys).agg(F.first("n_values").alias("n_values"), *(F.min(F.when(reaches(p), F.col("value"))).alias(f"p{p:02d}") for p in percents))
+    picked = ranked.groupBy("g").agg(F.first("n_values").alias("n_values"), *(F.min(F.when(reaches(p), F.col("value"))).alias(f"p{p:02d}") for p in percents))
+    return picked.select("g.*", "n_values", *(f"p{p:02d}" for p in percents))
 
 
 KEYS = ["camera_model", "quality_version", "day", "field_name"]
@@ -78,7 +74,7 @@ def daily_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query p2_percentiles: by camera, version and day, and overall (day null), the percentiles of both sharpness readings."""
-    daily = daily_partials(spark, sf_dir)
+    daily = materialize(daily_partials(spark, sf_dir), "partials")
     overall = combine(daily, ["camera_model", "quality_version", "field_name"]).withColumn("day", F.lit(None).cast("date"))
     scoped = daily.withColumn("scope", F.lit("day")).unionByName(overall.withColumn("scope", F.lit("overall")))
     return percentiles(scoped, ["scope", *KEYS], by="field_name").withColumn("day", F.col("day").cast("string"))
