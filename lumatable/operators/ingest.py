@@ -47,11 +47,11 @@ def plan_destinations(files: DataFrame, taken: DataFrame, rounds: int = 50) -> D
     """(id, destination): YYYY/MM/DD/name, or Unsorted/name for undated files, numbered _1, _2, ... where a name is taken.
 
     `taken` has the destinations in use. A numbered name can itself be taken, so those left over try the next number; each round
-    is a join, and only files whose name was not free go on.
+    is a join, and only files whose name was not free go on. Files without an id or name are dropped.
     """
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("created_at") / 86_400).cast("int"))
     folder = F.when(F.col("created_at").isNotNull(), F.date_format(day, "yyyy/MM/dd")).otherwise("Unsorted")
-    waiting = files.select("id", folder.alias("folder"), S.stem(F.col("filename")).alias("stem"), F.regexp_extract("filename", r"(\.[^.]*)$", 1).alias("ext"), F.lit(0).alias("n"))
+    waiting = files.where("id is not null and filename is not null").select("id", folder.alias("folder"), S.stem(F.col("filename")).alias("stem"), F.regexp_extract("filename", r"(\.[^.]*)$", 1).alias("ext"), F.lit(0).alias("n"))
     used, done = taken.select("destination"), None
     for _ in range(rounds):
         name = F.concat("folder", F.lit("/"), "stem", F.when(F.col("n") == 0, "").otherwise(F.concat(F.lit("_"), F.col("n").cast("string"))), "ext")
