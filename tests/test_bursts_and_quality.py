@@ -113,5 +113,5 @@ def test_references_and_grades(spark):
     assert Q.aesthetic_rank(a, 3.3).first().n_total == 100
     from lumatable.functions.scalars import grade, percent_of
 
-    g = spark.createDataFrame([(55,), (79,), (70,), (129,)], "e double").select(grade(percent_of(F.col("e"), F.lit(116.0))).alias("g"))
+    g = spark.createDataFrame([(55.0,), (79.0,), (70.0,), (129.0,)], "e double").select(grade(percent_of(F.col("e"), F.lit(116.0))).alias("g"))
     assert [r.g for r in g.collect()] == ["Bad", "Fair", "Poor", "Good"]
