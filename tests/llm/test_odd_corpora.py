@@ -1,5 +1,7 @@
 """Every corpus query on empty tables, and on tables with null rows, repeated rows and extra columns of common names."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 import variants
 
@@ -11,10 +13,13 @@ def folders(spark, tmp_path_factory):
     return {k: variants.write(spark, tmp_path_factory.mktemp(k), k) for k in ("empty", "odd")}
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
-def test_query_runs(spark, folders, name):
-    assert queries.QUERIES[name](spark, folders["empty"]).count() == 0
-    queries.QUERIES[name](spark, folders["odd"]).write.format("noop").mode("overwrite").save()
+def test_queries_run(spark, folders):
+    def run(name):
+        assert queries.QUERIES[name](spark, folders["empty"]).count() == 0, name
+        queries.QUERIES[name](spark, folders["odd"]).write.format("noop").mode("overwrite").save()
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(run, sorted(queries.QUERIES)))
 
 
 @pytest.mark.parametrize("name", ["p5_found", "p6_found", "p8_ids", "p9_containers", "p10_found"])
