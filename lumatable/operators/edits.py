@@ -81,8 +81,10 @@ def tag_images(image_tags: DataFrame, ids: DataFrame, tag_id: int) -> DataFrame:
 
 
 def untag_images(image_tags: DataFrame, ids: DataFrame, tag_ids: DataFrame) -> DataFrame:
-    pairs = ids.select(F.col("id").alias("image_id")).distinct().crossJoin(F.broadcast(tag_ids.select("tag_id").distinct().limit(10_000)))  # the names a person chose
-    return image_tags.join(pairs, ["image_id", "tag_id"], "left_anti")
+    images = ids.select(F.col("id").alias("image_id"), F.lit(True).alias("__i")).distinct()
+    tags = tag_ids.select("tag_id", F.lit(True).alias("__t")).distinct()
+    marked = image_tags.join(images, "image_id", "left").join(tags, "tag_id", "left")
+    return marked.where("__i is null or __t is null").select(*image_tags.columns)
 
 
 def delete_unused_tags(tags: DataFrame, image_tags: DataFrame, names: list[str]) -> DataFrame:
@@ -118,9 +120,9 @@ def ensure_tag_path(tags: DataFrame, path: str) -> DataFrame:
 def add_to_album(members: DataFrame, album_id: int, ids: DataFrame) -> DataFrame:
     """Album members (album_id, image_id, position) with new ones at the end, in order of id; members already there stay."""
     fresh = ids.select(F.lit(album_id).cast("bigint").alias("album_id"), F.col("id").alias("image_id")).distinct().join(members, ["album_id", "image_id"], "left_anti")
-    last = members.where(F.col("album_id") == album_id).agg((F.coalesce(F.max("position"), F.lit(-1)) + 1).alias("next"))
-    placed = fresh.withColumn("rn", F.row_number().over(Window.partitionBy("album_id").orderBy("image_id")) - 1).crossJoin(F.broadcast(last))
-    return members.unionByName(placed.select("album_id", "image_id", (F.col("next") + F.col("rn")).cast("bigint").alias("position")))
+    after = members.where(F.col("album_id") == album_id).agg(F.coalesce(F.max("position"), F.lit(-1))).first()[0] + 1
+    placed = fresh.withColumn("rn", F.row_number().over(Window.partitionBy("album_id").orderBy("image_id")) - 1)
+    return members.unionByName(placed.select("album_id", "image_id", (F.col("rn") + after).cast("bigint").alias("position")))
 
 
 def remove_from_album(members: DataFrame, album_id: int, ids: DataFrame) -> DataFrame:

@@ -31,7 +31,8 @@ def new_by_hash(candidates: DataFrame, library: DataFrame) -> DataFrame:
 def insert_new(target: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The target after inserting rows with new hashes, and a row (inserted, duplicates)."""
     fresh = new_by_hash(rows, target)
-    counts = fresh.agg(F.count(F.lit(1)).alias("inserted")).crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n")))).select("inserted", (F.col("n") - F.col("inserted")).alias("duplicates"))
+    n, inserted = rows.count(), fresh.count()
+    counts = rows.sparkSession.createDataFrame([(inserted, n - inserted)], "inserted bigint, duplicates bigint")
     return target.unionByName(fresh, allowMissingColumns=True), counts
 
 

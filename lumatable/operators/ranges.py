@@ -50,5 +50,6 @@ def name_day(ranges: DataFrame, name: str, day_start: int) -> DataFrame:
     day = ranges.sparkSession.createDataFrame([(day_start,)], "day_start bigint")
     hit = of_days(day, ranges)
     renamed = ranges.join(hit.select("range_id", F.lit(True).alias("hit")), "range_id", "left").withColumn("name", F.when(F.col("hit"), F.lit(name)).otherwise(F.col("name"))).drop("hit")
-    new = day.join(hit, "day_start", "left_anti").crossJoin(F.broadcast(ranges.agg((F.coalesce(F.max("range_id"), F.lit(0)) + 1).alias("range_id")))).select("range_id", F.lit(name).alias("name"), F.col("day_start").alias("start_date"), (F.col("day_start") + DAY_S - 1).alias("end_date"))
+    fresh = ranges.agg(F.coalesce(F.max("range_id"), F.lit(0))).first()[0] + 1
+    new = day.join(hit, "day_start", "left_anti").select(F.lit(fresh).cast("bigint").alias("range_id"), F.lit(name).alias("name"), F.col("day_start").alias("start_date"), (F.col("day_start") + DAY_S - 1).alias("end_date"))
     return renamed.select("range_id", "name", "start_date", "end_date").unionByName(new)

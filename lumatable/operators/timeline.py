@@ -136,11 +136,11 @@ def rail_marks(weights: list[tuple[float, float]], gap: float) -> list[float]:
 def evict(files: DataFrame, most_bytes: int) -> DataFrame:
     """Cached files (path, bytes, accessed) to delete, least recently used first, until the rest fits; by running sums in ranges of
     access time, so that no single task sorts the whole cache."""
-    total = files.agg(F.sum("bytes").alias("total"))
+    total = files.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     hours = files.withColumn("slot", F.floor(F.unix_timestamp("accessed") / 3600))
     by_slot = hours.groupBy("slot").agg(F.sum("bytes").alias("slot_bytes"))
     before = by_slot.withColumn("before", F.sum("slot_bytes").over(Window.orderBy("slot")) - F.col("slot_bytes")).select("slot", "before")
     within = Window.partitionBy("slot").orderBy("accessed", "path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = hours.join(before, "slot").withColumn("freed_before", F.col("before") + F.sum("bytes").over(within) - F.col("bytes"))
-    return run.crossJoin(F.broadcast(total)).where(F.col("freed_before") < F.col("total") - most_bytes).select("path", "bytes", "accessed")
+    return run.where(F.col("freed_before") < total - most_bytes).select("path", "bytes", "accessed")
 

@@ -108,9 +108,8 @@ def broadcast_within(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFra
 
 def hot_keys(df: DataFrame, key: str, share: float = 0.01) -> DataFrame:
     """Keys that hold more than `share` of all rows; at most 1 / `share` rows come out, which bounds their broadcast."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
-    total = df.agg((F.count(F.lit(1)) * F.lit(share)).alias("least"))
-    return counts.join(F.broadcast(total), F.col("n_rows") > F.greatest(F.col("least"), F.lit(1.0)), "inner").select(key, "n_rows")
+    least = max(1.0, df.count() * share)
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > least)
 
 
 def salted_lookup(facts: DataFrame, lookup: DataFrame, key: str, hot: DataFrame, salts: int = 32, spread: str | None = None) -> DataFrame:
