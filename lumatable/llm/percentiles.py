@@ -38,11 +38,9 @@ def percentiles(counts: DataFrame, keys: list[str], by: str | None = None, perce
     ceil(p * n / 100). `by` names the key whose columns are cut into ranges separately. Null keys form groups of their own."""
     steps = [i / ranges for i in range(1, ranges)]
     cut = F.percentile_approx("value", F.array(*map(F.lit, steps)), F.lit(1_000)).alias("cuts")
-    if by:
-        cuts = counts.groupBy(F.col(by).alias("__by")).agg(cut)  # a row of `ranges` numbers for each column measured
-        placed = counts.join(F.broadcast(cuts), counts[by].eqNullSafe(F.col("__by")), "left")
-    else:
-        placed = counts.crossJoin(F.broadcast(counts.agg(cut)))  # one row
+    of = F.col(by) if by else F.lit(0)
+    cuts = counts.groupBy(of.alias("__by")).agg(cut)  # a row of `ranges` numbers for each column measured
+    placed = counts.withColumn("__of", of).join(F.broadcast(cuts), F.col("__of").eqNullSafe(F.col("__by")), "left")
     # a struct of the keys equals itself whatever is null in it, so all steps below share one partitioning
     placed = placed.select(F.struct(*keys).alias("g"), F.size(F.filter("cuts", lambda c: c < F.col("value"))).alias("part"), "value", "n")
     within = Window.partitionBy("g", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
