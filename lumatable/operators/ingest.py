@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumatable.functions import scalars as S
 from lumatable.runtime import materialize
 
+#: Files, or numbers of a name, that one task puts in order.
+PART_ROWS = 100_000
+
 
 def duplicate_key():
     return [F.lower("filename").alias("k_name"), F.col("size_bytes").alias("k_size"), F.col("created_at").alias("k_at")]
@@ -44,27 +47,55 @@ def group_map(files: DataFrame) -> DataFrame:
     return keyed.join(several, ["dir", "stem"], "left").select("path", F.when(F.col("n").isNotNull(), key).alias("group_key")).distinct()
 
 
-def plan_destinations(files: DataFrame, taken: DataFrame, rounds: int = 50) -> DataFrame:
+def _running(df: DataFrame, keys: list[str], order: list[str], value: Column, part: Column) -> DataFrame:
+    """`df` with `total`, the sum of `value` up to each row in `order` within `keys`. `part` rises with the order: rows are summed within
+    parts, then over the parts' sums, so that one key spreads over many tasks."""
+    cut = df.withColumns({"part": part, "value": value})
+    sums = cut.groupBy(*keys, "part").agg(F.sum("value").alias("total"))
+    before = sums.select(*keys, "part", F.coalesce(F.sum("total").over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = F.sum("value").over(Window.partitionBy(*keys, "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return cut.withColumn("total", within).join(before, [*keys, "part"]).withColumn("total", F.col("total") + F.col("before")).drop("part", "value", "before")
+
+
+def _id_part(df: DataFrame, rows: int) -> Column:
+    """Ranges of ids of about `rows` rows each, 256 at most; where they are cut changes no result."""
+    n = min(256, -(-df.count() // rows))
+    bounds = sorted(set(df.approxQuantile("id", [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
+    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= F.col("id").cast("double"))) if bounds else F.lit(0)
+
+
+def plan_destinations(files: DataFrame, taken: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """(id, destination): YYYY/MM/DD/name, or Unsorted/name for undated files, numbered _1, _2, ... where a name is taken.
 
-    `taken` has the destinations in use. A numbered name can itself be taken, so those left over try the next number; each round
-    is a join, and only files whose name was not free go on. Files without an id or name are dropped.
+    `taken` has the destinations in use. Files of one wanted name are served in order of id: the first gets the name itself unless it is
+    taken, the others the free numbers in order. A number is free unless that name is taken or is the wanted name of another file; names
+    numbered from different wanted names are never equal, so all are placed in one step, however many want the same name. An id with
+    several names has a place for each. Files without an id or name are dropped.
     """
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("created_at") / 86_400).cast("int"))
     folder = F.when(F.col("created_at").isNotNull(), F.date_format(day, "yyyy/MM/dd")).otherwise("Unsorted")
-    waiting = files.where("id is not null and filename is not null").select("id", folder.alias("folder"), S.stem(F.col("filename")).alias("stem"), F.regexp_extract("filename", r"(\.[^.]*)$", 1).alias("ext"), F.lit(0).alias("n"))
-    used, done = taken.select("destination"), None
-    for _ in range(rounds):
-        name = F.concat("folder", F.lit("/"), "stem", F.when(F.col("n") == 0, "").otherwise(F.concat(F.lit("_"), F.col("n").cast("string"))), "ext")
-        asked = waiting.withColumn("destination", name)
-        first = asked.groupBy("destination").agg(F.min("id").alias("id")).join(used, "destination", "left_anti")
-        got = materialize(first.select("id", "destination"), "planned")
-        done = got if done is None else done.unionByName(got)
-        used = used.unionByName(got.select("destination"))
-        waiting = materialize(waiting.join(got.select("id"), "id", "left_anti").withColumn("n", F.col("n") + 1), "waiting")
-        if waiting.isEmpty():
-            break
-    return done
+    named = files.where("id is not null and filename is not null")
+    named = materialize(named.select("id", F.concat(folder, F.lit("/"), S.stem(F.col("filename"))).alias("head"), F.regexp_extract("filename", r"(\.[^.]*)$", 1).alias("ext")).distinct(), "named")
+    key = ["head", "ext"]
+    used = taken.where("destination is not null").select("destination").distinct()
+    wanted = named.groupBy(*key).agg(F.count(F.lit(1)).alias("n_files")).withColumn("destination", F.concat(*key))
+    wanted = wanted.join(used.withColumn("full", F.lit(1)), "destination", "left").select(*key, "destination", "n_files", F.coalesce("full", F.lit(0)).alias("full"))
+
+    # the numbers that are not free, of names that more than one file wants or that are taken
+    split = used.unionByName(wanted.select("destination")).distinct().withColumn("ext", F.regexp_extract("destination", r"(\.[^.]*)$", 1)).withColumn("base", F.expr("left(destination, length(destination) - length(ext))"))
+    split = split.withColumn("digits", F.regexp_extract("base", r"_([1-9][0-9]{0,17})\z", 1)).where("digits != ''")
+    closed = split.select(F.expr("left(base, length(base) - length(digits) - 1)").alias("head"), "ext", F.col("digits").cast("bigint").alias("k")).join(wanted.where("n_files + full > 1").select(*key, "n_files"), key)
+    reach = closed.groupBy(*key).agg((F.max("n_files") + F.count(F.lit(1))).alias("reach"))  # no number above it is needed
+    closed = _running(closed.join(reach, key).where("k <= reach").select(*key, "k"), key, ["k"], F.lit(1), F.floor(F.col("k") / part_rows))
+    closed = closed.groupBy(*key, (F.col("k") - F.col("total")).alias("pos")).agg(F.count(F.lit(1)).alias("n"))  # pos: free numbers below k
+
+    # the file at place pos, 0 for the name itself, passes over the closed numbers with fewer free ones below them
+    ranked = _running(named, key, ["id"], F.lit(1), _id_part(named, part_rows)).join(wanted.select(*key, "full"), key)
+    asked = ranked.select("id", *key, (F.col("total") - 1 + F.col("full")).alias("pos"), F.lit(0).cast("bigint").alias("n"))
+    both = asked.unionByName(closed.withColumn("id", F.lit(None).cast(named.schema["id"].dataType))).withColumn("closes", F.col("id").isNull())
+    placed = _running(both, key, ["pos", "closes"], F.col("n"), F.floor(F.col("pos") / part_rows)).where("not closes")
+    number = F.when(F.col("pos") == 0, "").otherwise(F.concat(F.lit("_"), (F.col("pos") + F.col("total")).cast("string")))
+    return placed.select("id", F.concat("head", number, "ext").alias("destination"))
 
 
 def relink(missing: DataFrame, found: DataFrame) -> DataFrame:

@@ -67,6 +67,27 @@ def test_destinations_relink_and_check(spark):
     assert rows(ingest.library_check(imgs, spark.createDataFrame([("/b",), ("/c",), ("/d",)], "path string"))) == [("/a", "missing"), ("/b", "found"), ("/d", "new")]
 
 
+def test_many_files_of_one_name_all_get_a_place(spark):
+    """Against one by one numbering, real names first."""
+    names = ["I.jpg"] * 130 + ["I_3.jpg", "I_4.jpg", "I_4.jpg", "I_07.jpg", "I_120.jpg", "J", "J", "J_1", "a.b.c", "a.b.c", ".x", ".x", "K.jpg"]
+    files = [(1_000 - 7 * i, n, None) for i, n in enumerate(names)] + [(1_000, "I.jpg", None), (1_000, "I.jpg", None), (None, "I.jpg", None), (5_000, None, None)]
+    used = ["Unsorted/I.jpg", "Unsorted/I_1.jpg", "Unsorted/I_9.jpg", "Unsorted/I_10.jpg", "Unsorted/I_90000.jpg", "Unsorted/K.jpg", "Unsorted/K_1.jpg", None]
+    taken = spark.createDataFrame([(u,) for u in used], "destination string")
+    split = lambda n: (n[: n.rindex(".")] or n, n[n.rindex(".") :]) if "." in n else (n, "")
+    waiting, full, want, k = {(i, *split(n)) for i, n, _ in files if i is not None and n is not None}, set(used), set(), 0
+    while waiting:
+        got = {}
+        for i, stem, ext in sorted(waiting, reverse=True):
+            got[f"Unsorted/{stem}{f'_{k}' if k else ''}{ext}"] = (i, stem, ext)
+        got = {d: w for d, w in got.items() if d not in full}
+        want |= {(w[0], d) for d, w in got.items()}
+        waiting, full, k = waiting - set(got.values()), full | set(got), k + 1
+    many = spark.createDataFrame(files, "id bigint, filename string, created_at bigint")
+    for part_rows in (100_000, 7):
+        got = rows(ingest.plan_destinations(many, taken, part_rows=part_rows))
+        assert got == sorted(want, key=repr) and len({d for _, d in got}) == len(got) == len(names)
+
+
 XMP = """<?xpacket begin="" id="x"?><x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF><rdf:Description xmp:Rating="{r}" xmp:Label="Green" tiff:Orientation="6">
 <dc:title><rdf:Alt><rdf:li xml:lang="x-default">My Title</rdf:li></rdf:Alt></dc:title><dc:subject><rdf:Bag>{s}</rdf:Bag></dc:subject>
 <lr:hierarchicalSubject><rdf:Bag>{h}</rdf:Bag></lr:hierarchicalSubject></rdf:Description></rdf:RDF></x:xmpmeta> trailing words"""
