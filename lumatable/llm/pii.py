@@ -4,6 +4,7 @@ Generators propose spans with high recall (pii_candidates); for each kind, boost
 threshold calibrated on held-out rows decides. Where accepted spans overlap, the best one stays. The trees are fitted on a
 bounded sample of documents whose candidates are labelled by rules that look for sure signs only (labelled form fields, a
 matching mail address in the same text, words that rule a kind out); candidates without such signs are not used for fitting.
+The word counts that decide which spans are proposed come from all texts of the corpus.
 """
 
 from __future__ import annotations
@@ -18,16 +19,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumatable.llm.boosting import BoostedTrees, best_threshold
-from lumatable.llm.pii_candidates import KINDS, Candidate, Lexicon, candidates, plain
+from lumatable.llm.pii_candidates import KINDS, LEAST, RATE_TEXTS, Candidate, Lexicon, candidates, plain
 from lumatable.llm.pii_seeds import seeds
-from lumatable.runtime import ship, spread, table
+from lumatable.runtime import materialize, ship, spread, table
 
-#: Documents the trees and word counts are fitted on, and characters up to which a document is taken for that.
+#: Documents the trees are fitted on, and characters up to which a document is taken for that.
 SAMPLE_DOCS, SAMPLE_CHARS = 3_000, 50_000
 #: Features by which labelling rules decide, which the trees must not see.
 HIDDEN = {"name": (12,)}
 #: Candidates of a kind used for fitting at most, and share of them held out for the threshold.
 FIT_ROWS, HELD_OUT = 20_000, 0.25
+#: Entries the lexicon may have, and entries a task gathers before it gives them on.
+LEXICON_ROWS, GATHERED = 1_000_000, 200_000
 
 
 @dataclass
@@ -86,14 +89,50 @@ def _matrix(kind: str, found: list[Candidate]) -> np.ndarray:
     return x
 
 
-def fit(texts: list[str]) -> Detector:
-    """A detector from sample texts and the built-in seed texts; the same texts give the same detector."""
+def lexicon_of(docs: DataFrame) -> Lexicon:
+    """The lexicon of all distinct texts of (text); an error where it is too large to be sent to all tasks."""
+    spark = docs.sparkSession
+    ship(spark)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, texts = Lexicon(), 0
+
+        def rows() -> pd.DataFrame:
+            every = [("texts", "", texts), *((k, w, n) for k in LEAST for w, n in getattr(held, k).items())]
+            return pd.DataFrame(every, columns=["kind", "word", "n"])
+
+        for b in batches:
+            for t in b.text:
+                held.add(plain(t)[0])
+                texts += 1
+                if sum(len(getattr(held, k)) for k in LEAST) >= GATHERED:
+                    yield rows()
+                    held, texts = Lexicon(), 0
+        yield rows()
+
+    texts = spread(docs.where("text is not null").select("text")).distinct()
+    counts = materialize(texts.mapInPandas(count, "kind string, word string, n bigint").groupBy("kind", "word").agg(F.sum("n").alias("n")), "lexicon")
+    n_texts = sum(r.n for r in counts.where("kind = 'texts'").collect())
+    rate = F.col("n") * min(1.0, RATE_TEXTS / max(1, n_texts))
+    kept = counts.where(" or ".join(f"kind = '{k}'" for k in LEAST)).where(rate >= F.element_at(F.create_map(*(F.lit(x) for kv in LEAST.items() for x in kv)), F.col("kind")))
+    if kept.limit(LEXICON_ROWS + 1).count() > LEXICON_ROWS:
+        raise ValueError(f"the corpus has a lexicon of more than {LEXICON_ROWS} entries")
+    out = Lexicon()
+    for r in kept.collect():  # at most LEXICON_ROWS
+        getattr(out, r.kind)[r.word] = r.n
+    return out.rated(n_texts)
+
+
+def fit(texts: list[str], lexicon: Lexicon | None = None) -> Detector:
+    """A detector from sample texts and the built-in seed texts; the same texts give the same detector. Without a lexicon of the
+    corpus, the sample is counted as the whole one."""
     normal = [plain(t)[0] for t in texts]
     seeded = [(plain(t)[0], marks) for t, marks in seeds()]
-    lexicon = Lexicon()
-    for t in normal:
-        lexicon.add(t)
-    lexicon.trimmed()
+    if lexicon is None:
+        lexicon = Lexicon()
+        for t in normal:
+            lexicon.add(t)
+        lexicon.rated(len(normal))
     rows: dict[str, list[Candidate]] = {k: [] for k in KINDS}
     for t, marks in seeded:
         for c in candidates(t, lexicon):
@@ -114,9 +153,9 @@ def fit(texts: list[str]) -> Detector:
 
 
 def fit_on(docs: DataFrame) -> Detector:
-    """A detector fitted on a bounded sample of (doc_id, text), chosen by hash and so the same in each run."""
+    """A detector with the lexicon of all texts of (doc_id, text), fitted on a bounded sample chosen by hash and so the same in each run."""
     sample = docs.where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select("text").orderBy(F.xxhash64("text")).limit(SAMPLE_DOCS)
-    return fit(sorted({r.text for r in sample.collect()}))
+    return fit(sorted({r.text for r in sample.collect()}), lexicon_of(docs))
 
 
 def detect(docs: DataFrame, detector: Detector | None = None) -> DataFrame:

@@ -138,25 +138,36 @@ def fold(s: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", s.lower()) if c.isalpha() and ord(c) < 0x250)
 
 
+#: Texts to which the lexicon's counts are scaled down, so that thresholds mean the same for corpora of any size above.
+RATE_TEXTS = 3_000
+#: Times in so many texts below which a word in lower case, or a given name, counts as not met: less than any threshold asks for.
+LEAST = {"lower": 1.000001, "given": 0.5, "ends": 0.0, "other_ends": 0.0}
+
+
 class Lexicon:
-    """What a bounded sample of documents tells of words: how often each stands in lower case, and which given names and ends
-    of family names stand in labelled name fields. Its size is bounded by the sample."""
+    """What all texts of a corpus tell of words: how often each stands in lower case, and which given names and ends of family
+    names stand in labelled name fields; each text counts as a whole. Counts are of RATE_TEXTS texts; of fewer texts they stay as
+    they are. The rates of words of one kind sum up to what RATE_TEXTS mean texts hold, so few words reach a threshold, however
+    large the corpus; ends are of four letters at most."""
 
     def __init__(self) -> None:
         self.lower, self.given, self.ends, self.other_ends = Counter(), Counter(), Counter(), Counter()
 
     def add(self, text: str) -> None:
-        self.lower.update(regex.findall(r"(?<![\p{L}@._+-])\p{Ll}{3,}(?![\p{L}@_+-]|\.\p{L})", text)[:2000])
+        self.lower.update(regex.findall(r"(?<![\p{L}@._+-])\p{Ll}{3,}(?![\p{L}@_+-]|\.\p{L})", text))
         for m in _FIELD_NAME.finditer(text):
             v = m.group("v")
             got = regex.fullmatch(rf"(?P<g>{_GIV}(?: {_GIV})?)(?: \p{{Lu}}\.)* (?P<s>{_SUR})", v) or regex.fullmatch(rf"(?P<s>{_SUR}), (?P<g>{_GIV})", v)
             if got:
                 self.given.update([got["g"].split()[0].lower()])
                 self.ends.update([fold(got["s"])[-4:]])
-        self.other_ends.update(fold(w)[-4:] for w in regex.findall(r"(?<=[,.] |in |at |near |aus |à |en )\p{Lu}\p{Ll}{4,}", text)[:200])
+        self.other_ends.update(fold(w)[-4:] for w in regex.findall(r"(?<=[,.] |in |at |near |aus |à |en )\p{Lu}\p{Ll}{4,}", text))
 
-    def trimmed(self) -> Lexicon:
-        self.lower = Counter({w: n for w, n in self.lower.items() if n > 1})
+    def rated(self, texts: int) -> Lexicon:
+        """The counts of so many texts as rates, without words too rare for any threshold."""
+        scale = min(1.0, RATE_TEXTS / max(1, texts))
+        for kind, least in LEAST.items():
+            setattr(self, kind, Counter({w: n * scale for w, n in getattr(self, kind).items() if n * scale >= least}))
         return self
 
     def __getstate__(self):

@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 
 from lumatable.llm.boosting import BoostedTrees, best_threshold
+from lumatable.llm import pii, pii_candidates
 from lumatable.llm.pii import detect, fit
-from lumatable.llm.pii_candidates import plain
+from lumatable.llm.pii_candidates import candidates, plain
 
 DATA = "/root/testdata/sf0.01"
 
@@ -97,3 +98,24 @@ def test_trees_learn_a_rule():
     assert ((model.predict(x[1_500:]) > 0.5) == y[1_500:]).mean() > 0.97
     assert 0.05 <= best_threshold(model.predict(x[1_500:]), y[1_500:]) <= 0.5 and best_threshold(np.zeros(0), np.zeros(0)) == 0.5
     assert len(model.predict(np.zeros((0, 4)))) == 0
+
+
+def test_word_counts_are_of_the_whole_corpus(spark, monkeypatch):
+    """Words late in a text, in texts longer than the sample takes and in more texts than the sample has; copies count once."""
+    monkeypatch.setattr(pii, "SAMPLE_DOCS", 2)
+    monkeypatch.setattr(pii, "GATHERED", 5)
+    late = "filler " * 9_000 + "lanterns lanterns " + "near Altdorf " * 300 + "\nName: Zorbina Quixomarn\nName: Zorbina Altimarn\n"
+    texts = [late, late, *(f"text {i} of lanterns" for i in range(40)), None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = pii.fit_on(docs).lexicon
+    assert (got.lower["filler"], got.lower["lanterns"], got.lower["text"]) == (9_000, 42, 40)
+    assert got.given == {"zorbina": 2} and got.ends == {"marn": 2} and got.other_ends["dorf"] == 300
+    said = "Yesterday Zorbina Tessomarn came along."
+    assert [c.text for c in candidates(said, got) if c.kind == "name"] == ["Zorbina Tessomarn"]
+    monkeypatch.setattr(pii_candidates, "RATE_TEXTS", 21)
+    monkeypatch.setattr(pii, "RATE_TEXTS", 21)
+    half = pii.lexicon_of(docs)  # 42 distinct texts: rates of half of them
+    assert (half.lower["lanterns"], half.lower["text"], half.ends["marn"], half.other_ends["dorf"]) == (21, 20, 1, 150)
+    monkeypatch.setattr(pii, "LEXICON_ROWS", 1)
+    with pytest.raises(ValueError):
+        pii.lexicon_of(docs)
