@@ -31,6 +31,9 @@ _CONTEXT = 3
 # Fixed value: the pattern that splits text before the merges, as the rank files' documentation gives it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+# Fixed value: the white space of Unicode, as `\s` of the pattern has it.
+_WHITE = np.array([*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], dtype=np.uint32)
+
 
 def default_ranks() -> str:
     """The file of the byte-level vocabulary of 50,256 ranks."""
@@ -76,25 +79,28 @@ def cuts(text: str) -> list[tuple[int, bool]]:
     for j in range(WINDOW):
         h = h * _BASE + c[j : n - WINDOW + 1 + j]
     h = (h * _MIX) >> np.uint64(40)  # of the characters before place WINDOW, WINDOW + 1, ...
-    space = _spaces(c)
+    sure = _borders(c)
     places = np.arange(WINDOW, n)
-    border = space[places] & ~space[places - 1]
+    border = sure[places]
     here = h[: n - WINDOW]
     take = (border & (here % np.uint64(BORDER_EVERY) == 0)) | (here % np.uint64(OTHER_EVERY) == 0)
     out, last = [], 0
     for p in [*places[take].tolist(), n]:
         while p - last > LONGEST:
             last += LONGEST
-            out.append((last, bool(space[last] and not space[last - 1])))
+            out.append((last, bool(sure[last])))
         if p < n:
             out.append((p, bool(border[p - WINDOW])))
             last = p
     return [*out, (n, True)]
 
 
-def _spaces(c: np.ndarray) -> np.ndarray:
-    """White space that ends every piece before it; the rarer kinds are left out, which only makes cuts less sure."""
-    return (c == 32) | (c == 10) | (c == 13) | (c == 9)
+def _borders(c: np.ndarray) -> np.ndarray:
+    """Whether a cut before each character is a sure border: at white space that ends every piece before it, where no white space of any
+    kind stands before, as a run of white space is split by what follows it. Cuts before the rarer kinds are only less sure."""
+    out = (c == 32) | (c == 10) | (c == 13) | (c == 9)
+    out[1:] &= ~np.isin(c[:-1], _WHITE)
+    return out
 
 
 def pieces(text: str) -> list[str]:

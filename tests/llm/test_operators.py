@@ -134,6 +134,33 @@ def test_any_cuts_are_repaired(bits, places):
     assert list(map(int, got)) == ENC.encode_ordinary(text)
 
 
+RARE = ["\u00a0", " \u00a0", "\u00a0 ", "\u3000", "\u2009", "\u2028", "\x85", "\x0b"]
+
+
+def joined(text, cuts):
+    """Ids of a text cut at (place, sure), repaired."""
+    starts = [0, *(p for p, _ in cuts[:-1])]
+    chunks = [text[a:b] for a, (b, _) in zip(starts, cuts, strict=True)]
+    return list(map(int, tokens.repair(chunks, [np.array(ENC.encode_ordinary(c)) for c in chunks], [s for _, s in cuts], lambda p: tuple(ENC.encode_ordinary(p)))))
+
+
+def test_cuts_beside_rare_white_space(monkeypatch):
+    monkeypatch.setattr(tokens, "BORDER_EVERY", 1)
+    for end in ("end", " ", ""):
+        text = "abcdefghijklmnopqrst \u00a0 \u00a0 \u00a0 " + end
+        assert joined(text, tokens.cuts(text)) == ENC.encode_ordinary(text)
+    assert set(map(chr, tokens._WHITE)) == {chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000 and tokens._pattern().fullmatch(chr(i)) and chr(i).isspace() and not 0x1C <= i <= 0x1F}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(BITS + RARE * 2), max_size=40), st.lists(st.integers(0, 200), max_size=10))
+def test_any_cuts_beside_rare_white_space_are_repaired(bits, places):
+    text = "".join(bits)
+    sure = tokens._borders(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32))
+    ends = sorted({p for p in places if 0 < p < len(text)})
+    assert joined(text, [*((p, bool(sure[p])) for p in ends), (len(text), True)]) == ENC.encode_ordinary(text)
+
+
 def test_corpus_is_encoded_as_a_whole(spark):
     long = "The same long sentence about light comes again. " * 400
     texts = [None, "", " ", "hello world", long, "x" + long, "日本語" * 5_000, "a" * 20_000, "<|endoftext|>", "é" * 3, long]
