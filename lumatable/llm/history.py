@@ -13,6 +13,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -131,22 +132,39 @@ def steps_of(batches: list[tuple[int, int]], rows: int) -> list[tuple[int, int]]
     return [(a, b) for a, b in out]
 
 
+def id_bounds(arrived: DataFrame, rows: int) -> list[int]:
+    """Last ids of ranges of candidate_id that have about half of `rows` rows each; the last range is open. Where they are cut changes no result."""
+    n = -(-2 * arrived.count() // rows)
+    return sorted({int(x) for x in arrived.approxQuantile("candidate_id", [i / n for i in range(1, n)], 1 / (4 * n))}) if n > 1 else []
+
+
 def found(spark: SparkSession, sf_dir: str, step_rows: int = STEP_ROWS) -> DataFrame:
-    """Query p5_found: the candidates that repeat an image or an earlier candidate, batch after batch as they arrived.
+    """Query p5_found: the candidates that repeat an image or a candidate of smaller id.
 
-    Waiting batches are taken in steps of consecutive batches; each is accepted before the next is checked. Ids keep the order
-    within a step.
+    Waiting candidates are taken in steps of rising ids, whatever batch they came with; each step is accepted before it is checked, so
+    all smaller ids are there. Ids keep the order within a step. Results are the same for every size of the steps.
     """
     ship(spark)
     images = table(spark, sf_dir, "images").select("id", "hash", "original_filename", "filename", "size_bytes", "created_at")
-    arrived = table(spark, sf_dir, "import_candidates").select("candidate_id", "batch_id", "filename", "size_bytes", "created_at", "hash").where("candidate_id is not null").withColumn("batch_id", F.coalesce("batch_id", F.lit(-1)))
+    arrived = table(spark, sf_dir, "import_candidates").select(F.col("candidate_id").cast("bigint").alias("candidate_id"), "filename", "size_bytes", "created_at", "hash").where("candidate_id is not null")
     store = SortedRuns(spark, scratch_path(spark, "history"))
     store.merge(records(images, "id", "hash", F.coalesce("original_filename", "filename"), "size_bytes", F.col("created_at")))
     results = scratch_path(spark, "repeats")
-    batches = [(r.batch_id, r.n) for r in arrived.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n")).collect()]  # a row for each batch waiting
-    for first, last in steps_of(batches, step_rows):
-        batch = records(arrived.where(F.col("batch_id").between(first, last)), "candidate_id", "hash", F.col("filename"), "size_bytes", F.col("created_at")).distinct()
+    bounds = id_bounds(arrived, step_rows)
+
+    @F.pandas_udf(T.IntegerType())
+    def range_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(np.array(bounds, dtype=np.int64), ids.to_numpy()).astype("int32"))
+
+    ranges = [(r.id_range, r.n) for r in arrived.groupBy(range_of("candidate_id").alias("id_range")).agg(F.count(F.lit(1)).alias("n")).collect()]  # a row for each range
+    for first, last in steps_of(ranges, step_rows):
+        step = arrived
+        if first > 0:
+            step = step.where(F.col("candidate_id") > bounds[first - 1])
+        if last < len(bounds):
+            step = step.where(F.col("candidate_id") <= bounds[last])
+        batch = records(step, "candidate_id", "hash", F.col("filename"), "size_bytes", F.col("created_at")).distinct()
         store.merge(batch)
         store.check(batch).write.mode("append").parquet(results)
     schema = "first_id bigint, repeat_id bigint"
-    return spark.read.schema(schema).parquet(results) if batches else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(results) if ranges else spark.createDataFrame([], schema)

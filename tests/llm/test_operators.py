@@ -110,6 +110,17 @@ def test_batches_against_brute_force(spark, tmp_path):
     assert got == want
 
 
+def test_steps_of_any_size_find_the_same(spark, tmp_path):
+    """Null batches, and ids that rise over interleaved batches or fall with them: each repeat names the smallest equal id."""
+    T0 = 1_400_000_000
+    cand = [(100 + i, (None, 3, 1, 2)[i % 4], f"c{i}.jpg", 1_000 + i, T0 + 60 * i, f"h{i % 7}") for i in range(30)] + [(130, 0, "i.jpg", 9, T0, "H0"), (131, None, "x.jpg", 1, T0, None), (None, 1, "c1.jpg", 1_001, T0 + 60, "h1")]
+    spark.createDataFrame([(1, "h0", None, "i0.jpg", 5, T0 - 900)], "id bigint, hash string, original_filename string, filename string, size_bytes bigint, created_at bigint").write.parquet(f"{tmp_path}/images.parquet")
+    spark.createDataFrame(cand, "candidate_id bigint, batch_id bigint, filename string, size_bytes bigint, created_at bigint, hash string").write.parquet(f"{tmp_path}/import_candidates.parquet")
+    want = sorted([(100 + i % 7 if i % 7 else 1, 100 + i) for i in range(30) if i >= 7 or i == 0] + [(1, 130)])
+    for step_rows in (8, 40_000):
+        assert sorted(map(tuple, history.found(spark, str(tmp_path), step_rows).collect())) == want
+
+
 def test_steps():
     assert history.steps_of([(1, 5), (2, 5), (3, 9), (4, 1)], 10) == [(1, 2), (3, 4)] and history.steps_of([], 10) == []
 
