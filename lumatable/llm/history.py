@@ -2,7 +2,8 @@
 
 Accepted records live in sorted runs: files cut into key ranges and sorted by key within each. A record has two keys, its content
 hash and its cleaned name with the time; each key sorts records so that possible repeats are neighbours. A batch is sorted into
-a run of its own, and only windows around its records are compared: equal hashes, or equal names within a few seconds. Runs
+a run of its own, and only windows around its records are compared: equal hashes, or equal names within a few seconds. The ranges
+are of hashes, so a batch of some hundred records meets all of them and all runs are read in full. Runs
 are merged when they become many. Equal records are kept once in a run, with their smallest id, so that no group of copies,
 however large, is expanded into pairs.
 """
