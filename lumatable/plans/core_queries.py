@@ -325,9 +325,14 @@ def _(s, d):
     return r.select("doc_id", F.when(F.col("rejected"), -1).otherwise(F.col("rating")).cast("int").alias("raw_rating"), "model")
 
 
+@query("sidecars_read")
+def _(s, d):
+    return sidecars.read_sidecars(table(s, d, "documents").where("doc_kind = 'sidecar' and doc_id is not null"))
+
+
 @query("sidecar_update", "s AS (SELECT image_id AS id, max(try_cast(regexp_extract(text, 'xmp:Rating=\"(-?\\d+)\"', 1) AS INTEGER)) AS r FROM documents WHERE doc_kind = 'sidecar' AND text LIKE '%</x:xmpmeta>%' AND image_id IS NOT NULL GROUP BY image_id) SELECT img.id, CASE WHEN s.r BETWEEN 0 AND 5 THEN s.r ELSE img.rating END AS rating, CASE WHEN s.r = -1 THEN -1 WHEN s.r BETWEEN 0 AND 5 AND flagged = -1 THEN 0 ELSE flagged END AS flagged FROM img LEFT JOIN s ON s.id = img.id")
 def _(s, d):
-    docs = table(s, d, "documents").where("doc_kind = 'sidecar' and text like '%</x:xmpmeta>%' and image_id is not null")
+    docs = table(s, d, "documents").where("doc_kind = 'sidecar' and image_id is not null")
     r = sidecars.read_sidecars(docs).join(docs.select("doc_id", F.col("image_id").alias("id")), "doc_id")
     raw = F.when(F.col("rejected"), -1).otherwise(F.col("rating"))
     one = r.groupBy("id").agg(F.max(raw).alias("raw")).select("id", F.when(F.col("raw") >= 0, F.col("raw")).alias("rating"), F.when(F.col("raw").isNotNull(), F.col("raw") == -1).alias("rejected"), *(F.lit(None).cast(t).alias(c) for c, t in (("title", "string"), ("description", "string"), ("orientation", "int"), ("color_label", "int"))), F.lit(4_000_000_000).cast("bigint").alias("mtime"))

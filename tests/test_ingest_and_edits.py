@@ -117,6 +117,23 @@ def test_sidecars(spark):
     assert val(spark, sidecars.merge_keywords(F.array(F.lit("mine"), F.lit("x")), F.array(F.lit("x"), F.lit("y")), F.array(F.lit("y")))) == ["mine", "y"] and val(spark, sidecars.fill_copyright(F.lit(" "), F.lit("me"))) == "me"
 
 
+def test_sidecar_queries_read_every_sidecar(spark, tmp_path):
+    """Truncated, blank, null and other-rooted documents too, with all fields."""
+    from lumatable.plans import core_queries
+
+    whole = XMP.format(r=4, s=LI("a"), h="")
+    bare = whole[whole.index("<rdf:RDF") : whole.index("</x:xmpmeta>")]
+    docs = [(1, whole, "sidecar", 1), (2, whole[:100], "sidecar", 2), (3, " ", "sidecar", 3), (4, None, "sidecar", 4), (5, bare, "sidecar", 5), (6, whole, "note", 6)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, doc_kind string, image_id bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    images = spark.read.parquet("/root/testdata/sf0.001/images.parquet").limit(1)
+    images = spark.range(1, 7).join(images.drop("id").withColumns({"rating": F.lit(1).cast(images.schema["rating"].dataType), "flagged": F.lit(0).cast(images.schema["flagged"].dataType)}))
+    images.write.parquet(f"{tmp_path}/images.parquet")
+    got = {r.doc_id: r for r in core_queries.QUERIES["sidecars_read"](spark, str(tmp_path)).collect()}
+    assert {i: r.readable for i, r in got.items()} == {1: True, 2: False, 3: False, 4: False, 5: True}
+    assert (got[5].rating, got[5].title, got[5].tags, got[5].orientation, got[5].color_label) == (4, "My Title", ["a"], 6, 3) and got[2].rating is None
+    assert rows(core_queries.QUERIES["sidecar_update"](spark, str(tmp_path)).select("id", "rating")) == [(1, 4), (2, 1), (3, 1), (4, 1), (5, 4), (6, 1)]
+
+
 def test_edits(spark):
     imgs = spark.createDataFrame([(1, 2, 0, "s", 100, 1), (2, 3, 0, "s", None, 6), (3, 1, 1, "t", 50, 1)], "id bigint, rating int, flagged int, shot_key string, created_at bigint, orientation int")
     pick = lambda *i: spark.createDataFrame([(x,) for x in i], "id bigint")
