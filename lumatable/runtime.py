@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -37,9 +38,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only in local mode, where driver and executors are one process, an unset
+    one is replaced by a temporary folder; on a cluster it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = getattr(spark, "_lumatable_scratch", None)
         if root is None:
             root = tempfile.mkdtemp(prefix="lumatable-")
@@ -48,22 +52,50 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Scratch paths of this process that still are to be deleted, with a function that does it.
+_LIVING: dict[str, object] = {}
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; deleted with release or drop_path, at the latest when the application ends."""
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    if not _LIVING:
+        atexit.register(_drop_all)
+    _LIVING[path] = spark._jvm
+    return path
+
+
+def _drop_all() -> None:
+    for path, jvm in list(_LIVING.items()):
+        try:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
+        except Exception:  # noqa: BLE001  the JVM has gone before
+            return
+    _LIVING.clear()
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write `df` to the shared folder and read it back, which cuts the lineage and survives the loss of executors."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._lumatable_path = path
+    return back
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete what materialize wrote for these frames, once nothing reads them any more."""
+    for df in frames:
+        if path := df.__dict__.pop("_lumatable_path", None):
+            drop_path(df.sparkSession, path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _LIVING.pop(path, None)
 
 
 class Rounds:
@@ -88,16 +120,8 @@ class Rounds:
 
 def spread(df: DataFrame) -> DataFrame:
     """`df` over as many tasks as there are cores, for costly Python work on a few small files; inputs of enough splits stay as they are."""
-    spark = df.sparkSession
-    cores, paths = spark.sparkContext.defaultParallelism, df.inputFiles()
-    if not paths or len(paths) >= cores:
-        return df
-    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    conf, splits = spark._jsc.hadoopConfiguration(), 0
-    for p in paths:  # fewer than there are cores
-        target = spark._jvm.org.apache.hadoop.fs.Path(p)
-        splits += -(-target.getFileSystem(conf).getFileStatus(target).getLen() // split)
-    return df if splits >= cores else df.repartition(cores)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def broadcast_within(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
