@@ -1,18 +1,24 @@
 """New batches checked for duplicates against everything accepted before, without reprocessing the history.
 
-Accepted records live in sorted runs: files cut into key ranges and sorted by key within each. A record has two keys, its content
-hash and its cleaned name with the time; each key sorts records so that possible repeats are neighbours. A batch is sorted into
-a run of its own, and only windows around its records are compared: equal hashes, or equal names within a few seconds. The ranges
-are of hashes, so a batch of some hundred records meets all of them and all runs are read in full. Runs
-are merged when they become many. Equal records are kept once in a run, with their smallest id, so that no group of copies,
-however large, is expanded into pairs.
+Accepted records live in sorted runs in a folder of the shared file system, which any later application can open again. A record
+has two sort keys: its content hash, and its time with its size class and cleaned name; in the order of each key possible repeats
+are neighbours. A run is cut into files at places of the sort keys, and a manifest holds the first and last place of every file. A
+batch is sorted into a run of its own; then only those files are read in which a window around one of its records lies, so
+a batch costs files for its own records, however long the history is. Runs of like size are merged when they become many, so
+a record is rewritten as often as the logarithm of the history. Equal records are kept once in a run, with their
+smallest id, so that no group of copies, however large, is expanded into pairs.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+import uuid
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -22,12 +28,16 @@ from pyspark.sql import types as T
 
 from lumatable.functions.instants import number_us
 from lumatable.functions.text import strip_space
-from lumatable.runtime import BROADCAST_ROWS, drop_path, scratch_path, ship, table, union_all
+from lumatable.runtime import drop_path, materialize, release, scratch_path, ship, table
 
 #: Seconds and share of the larger size by which records of equal names may differ.
 SECONDS, SIZE_PERCENT = 2, 1
-#: Key ranges a run is cut into, runs that are kept before they are merged, and records of a batch checked at once.
-RANGES, MOST_RUNS, STEP_ROWS = 16, 4, 40_000
+#: Width of the time slots and size classes of the second sort key; a record looks into a neighbour only where it lies near its edge.
+SLOT_S, SIZE_FACTOR = 30, 1.25
+#: Rows of a file at least, files a run is cut into at most, runs of like size that are kept, and by what factor sizes are alike.
+FILE_ROWS, MOST_FILES, MOST_RUNS, TIER = 50_000, 10_000, 4, 4
+#: Records of waiting batches that are checked at once, and window rows of them that may be broadcast; more are joined by a shuffle.
+STEP_ROWS, WINDOW_ROWS = 100_000, 300_000
 
 # Words that copying adds to a file's name.
 COPY_WORDS = ("copy", "copie", "kopie", "copia", "kopia", "cópia", "kopi", "kopio", "コピー", "副本", "копия")
@@ -60,64 +70,165 @@ def _clean_names(names: pd.Series) -> pd.Series:
 
 
 def records(df: DataFrame, record_id: str, content_hash: str, name: Column, size: str, created: Column) -> DataFrame:
-    """Records (id, hash, name, t, size) of a table, cleaned and without repeated rows."""
+    """Records (id, hash, name, t, size) of a table, cleaned; rows without an id are dropped."""
     h = F.lower(strip_space(F.col(content_hash)))
     raw = df.select(F.col(record_id).cast("bigint").alias("id"), F.when(h != "", h).alias("hash"), name.alias("name"), F.floor(number_us(created) / 1_000_000).alias("t"), F.col(size).cast("bigint").alias("size"))
     return raw.where("id is not null").withColumn("name", _clean_names("name"))
 
 
-def _range(*key: Column) -> Column:
-    """The key range of a sort key: ranges cut the 64-bit hashes in order."""
-    return F.shiftrightunsigned(F.xxhash64(*key), 64 - (RANGES - 1).bit_length()).cast("int")
+def _slot(t: Column) -> Column:
+    return F.floor(t / SLOT_S)
 
 
-class SortedRuns:
-    """The accepted records as sorted runs in a folder of the shared file system."""
+def _size_class(size: Column) -> Column:
+    return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / math.log(SIZE_FACTOR))
+
+
+def _place(slot: Column, size_class: Column) -> Column:
+    """The place of a record in the order of the second key: records of one moment stand together, whatever batch they came with."""
+    return F.concat(F.lit("n"), F.lpad(slot.cast("string"), 12, "0"), F.lit("/"), F.lpad(size_class.cast("string"), 4, "0"), F.lit("/"), F.col("name"))
+
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.runs, self.count = spark, folder, [], 0
+_NAMED = "name is not null and t is not null and size is not null"
 
-    _slot = staticmethod(lambda t: F.floor(t / (SECONDS + 1)))
 
-    def _keyed(self, recs: DataFrame) -> DataFrame:
-        """Rows (key_range, key, slot, t, size, id): one for each hash, one for each name, time and size; the smallest id of each."""
-        by_hash = recs.where("hash is not null").select(F.concat(F.lit("h:"), "hash").alias("key"), F.lit(0).cast("bigint").alias("slot"), F.lit(None).cast("bigint").alias("t"), F.lit(None).cast("bigint").alias("size"), "id")
-        by_name = recs.where("name is not null and t is not null and size is not null").select(F.concat(F.lit("n:"), "name").alias("key"), self._slot(F.col("t")).alias("slot"), "t", "size", "id")
-        return by_hash.unionByName(by_name).withColumn("key_range", _range(F.col("key"), F.col("slot")))
+def _keyed(recs: DataFrame) -> DataFrame:
+    """Rows (place, t, size, id): one for a record's hash, one for its name, time and size."""
+    none = F.lit(None).cast("bigint")
+    by_hash = recs.where("hash is not null").select(F.concat(F.lit("h"), "hash").alias("place"), none.alias("t"), none.alias("size"), "id")
+    return by_hash.unionByName(recs.where(_NAMED).select(_place(_slot(F.col("t")), _size_class(F.col("size"))).alias("place"), "t", "size", "id"))
 
-    @staticmethod
-    def _collapsed(keyed: DataFrame) -> DataFrame:
-        return keyed.groupBy("key_range", "key", "slot", "t", "size").agg(F.min("id").alias("id"))
 
-    def _write(self, collapsed: DataFrame) -> str:
-        path, self.count = f"{self.folder}/run-{self.count}", self.count + 1
-        (collapsed.repartitionByRange("key_range", "key", "slot").sortWithinPartitions("key_range", "key", "slot", "t").write.option("compression", "zstd").partitionBy("key_range").parquet(path))
-        return path
+def _windows(recs: DataFrame) -> DataFrame:
+    """Rows (p_place, p_t, p_size, repeat_id): all places at which what a record repeats can stand. Mostly one or two a record."""
+    none = F.lit(None).cast("bigint")
+    by_hash = recs.where("hash is not null").select(F.concat(F.lit("h"), "hash").alias("p_place"), none.alias("p_t"), none.alias("p_size"), F.col("id").alias("repeat_id"))
+    span = lambda low, high: F.explode(F.sequence(low, high))
+    t, size = F.col("t"), F.col("size")
+    near = recs.where(_NAMED).select("id", "name", "t", "size", span(_slot(t - SECONDS), _slot(t + SECONDS)).alias("slot"))
+    # a little wider than the percentage asks, against rounding
+    near = near.select("*", span(_size_class(F.floor(size * (1 - SIZE_PERCENT / 100) - 1)), _size_class(F.ceil(size / (1 - SIZE_PERCENT / 100) + 1))).alias("size_class"))
+    return by_hash.unionByName(near.select(_place(F.col("slot"), F.col("size_class")).alias("p_place"), F.col("t").alias("p_t"), F.col("size").alias("p_size"), F.col("id").alias("repeat_id")))
 
-    SCHEMA = "key string, slot bigint, t bigint, size bigint, id bigint, key_range int"
 
-    def read(self, ranges: list[int] | None = None) -> DataFrame:
-        out = union_all([self.spark.read.schema(self.SCHEMA).parquet(p) for p in self.runs])
-        return out if ranges is None else out.where(F.col("key_range").isin(ranges))
+@dataclass(frozen=True)
+class RunFile:
+    """A file of a run, with its first and last place and its rows, as the manifest has it."""
+
+    run: str
+    path: str
+    first: str
+    last: str
+    n: int
+
+
+class SortedRuns:
+    """The accepted records as sorted runs below a folder of the shared file system; one writer at a time.
+
+    Each change writes new runs first, then a new manifest in one file, and deletes what it replaced last, so whoever opens
+    the folder after a failure finds the state before or after the change.
+    """
+
+    ROWS = "place string, t bigint, size bigint, id bigint"
+    MANIFEST = "version bigint, run string, path string, first string, last string, n bigint"
+
+    def __init__(self, spark: SparkSession, folder: str, file_rows: int = FILE_ROWS):
+        self.spark, self.folder, self.file_rows = spark, folder.rstrip("/"), file_rows
+        self.version, self.files, self.rows_read, self.rows_written = 0, [], 0, 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str, file_rows: int = FILE_ROWS) -> SortedRuns:
+        """The history that this or another application left in the folder."""
+        store = cls(spark, folder, file_rows)
+        every = spark.read.schema(cls.MANIFEST).json(f"{store.folder}/manifest-*")
+        store.version = every.agg(F.max("version")).first()[0]
+        last = every.where(F.col("version") == store.version).where("path is not null").drop("version").orderBy("run", "first").collect()  # a row for each file
+        store.files = [RunFile(**r.asDict()) for r in last]
+        return store
+
+    @property
+    def runs(self) -> dict[str, list[RunFile]]:
+        out = defaultdict(list)
+        for f in self.files:
+            out[f.run].append(f)
+        return dict(out)
+
+    def _write(self, keyed: DataFrame) -> list[RunFile]:
+        """A new run of equal records put together, sorted, and cut into files of bounded size."""
+        kept = materialize(keyed.groupBy("place", "t", "size").agg(F.min("id").alias("id")), "collapsed")
+        total = kept.count()
+        if not total:
+            release(kept)
+            return []
+        rows = max(self.file_rows, -(-total // MOST_FILES))
+        run = f"run-{uuid.uuid4().hex}"
+        kept.repartitionByRange(-(-total // rows), "place").sortWithinPartitions("place", "t", "size").write.option("compression", "zstd").parquet(f"{self.folder}/{run}")
+        self.rows_written += total
+        release(kept)
+        ends = self.spark.read.schema(self.ROWS).parquet(f"{self.folder}/{run}").groupBy(F.col("_metadata.file_path").alias("path")).agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count(F.lit(1)).alias("n"))
+        return sorted((RunFile(run, r.path, r["first"], r["last"], r.n) for r in ends.collect()), key=lambda f: f.first)  # a row for each file
+
+    def _commit(self, files: list[RunFile]) -> None:
+        gone = {f.run for f in self.files} - {f.run for f in files}
+        rows = [(self.version + 1, f.run, f.path, f.first, f.last, f.n) for f in files] or [(self.version + 1, *[None] * 5)]
+        self.spark.createDataFrame(rows, self.MANIFEST).coalesce(1).write.json(f"{self.folder}/manifest-{self.version + 1:08d}")
+        if self.version:
+            drop_path(self.spark, f"{self.folder}/manifest-{self.version:08d}")
+        self.version, self.files = self.version + 1, files
+        for run in gone:
+            drop_path(self.spark, f"{self.folder}/{run}")
+
+    def _alike(self, files: list[RunFile]) -> set[str]:
+        """Runs to merge: those of one size tier, where it has become full."""
+        sizes, tiers = defaultdict(int), defaultdict(set)
+        for f in files:
+            sizes[f.run] += f.n
+        for run, n in sizes.items():
+            tiers[max(0, int(math.log(n / self.file_rows, TIER))) if n > self.file_rows else 0].add(run)
+        return next((runs for _, runs in sorted(tiers.items()) if len(runs) >= MOST_RUNS), set())
 
     def merge(self, recs: DataFrame) -> None:
-        """Accept records: sort them into a run of their own, and merge the runs where they have become many."""
-        self.runs.append(self._write(self._collapsed(self._keyed(recs))))
-        if len(self.runs) > MOST_RUNS:
-            old, self.runs = self.runs, [self._write(self._collapsed(self.read()))]
-            for path in old:
-                drop_path(self.spark, path)
-
-    def check(self, batch: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+        """Accept records: sort them into a run of their own, and merge runs of like size where they have become many."""
+        files = self.files + self._write(_keyed(recs))
+        while alike := self._alike(files):
+            old = self.spark.read.schema(self.ROWS).parquet(*(f.path for f in files if f.run in alike))
+            fresh = self._write(old)
+            gone = [f.run for f in files if f.run in alike and f not in self.files]
+            files = [f for f in files if f.run not in alike] + fresh
+            for run in set(gone):  # written by this call, in no manifest
+                drop_path(self.spark, f"{self.folder}/{run}")
+        self._commit(files)
+
+    def touched(self, windows: DataFrame) -> list[RunFile]:
+        """The files in which a place of the windows (p_place) can stand: one search in each run's bounds for each window."""
+        ship(self.spark)
+        runs = [(([f.first for f in files]), [f.last for f in files], [self.files.index(f) for f in files]) for files in self.runs.values()]
+        sent = self.spark.sparkContext.broadcast(runs)  # two places a file
+
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            hit: set[int] = set()
+            for b in batches:
+                for p in b.p_place:
+                    for firsts, lasts, numbers in sent.value:
+                        i = bisect_right(firsts, p) - 1
+                        if i >= 0 and p <= lasts[i]:
+                            hit.add(numbers[i])
+            yield pd.DataFrame({"file": np.fromiter(hit, dtype="int64")})
+
+        return [self.files[r.file] for r in windows.select("p_place").mapInPandas(search, "file bigint").distinct().collect()]  # a row for each file
+
+    def check(self, batch: DataFrame, window_rows: int = WINDOW_ROWS) -> DataFrame:
         """(first_id, repeat_id) of the batch's records that repeat an accepted record of smaller id; first_id is the smallest one."""
-        probes = self._keyed(batch).withColumn("near", F.when(F.col("t").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.col("slot") - 1, F.col("slot") + 1)))
-        probes = probes.select(F.col("id").alias("repeat_id"), F.col("key").alias("p_key"), F.col("t").alias("p_t"), F.col("size").alias("p_size"), F.explode("near").alias("p_slot")).withColumn("p_range", _range(F.col("p_key"), F.col("p_slot")))
-        ranges = [r.p_range for r in probes.select("p_range").distinct().collect()]  # at most RANGES numbers
-        if probes.limit(broadcast_rows + 1).count() <= broadcast_rows:
-            probes = F.broadcast(probes)
-        h, p = self.read(ranges), probes
+        windows = materialize(_windows(batch), "windows")
+        files = self.touched(windows)
+        if not files:
+            return self.spark.createDataFrame([], "first_id bigint, repeat_id bigint")
+        self.rows_read += sum(f.n for f in files)
+        near = self.spark.read.schema(self.ROWS).parquet(*(f.path for f in files))
+        if windows.limit(window_rows + 1).count() <= window_rows:
+            windows = F.broadcast(windows)
         close = F.col("t").isNull() | ((F.abs(F.col("t") - F.col("p_t")) <= SECONDS) & (F.abs(F.col("size") - F.col("p_size")) * 100 <= F.greatest("size", "p_size") * SIZE_PERCENT))
-        pairs = h.join(p, (h["key"] == F.col("p_key")) & (h["slot"] == F.col("p_slot")) & (h["key_range"] == F.col("p_range"))).where(close & (F.col("id") < F.col("repeat_id")))
+        pairs = near.join(windows, F.col("place") == F.col("p_place")).where(close & (F.col("id") < F.col("repeat_id")))
         return pairs.groupBy("repeat_id").agg(F.min("id").alias("first_id")).select("first_id", "repeat_id")
 
 
@@ -143,14 +254,23 @@ def found(spark: SparkSession, sf_dir: str, step_rows: int = STEP_ROWS) -> DataF
     """Query p5_found: the candidates that repeat an image or a candidate of smaller id.
 
     Waiting candidates are taken in steps of rising ids, whatever batch they came with; each step is accepted before it is checked, so
-    all smaller ids are there. Ids keep the order within a step. Results are the same for every size of the steps.
+    all smaller ids are there. Ids keep the order within a step. Results are the same for every size of the steps. The history is
+    made of the images here, as these tables come without one, and deleted at the end; SortedRuns.open continues one that was kept.
     """
     ship(spark)
     images = table(spark, sf_dir, "images").select("id", "hash", "original_filename", "filename", "size_bytes", "created_at")
-    arrived = table(spark, sf_dir, "import_candidates").select(F.col("candidate_id").cast("bigint").alias("candidate_id"), "filename", "size_bytes", "created_at", "hash").where("candidate_id is not null")
     store = SortedRuns(spark, scratch_path(spark, "history"))
     store.merge(records(images, "id", "hash", F.coalesce("original_filename", "filename"), "size_bytes", F.col("created_at")))
-    results = scratch_path(spark, "repeats")
+    arrived = table(spark, sf_dir, "import_candidates").select(F.col("candidate_id").cast("bigint").alias("candidate_id"), "filename", "size_bytes", "created_at", "hash").where("candidate_id is not null")
+    out = check_waiting(store, arrived, step_rows)
+    drop_path(spark, store.folder)
+    return out
+
+
+def check_waiting(store: SortedRuns, arrived: DataFrame, step_rows: int = STEP_ROWS) -> DataFrame:
+    """(first_id, repeat_id) of waiting candidates (candidate_id, filename, size_bytes, created_at, hash) that repeat an accepted
+    record or a candidate of smaller id; all of them are accepted."""
+    spark, results = store.spark, scratch_path(store.spark, "repeats")
     bounds = id_bounds(arrived, step_rows)
 
     @F.pandas_udf(T.IntegerType())
@@ -164,8 +284,9 @@ def found(spark: SparkSession, sf_dir: str, step_rows: int = STEP_ROWS) -> DataF
             step = step.where(F.col("candidate_id") > bounds[first - 1])
         if last < len(bounds):
             step = step.where(F.col("candidate_id") <= bounds[last])
-        batch = records(step, "candidate_id", "hash", F.col("filename"), "size_bytes", F.col("created_at")).distinct()
+        batch = materialize(records(step, "candidate_id", "hash", F.col("filename"), "size_bytes", F.col("created_at")).distinct(), "batch")
         store.merge(batch)
         store.check(batch).write.mode("append").parquet(results)
+        release(batch)
     schema = "first_id bigint, repeat_id bigint"
     return spark.read.schema(schema).parquet(results) if ranges else spark.createDataFrame([], schema)
