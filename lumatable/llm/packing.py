@@ -1,9 +1,10 @@
 """Items of varying size put into containers of fixed capacity, with little space left over.
 
-Vector best fit: an item demands tokens, one of the documents a container may hold, and attention cost (its size squared). The
-largest items go first; each goes to the open container that fits under every capacity and is left with the smallest
-weighted residual norm, or has the largest weighted dot product of demand and residual. Items are packed in groups of bounded
-size side by side; containers that end up poorly filled are opened again and their items packed together in the next round.
+Vector best fit: an item demands tokens, one of the documents a container may hold, and attention cost (its size squared, as items
+attend to themselves only). The largest items go first; each goes to the open container that fits under every capacity and
+is left with the smallest weighted residual norm, or has the largest weighted dot product of demand and residual. An item whose
+attention cost alone is above that capacity cannot be split for it and has a container to itself. Items are packed in groups of
+bounded size side by side; containers that end up poorly filled are opened again and their items packed together in the next round.
 """
 
 from __future__ import annotations
@@ -23,11 +24,15 @@ CAPACITY = 2_048
 
 @dataclass(frozen=True)
 class Limits:
-    """Capacities of a container, the weights of their residuals, and the rule that chooses among containers that fit."""
+    """Capacities of a container, the weights of their residuals, and the rule that chooses among containers that fit.
+
+    Attention is held at 0.75 of what one full-length item costs, so that no container takes much longer than others; documents
+    at 96, the entries of a container's table of starts.
+    """
 
     tokens: int = CAPACITY
-    documents: int = 512
-    attention: float = float(CAPACITY * CAPACITY)
+    documents: int = 96
+    attention: float = 0.75 * CAPACITY * CAPACITY
     weights: tuple[float, float, float] = (1.0, 0.05, 0.2)
     rule: str = "norm"
 
@@ -37,7 +42,7 @@ GROUP_ITEMS, WELL_FILLED, ROUNDS = 8_192, 0.995, 4
 
 
 def best_fit(sizes: np.ndarray, limits: Limits) -> np.ndarray:
-    """The container number of each item; items must be in order of falling size, each within every capacity."""
+    """The container number of each item; items must be in order of falling size, each within the tokens."""
     full = np.array([limits.tokens, limits.documents, limits.attention], dtype=float)
     weights = np.array(limits.weights)
     demand = np.column_stack([sizes, np.ones(len(sizes)), sizes.astype(float) ** 2]) / full
@@ -46,6 +51,9 @@ def best_fit(sizes: np.ndarray, limits: Limits) -> np.ndarray:
     open_n, made, out = 0, 0, np.empty(len(sizes), dtype=np.int64)
     least = float(sizes.min()) / full[0] if len(sizes) else 0.0
     for i, d in enumerate(demand):
+        if d[2] > 1:  # alone above the attention capacity
+            out[i], made = made, made + 1
+            continue
         rest = left[:open_n] - d
         fits = np.nonzero((rest >= -1e-9).all(axis=1))[0]
         if len(fits):
@@ -92,13 +100,15 @@ def pack(sizes: DataFrame, limits: Limits = Limits(), group_items: int = GROUP_I
             return pd.DataFrame({"doc_id": items.doc_id, "piece": items.piece, "n_tokens": items.n_tokens, "container_id": [name + str(x) for x in at], "first_token": (by.cumsum() - items.n_tokens).astype("int32"), "filled": by.transform("sum").astype("int32")})
 
         hashed = waiting.withColumn("group_id", F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(groups)).cast("int")).withColumn("turn", F.lit(turn))
+        hashed = hashed.repartition(2 * groups, "group_id")  # a number of its own, else small groups are put into one task
         packed = materialize(hashed.groupBy("group_id").applyInPandas(group, schema), "packed")
         last = groups == 1 or turn == ROUNDS - 1
-        good = packed if last else packed.where(F.col("filled") >= int(c * WELL_FILLED))
-        done.append(good.drop("filled"))
+        # containers of one costly item cannot be filled any better
+        settled = (F.col("filled") >= int(c * WELL_FILLED)) | (F.col("n_tokens").cast("double") ** 2 > limits.attention)
+        done.append((packed if last else packed.where(settled)).drop("filled"))
         if last:
             break
-        waiting = packed.where(F.col("filled") < int(c * WELL_FILLED)).select("doc_id", "piece", "n_tokens")
+        waiting = packed.where(~settled).select("doc_id", "piece", "n_tokens")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -108,3 +118,17 @@ def pack(sizes: DataFrame, limits: Limits = Limits(), group_items: int = GROUP_I
 def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query p9_containers: each text's place in containers of 2,048 tokens of the byte-level vocabulary."""
     return pack(materialize(count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")), "sizes"))
+
+
+def tightness(packed: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """(constraint, n_containers, fill): how many containers each constraint closes, as the one with the smallest share left, and the
+    share of the tokens that these containers use."""
+    used = packed.where("container_id is not null").groupBy("container_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("docs"), F.sum(F.col("n_tokens").cast("double") ** 2).alias("cost"))
+    shares = F.struct((F.col("n") / limits.tokens).alias("share"), F.lit("tokens").alias("constraint")), F.struct((F.col("docs") / limits.documents).alias("share"), F.lit("documents").alias("constraint")), F.struct((F.col("cost") / limits.attention).alias("share"), F.lit("attention").alias("constraint"))
+    tight = F.when(F.col("n") == limits.tokens, "tokens").otherwise(F.greatest(*shares)["constraint"])
+    return used.groupBy(tight.alias("constraint")).agg(F.count(F.lit(1)).alias("n_containers"), (F.sum("n") / (F.count(F.lit(1)) * limits.tokens)).alias("fill"))
+
+
+def constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query p9_constraints: which constraint closes how many of the corpus's containers, and how full they are."""
+    return tightness(containers(spark, sf_dir))

@@ -10,6 +10,7 @@ QUERIES = {
     "p6_found": survivors.found,
     "p8_ids": tokens.ids,
     "p9_containers": packing.containers,
+    "p9_constraints": packing.constraints,
     "p10_found": pii.found,
     "p10_redacted": pii.redacted,
 }

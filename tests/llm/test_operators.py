@@ -1,8 +1,11 @@
 """Percentiles, history, survivors, encoding and packing against brute force, with nulls, ties, repeats and empty tables."""
 
 import random
+import subprocess
+import sys
 import unicodedata
 from math import ceil
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -13,6 +16,9 @@ from pyspark.sql import functions as F
 from lumatable.llm import history, packing, percentiles, survivors, tokens
 
 
+ROOT = Path(__file__).resolve().parent.parent.parent
+
+
 def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
@@ -89,14 +95,17 @@ def test_batches_against_brute_force(spark, tmp_path):
     every = [make(i) for i in range(500)]
     schema = "id bigint, h string, name string, size bigint, t bigint"
     recs = lambda part: history.records(spark.createDataFrame(part, schema), "id", "h", F.col("name"), "size", F.col("t"))
-    store = history.SortedRuns(spark, str(tmp_path / "runs"))
+    store = history.SortedRuns(spark, str(tmp_path / "runs"), file_rows=60)
     got = set()
     for a, b in ((0, 250), (250, 300), (300, 310), (310, 400), (400, 450), (450, 500)):
         part = recs(every[a:b] + every[a : a + 5]).distinct()
         store.merge(part)
         if a:
-            got |= set(rows(store.check(part, broadcast_rows=1_000_000 if a < 400 else 1)))
-    assert len(store.runs) <= history.MOST_RUNS
+            got |= set(rows(store.check(part, window_rows=1_000_000 if a < 400 else 1)))
+        store = history.SortedRuns.open(spark, str(tmp_path / "runs"), file_rows=60)
+    sizes = {r: sum(f.n for f in files) for r, files in store.runs.items()}
+    assert len(sizes) < 6 and all(len(files) > 1 for r, files in store.runs.items() if sizes[r] > 120)
+    assert sorted(p.name for p in (tmp_path / "runs").iterdir()) == sorted([*sizes, f"manifest-{store.version:08d}"])
     second = lambda t: None if not t else t // (1_000 if t > 10**12 else 1)
     want = set()
     for x in every[250:]:
@@ -121,6 +130,46 @@ def test_steps_of_any_size_find_the_same(spark, tmp_path):
         assert sorted(map(tuple, history.found(spark, str(tmp_path), step_rows).collect())) == want
 
 
+def test_a_batch_costs_files_for_its_own_records(spark, tmp_path):
+    """A history ten times as long makes a batch read no more rows, and merging rewrites a record a few times only."""
+    T0, read = 1_400_000_000, []
+    schema = "id bigint, h string, name string, size bigint, t bigint"
+    recs = lambda part: history.records(spark.createDataFrame(part, schema), "id", "h", F.col("name"), "size", F.col("t"))
+    for n in (4_000, 40_000):
+        store = history.SortedRuns(spark, str(tmp_path / f"h{n}"), file_rows=500)
+        store.merge(recs([(i, f"{i * 7_919 % 1_000_003:06d}", f"a{i}.jpg", 1_000 + i, T0 + 60 * i) for i in range(n)]))
+        batch = recs([(n + k, f"{k * 3_000 * 7_919 % 1_000_003:06d}" if k < 2 else f"new{k}", f"a{k}.jpg", 1_000 + k, T0 + 60 * k) for k in range(5)])
+        store.merge(batch)
+        store.rows_read = 0
+        assert rows(store.check(batch)) == [(0, n), (1, n + 1), (2, n + 2), (3, n + 3), (4, n + 4)] if n == 4_000 else True
+        read.append(store.rows_read)
+    assert read[1] <= 1.2 * read[0] < 4_000
+    store = history.SortedRuns(spark, str(tmp_path / "many"), file_rows=50)
+    for b in range(12):
+        store.merge(recs([(b * 20 + k, f"x{b}-{k}", None, None, None) for k in range(20)]))
+    assert len(store.runs) <= history.MOST_RUNS and store.rows_written <= 3 * 12 * 20
+
+
+TWO_APPLICATIONS = """
+import sys
+from pyspark.sql import SparkSession, functions as F
+from lumatable.llm.history import SortedRuns, records
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.driver.host", "127.0.0.1").getOrCreate()
+folder, first, last = sys.argv[1], int(sys.argv[2]), int(sys.argv[3])
+rows = [(i, f"h{i % 6}") for i in range(first, last)]
+batch = records(spark.createDataFrame(rows, "id bigint, h string").withColumns({"name": F.lit(None).cast("string"), "size": F.lit(1), "t": F.lit(None).cast("bigint")}), "id", "h", F.col("name"), "size", F.col("t"))
+store = SortedRuns.open(spark, folder) if first else SortedRuns(spark, folder)
+store.merge(batch)
+print("FOUND", sorted(map(tuple, store.check(batch).collect())))
+"""
+
+
+def test_a_second_application_continues_the_history(tmp_path):
+    run = lambda a, b: subprocess.run([sys.executable, "-c", TWO_APPLICATIONS, str(tmp_path / "kept"), str(a), str(b)], cwd=ROOT, check=True, capture_output=True, text=True, timeout=300).stdout
+    assert "FOUND []" in run(0, 5)
+    assert "FOUND [(0, 6), (1, 7)]" in run(5, 8)
+
+
 def test_steps():
     assert history.steps_of([(1, 5), (2, 5), (3, 9), (4, 1)], 10) == [(1, 2), (3, 4)] and history.steps_of([], 10) == []
 
@@ -227,6 +276,21 @@ def test_packing_keeps_every_limit(spark, rule):
     assert whole.doc_id.is_unique and len(whole) == sum(1 for _, n in sizes if n and n <= 2_048)
 
 
+def test_each_constraint_closes_containers(spark):
+    """Long items meet the attention capacity, tiny ones the documents, others the tokens; a too costly item is whole and alone."""
+    rng = random.Random(5)
+    sizes = [(i, rng.randint(1_500, 2_047)) for i in range(300)] + [(1_000 + i, rng.randint(1, 9)) for i in range(20_000)] + [(50_000 + i, rng.randint(200, 700)) for i in range(2_000)]
+    limits = packing.Limits()
+    packed = packing.pack(spark.createDataFrame(sizes, "doc_id bigint, n_tokens int"), limits).toPandas()
+    free = packed[packed.n_tokens < limits.tokens]
+    cost = (free.n_tokens.astype(float) ** 2).groupby(free.container_id).sum()
+    n = free.groupby("container_id").n_tokens.agg(["count", "sum"])
+    assert set(cost[cost > limits.attention].index) == set(free[free.n_tokens.astype(float) ** 2 > limits.attention].container_id) and (n[cost > limits.attention]["count"] == 1).all()
+    assert n["count"].max() == limits.documents and n["sum"].max() <= limits.tokens
+    got = {r.constraint: r for r in packing.tightness(spark.createDataFrame(packed), limits).collect()}
+    assert set(got) == {"tokens", "documents", "attention"} and got["tokens"].fill > 0.98
+
+
 def test_packing_leaves_little_space(spark):
     rng = random.Random(3)
     sizes = [(i, rng.randint(1, 700)) for i in range(4_000)]
