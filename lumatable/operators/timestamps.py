@@ -7,10 +7,12 @@ the local time mean a repeated hour, none means a skipped hour, one gives the of
 
 from __future__ import annotations
 
-from bisect import bisect_right
+import struct
 from datetime import UTC, datetime, timedelta
 from functools import lru_cache
-from zoneinfo import ZoneInfo, available_timezones
+from importlib.resources import files
+from pathlib import Path
+from zoneinfo import TZPATH, ZoneInfo, available_timezones
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,65 +31,104 @@ ABBREVIATIONS = {
     "mst": -420, "mdt": -360, "pst": -480, "pdt": -420, "akst": -540, "akdt": -480, "hst": -600,
 }
 
-#: Years for which offset intervals are built; local times outside them use the zone's nearest interval.
-YEARS = (2010, 2028)
+#: Local years for which offset intervals are built: those the zone database is reliable for. Local times outside take the offset
+#: that holds at the nearest end.
+YEARS = (1970, 2038)
+_WEEK = 604_800
 
 
-@lru_cache(maxsize=1)
-def zone_intervals() -> list[tuple[str, list[tuple[int, int]]]]:
-    """Of each zone of the public database: (seconds since 1970 at which an offset begins, offset in seconds), in order.
+def _tz_file(name: str) -> bytes:
+    """The compiled file of a zone, from the system's database, else from the tzdata package."""
+    for folder in TZPATH:
+        if (path := Path(folder, name)).is_file():
+            return path.read_bytes()
+    return files("tzdata").joinpath("zoneinfo", *name.split("/")).read_bytes()
 
-    Offsets are sampled weekly and each change between two samples is bisected to the second. About 600 zones: a fixed size.
-    """
-    begin, end = (int(datetime(y, 1, 1, tzinfo=UTC).timestamp()) for y in YEARS)
+
+def _written_changes(data: bytes) -> tuple[list[tuple[int, int]], str]:
+    """(second since 1970, offset from then on) of the changes that a compiled file lists, the first valid from the beginning of
+    time, and its rule for later times."""
+
+    def block(at: int, width: int) -> tuple[int, tuple]:
+        isut, isstd, leap, times, types, chars = struct.unpack_from(">6l", data, at + 20)
+        return at + 44 + times * (width + 1) + types * 6 + chars + leap * (width + 4) + isstd + isut, (at + 44, times, types)
+
+    end, (at, times, types) = block(0, 4)
+    if data[4:5] in (b"", b"\0"):
+        raise ValueError("the zone database has files of the first version only")
+    end, (at, times, types) = block(end, 8)
+    moments = struct.unpack_from(f">{times}q", data, at)
+    which = data[at + 8 * times : at + 9 * times]
+    offsets = [struct.unpack_from(">l", data, at + 9 * times + 6 * k)[0] for k in range(types)]
+    return [(-(1 << 40), offsets[0]), *((t, offsets[k]) for t, k in zip(moments, which, strict=True))], data[end:].decode().strip()
+
+
+def _later_changes(zone: ZoneInfo, begin: int, end: int) -> list[tuple[int, int]]:
+    """Changes of a zone's rule from `begin` on, found by weekly samples and bisection to the second."""
     origin = datetime(1970, 1, 1, tzinfo=UTC)
-    out = []
+    offset = lambda t: int((origin + timedelta(seconds=t)).astimezone(zone).utcoffset().total_seconds())
+    out, last = [], offset(begin)
+    for t in range(begin + _WEEK, end + _WEEK, _WEEK):
+        if (now := offset(t)) != last:
+            lo, hi = t - _WEEK, t
+            while hi - lo > 1:
+                mid = (lo + hi) // 2
+                lo, hi = (mid, hi) if offset(mid) == last else (lo, mid)
+            out.append((hi, now))
+            last = now
+    return out
+
+
+@lru_cache(maxsize=1)
+def zone_intervals() -> list[tuple[str, int, int, int]]:
+    """(zone in lower case, begin, until, offset) in seconds, begin and until in local time, of each zone of the public database and
+    each interval that touches YEARS. About 600 zones: a fixed size."""
+    begin, end = (int(datetime(y, 1, 1, tzinfo=UTC).timestamp()) for y in YEARS)
+    day, far, rules, out = 86_400, 1 << 40, {}, []
     for name in sorted(available_timezones()):
-        zone = ZoneInfo(name)
-        offset = lambda t: int((origin + timedelta(seconds=t)).astimezone(zone).utcoffset().total_seconds())  # noqa: B023, E731
-        # a zone whose rule never changes the offset within a sampled stretch needs no bisection
-        changes, last = [(begin, offset(begin))], offset(begin)
-        for t in range(begin + 604_800, end + 604_800, 604_800):
-            if (now := offset(t)) != last:
-                lo, hi = t - 604_800, t
-                while hi - lo > 1:
-                    mid = (lo + hi) // 2
-                    lo, hi = (mid, hi) if offset(mid) == last else (lo, mid)
-                changes.append((hi, now))
-                last = now
-        out.append((name.lower(), changes))
+        changes, rule = _written_changes(_tz_file(name))
+        if "," in rule:  # summer time for ever; zones of one rule share its changes
+            since = max(begin, changes[-1][0] + 1)
+            if (rule, since) not in rules:
+                rules[rule, since] = _later_changes(ZoneInfo(name), since, end)
+            changes = changes + rules[rule, since]
+        merged = [c for i, c in enumerate(changes) if i == 0 or c[1] != changes[i - 1][1]]
+        for i, (at, offset) in enumerate(merged):
+            until = merged[i + 1][0] if i + 1 < len(merged) else far
+            if until > begin - 2 * day and at < end + 2 * day:
+                out.append((name.lower(), at + offset, until + offset, offset))
     return out
 
 
 def offset_table(spark: SparkSession) -> DataFrame:
     """zone, local_year, and the offset intervals that touch the year in local time, with the one before them."""
-    rows = []
-    far = 1 << 40
-    for zone, changes in zone_intervals():
-        starts = [-far] + [t for t, _ in changes[1:]]
-        ends = starts[1:] + [far]
-        spans = [(s + o, e + o, o) for (s, e, (_, o)) in zip(starts, ends, changes, strict=True)]
-        local_ends = [e for _, e, _ in spans]
-        for year in range(YEARS[0], YEARS[1]):
-            a, b = (int(datetime(y, 1, 1, tzinfo=UTC).timestamp()) for y in (year, year + 1))
-            first = max(0, bisect_right(local_ends, a) - 1)
-            rows.append((zone, year, [x for x in spans[first:] if x[0] < b]))
-    return spark.createDataFrame(rows, "zone string, local_year int, __spans array<struct<begin:bigint,until:bigint,offset:int>>")
-
-
-def resolve_zone(df: DataFrame, local_s: str, zone: str, out: str) -> DataFrame:
+    import pyarrow as pa
+
+    rows = zone_intervals()
+    flat = pa.table({k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate((("zone", pa.string()), ("begin", pa.int64()), ("until", pa.int64()), ("offset", pa.int32())))})
+    low, high = (int(datetime(y, 1, 1, tzinfo=UTC).timestamp()) for y in YEARS)
+    # an interval also serves the year in which it ends, and the year after where it ends within the last day
+    year = lambda c: F.year(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.greatest(F.lit(low), F.least(F.lit(high - 1), c)) / 86_400).cast("int")))
+    spans = spark.createDataFrame(flat).withColumn("local_year", F.explode(F.sequence(year(F.col("begin")), year(F.col("until") + 86_400))))
+    return spans.groupBy("zone", "local_year").agg(F.sort_array(F.collect_list(F.struct("begin", "until", "offset"))).alias("__spans"))
+
+
+def resolve_zone(df: DataFrame, local_s: str, zone: str, out: str, matches: str | None = None) -> DataFrame:
     """Adds `out`, the offset in seconds of the named zone at a local time in seconds; null for an unknown zone.
 
     The repeated hour takes the larger offset, which is the earlier instant; a skipped hour takes the offset before the change.
+    `matches` names a column for the number of intervals that hold the local time: 2 in a repeated hour, 0 in a skipped one.
     """
     year = F.year(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col(local_s) / 86_400).cast("int")))
     keyed = df.withColumn("__zone", F.lower(F.col(zone))).withColumn("__year", F.when(F.col("__zone").isNotNull() & year.isNotNull(), F.greatest(F.lit(YEARS[0]), F.least(F.lit(YEARS[1] - 1), year))))
+    low, high = (int(datetime(y, 1, 1, tzinfo=UTC).timestamp()) for y in YEARS)
     spans = F.broadcast(offset_table(df.sparkSession).withColumnRenamed("zone", "__zone").withColumnRenamed("local_year", "__year"))  # the public zones: a fixed size
-    t = F.col(local_s)
+    t = F.greatest(F.lit(low), F.least(F.lit(high - 1), F.col(local_s)))
     holding = F.filter("__spans", lambda x: (x["begin"] <= t) & (t < x["until"]))
     passed = F.filter("__spans", lambda x: x["until"] <= t)
     offset = F.when(F.size(holding) > 0, F.array_max(F.transform(holding, lambda x: x["offset"]))).otherwise(F.try_element_at(passed, F.lit(-1))["offset"])
-    return keyed.join(spans, ["__zone", "__year"], "left").withColumn(out, F.when(F.col("__spans").isNotNull(), offset)).drop("__zone", "__year", "__spans")
+    found = {out: F.when(F.col("__spans").isNotNull(), offset)} | ({matches: F.size(holding)} if matches else {})
+    return keyed.join(spans, ["__zone", "__year"], "left").withColumns(found).drop("__zone", "__year", "__spans")
 
 
 _OFFSET = r"[+-](?:0?\d|1[0-8])(?::?[0-5]\d)?"
@@ -150,11 +191,13 @@ def text_parts(df: DataFrame, text: str) -> DataFrame:
     return df.withColumns({"__local_us": F.when(F.col("__bare_us").isNull() & date_exists(y, m, d) & time_exists(h, mi, s), local), "__mark": filled(8), "__region": filled(9)}).drop("__text", "__parts", "__n")
 
 
-def text_instants(df: DataFrame, text: str, offset_time: str, time_zone: str, out: str = "instant_us") -> DataFrame:
+def text_instants(df: DataFrame, text: str, offset_time: str, time_zone: str, out: str = "instant_us", status: str | None = None) -> DataFrame:
     """Adds `out`, the instant in microseconds of a written moment, or null where the text is not readable.
 
     The zone is that in the text (an offset, an abbreviation, else a name in brackets), else the offset column, else the zone
-    column with its summer time, else UTC. Empty or unknown zones count as absent.
+    column with its summer time, else UTC. Empty or unknown zones count as absent. `status` names a column that tells how the
+    instant came about: number, offset (written in the text or beside it), zone, ambiguous (a repeated hour of the zone),
+    nonexistent (a skipped one), utc (no zone given) or unreadable.
     """
     df = text_parts(df, text)
     names = F.create_map(*(F.lit(x) for k, v in ABBREVIATIONS.items() for x in (k, v * 60)))
@@ -162,11 +205,15 @@ def text_instants(df: DataFrame, text: str, offset_time: str, time_zone: str, ou
     zone_text = strip_wrapping(F.col(time_zone))
     df = df.withColumns({"__offset": in_text, "__aside": offset_seconds(F.col(offset_time)), "__zoned": F.coalesce(offset_seconds(zone_text), F.try_element_at(names, F.lower(zone_text)))})
     df = df.withColumn("__name", F.when(F.col("__offset").isNull(), F.when(F.col("__region").isNotNull(), F.col("__region")).when(F.col("__aside").isNull(), zone_text)))
-    df = resolve_zone(df.withColumn("__local_s", F.floor(F.col("__local_us") / MICROS)), "__local_s", "__name", "__named")
+    df = resolve_zone(df.withColumn("__local_s", F.floor(F.col("__local_us") / MICROS)), "__local_s", "__name", "__named", "__matches")
     by_region = F.when(F.col("__region").isNotNull(), F.col("__named"))
     offset = F.coalesce("__offset", by_region, "__aside", "__named", "__zoned", F.lit(0))
     us = F.coalesce(F.col("__bare_us"), F.col("__local_us") - offset.cast("bigint") * MICROS)
-    return df.withColumn(out, us).drop("__bare_us", "__local_us", "__mark", "__region", "__offset", "__aside", "__zoned", "__name", "__local_s", "__named")
+    if status:
+        named = F.when(F.col("__matches") > 1, "ambiguous").when(F.col("__matches") == 0, "nonexistent").otherwise("zone")
+        how = F.when(us.isNull(), "unreadable").when(F.col("__bare_us").isNotNull(), "number").when(F.col("__offset").isNotNull(), "offset").when(by_region.isNotNull(), named)
+        df = df.withColumn(status, how.when(F.col("__aside").isNotNull(), "offset").when(F.col("__named").isNotNull(), named).when(F.col("__zoned").isNotNull(), "offset").otherwise("utc"))
+    return df.withColumn(out, us).drop("__bare_us", "__local_us", "__mark", "__region", "__offset", "__aside", "__zoned", "__name", "__local_s", "__named", "__matches")
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,4 +227,10 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return created.unionByName(written).where(F.col("image_id").isNotNull() & F.col("instant_us").isNotNull()).distinct()
 
 
+def status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query p1_status: image_id, instant_us and status of each written moment, readable or not."""
+    headers = table(spark, sf_dir, "image_metadata").select("image_id", "capture_date", "offset_time", "time_zone").where("image_id is not null")
+    return text_instants(headers, "capture_date", "offset_time", "time_zone", status="status").select("image_id", "instant_us", "status").distinct()
+
+
 __all__ = ["GENUINE", "found", "number_us", "offset_seconds", "resolve_zone", "text_instants"]

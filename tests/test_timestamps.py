@@ -1,12 +1,13 @@
 """Moments in many spellings against Python's own calendar and zones."""
 
-from datetime import UTC, datetime
-from zoneinfo import ZoneInfo
+import random
+from datetime import UTC, datetime, timedelta
+from zoneinfo import ZoneInfo, available_timezones
 
 from pyspark.sql import functions as F
 
 from lumatable.functions.instants import number_us
-from lumatable.operators.timestamps import found, offset_seconds, text_instants
+from lumatable.operators.timestamps import found, offset_seconds, text_instants, zone_intervals
 
 
 def us(*parts, zone=UTC, micro=0, fold=0):
@@ -40,6 +41,11 @@ CASES = [
     ("2019:03:31 02:30:00", None, "Europe/Berlin", us(2019, 3, 31, 1, 30)),
     ("2019:03:10 02:30:00", None, "america/new_york", us(2019, 3, 10, 7, 30)),
     ("2019:04:07 01:45:00", None, "Australia/Lord_Howe", us(2019, 4, 6, 14, 45)),
+    ("2005-07-01 12:00:00", None, "America/New_York", us(2005, 7, 1, 16)),
+    ("1987-07-01 12:00:00", None, "Europe/Berlin", us(1987, 7, 1, 10)),
+    ("2031-07-01 12:00:00", None, "Europe/Berlin", us(2031, 7, 1, 10)),
+    ("2011-12-30 12:00:00", None, "Pacific/Apia", us(2011, 12, 30, 22)),
+    ("1950-01-01 12:00:00", None, "Europe/Berlin", us(1950, 1, 1, 11)),
     ("2012:01:11 12:24:50", "   :  ", "Asia/Kathmandu", us(2012, 1, 11, 6, 39, 50)),
     ("2012:01:11 12:24:50", "+25:00", None, us(2012, 1, 11, 12, 24, 50)),
     ("2019-06-31 12:00:00", None, None, None),
@@ -104,3 +110,24 @@ def test_query_has_a_row_an_image(spark):
     got = found(spark, "/root/testdata/sf0.001")
     assert got.columns == ["field_name", "image_id", "instant_us"]
     assert got.count() == got.select("field_name", "image_id").distinct().count() > 900
+
+
+def test_zone_intervals_agree_with_the_zone_database():
+    rng, by = random.Random(1), {}
+    for zone, begin, until, offset in zone_intervals():
+        by.setdefault(zone, []).append((begin - offset, until - offset, offset))
+    names = sorted(available_timezones())
+    for _ in range(3_000):
+        name, second = rng.choice(names), rng.randrange(0, 2_145_916_800)
+        want = (datetime(1970, 1, 1, tzinfo=UTC) + timedelta(seconds=second)).astimezone(ZoneInfo(name)).utcoffset().total_seconds()
+        assert [o for a, b, o in by[name.lower()] if a <= second < b] == [want], (name, second)
+
+
+def test_status_tells_how_an_instant_came_about(spark):
+    cases = [
+        ("2019:10:27 02:30:00", None, "Europe/Berlin", "ambiguous"), ("2019:03:31 02:30:00", None, "Europe/Berlin", "nonexistent"), ("2019:06:01 02:30:00", None, "Europe/Berlin", "zone"),
+        ("2019:06:01 02:30:00+02:00", None, "Asia/Tokyo", "offset"), ("2019:06:01 02:30:00", "+01:00", "Asia/Tokyo", "offset"), ("2019:06:01 02:30:00", None, "nowhere", "utc"), ("1326277725", None, None, "number"), ("soon", None, None, "unreadable"), (None, None, "Asia/Tokyo", "unreadable"),
+    ]
+    df = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cases)], "i int, t string, o string, z string")
+    got = {r.i: r.status for r in text_instants(df, "t", "o", "z", status="status").collect()}
+    assert [got[i] for i in range(len(cases))] == [c[3] for c in cases]
