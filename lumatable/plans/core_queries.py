@@ -13,7 +13,9 @@ from lumatable.runtime import table
 
 QUERIES: dict = {
     "p1_found": timestamps.found,
+    "p1_status": timestamps.status,
     "p3_found": sessions.found,
+    "p3_replayed": sessions.replayed,
     "p4_found": hierarchy.found,
     "p4_descendants": hierarchy.descendant_pairs,
     "p7_found": spatial.found,
@@ -399,6 +401,7 @@ def _(s, d):
 
 
 SQL["p3_found"] = f"WITH {C.IMAGES_SQL}, e AS (SELECT DISTINCT id, created_at AS t, nullif(lower(trim(camera_model, ' ' || chr(9) || chr(10) || chr(13) || chr(0) || '''\"')), '') AS camera FROM img WHERE created_at IS NOT NULL), g AS (SELECT *, CASE WHEN t - lag(t) OVER w <= 1800 THEN 0 ELSE 1 END AS opens FROM e WHERE camera IS NOT NULL WINDOW w AS (PARTITION BY camera ORDER BY t, id)), r AS (SELECT *, sum(opens) OVER (PARTITION BY camera ORDER BY t, id) AS run FROM g) SELECT camera AS camera_model, min(t) AS session_start, max(t) AS session_end, count(DISTINCT id) AS n_images FROM r GROUP BY camera, run"
+SQL["p3_replayed"] = SQL["p3_found"]
 SQL["p4_found"] = f"""WITH RECURSIVE tg AS (SELECT id, min(trim(name)) AS name, min(parent_id) AS parent_id FROM tags WHERE id IS NOT NULL GROUP BY id),
 n AS (SELECT id, name, CASE WHEN parent_id IN (SELECT id FROM tg) THEN parent_id END AS parent FROM tg),
 down(id, root_id, depth, full_path) AS (SELECT id, id, 0, name FROM n WHERE parent IS NULL UNION ALL SELECT n.id, root_id, depth + 1, full_path || '|' || n.name FROM n JOIN down ON n.parent = down.id),

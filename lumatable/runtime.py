@@ -98,6 +98,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
     _LIVING.pop(path, None)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 class Rounds:
     """Tables of an iteration: keeps what each round writes, and deletes rounds no longer needed."""
 

@@ -3,7 +3,7 @@ import random
 from conftest import rows
 from pyspark.sql import functions as F
 
-from lumatable.operators.sessions import merge_intervals, sessions, streaming_sessions
+from lumatable.operators.sessions import SessionState, merge_intervals, sessions
 
 
 def brute(events, gap):
@@ -44,11 +44,37 @@ def test_merge_of_nested_intervals(spark):
     assert rows(merge_intervals(df, ["key"], 10)) == [("k", 0, 110, 3), ("k", 200, 201, 1)]
 
 
+def arriving(rng):
+    """Events in batches, some far behind those that came before."""
+    events = [(rng.choice(["a", "a", "b"]), rng.randrange(0, 400_000, 61), i) for i in range(1_200)]
+    on_time, late = sorted(events[:1_000], key=lambda e: e[1]), events[1_000:]
+    batches = [on_time[i : i + 250] for i in range(0, 1_000, 250)]
+    return [batches[0], batches[1] + late[:80], batches[2] + batches[2][:20], batches[3] + late[80:], [], late[:0] + [("c", 5, 9_000), ("a", None, 9_001), (None, 7, 9_002)]]
+
+
+def test_state_takes_in_late_events(spark, tmp_path):
+    """Whatever the batches and however late events come, the sessions are those of all events at once; old sessions are closed."""
+    batches = arriving(random.Random(8))
+    schema = "key string, t bigint, id bigint"
+    state = SessionState(spark, str(tmp_path / "s"), gap=1_800, late=10_000, slot=20_000)
+    for i, b in enumerate(batches):
+        state.absorb(spark.createDataFrame(b, schema), i, "key", "t", "id")
+        if i == 2:  # run again, as after a failure
+            state.absorb(spark.createDataFrame(b, schema), i, "key", "t", "id")
+    assert rows(state.sessions(len(batches) - 1)) == brute([e for b in batches for e in b], 1_800)
+    still_open = state._read("open", len(batches) - 1)
+    assert state._read("closed").count() > 50 and still_open.count() <= 12 and still_open.agg(F.min("end")).first()[0] >= 400_000 - 12_000 - 1_800
+
+
 def test_stream_gives_the_same_sessions(spark, tmp_path):
-    data = [("a", 0), ("a", 1_800), ("a", 3_601), ("b", 50), ("zz", 900_000)]
-    spark.createDataFrame(data, "cam string, s bigint").select("cam", F.timestamp_seconds("s").alias("at")).coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("cam string, at timestamp").parquet(str(tmp_path / "in"))
-    q = streaming_sessions(stream, "cam", "at").writeStream.format("memory").queryName("sess").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    got = sorted((r.cam, r.duration_s, r.n_events) for r in spark.sql("select * from sess").collect())
-    assert got == [("a", 0, 1), ("a", 1_800, 2), ("b", 0, 1)] or got == [("a", 0, 1), ("a", 0, 1), ("a", 0, 1), ("b", 0, 1)]
+    """A stream of files, one of which holds a late event that joins two closed sessions; a gap of exactly the limit joins."""
+    files = [[("a", 0, 1), ("a", 1_800, 2), ("a", 5_000, 3), ("b", 50, 4)], [("zz", 900_000, 5)], [("a", 3_400, 6)]]
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("cam string, t bigint, id bigint").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    state = SessionState(spark, str(tmp_path / "state"))
+    for i, f in enumerate(files):
+        spark.createDataFrame(f, "cam string, t bigint, id bigint").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        state.start(stream, str(tmp_path / "c"), "cam", "t", "id").awaitTermination(60)
+        if i == 1:
+            assert rows(state._read("closed")) == [("a", 0, 1_800, 2), ("a", 5_000, 5_000, 1), ("b", 50, 50, 1)]
+    assert rows(state.sessions(2)) == [("a", 0, 5_000, 4), ("b", 50, 50, 1), ("zz", 900_000, 900_000, 1)]
