@@ -24,8 +24,9 @@ def brute(parents, names):
 
 def check(spark, parents, names):
     df = spark.createDataFrame([(i, p, names[i]) for i, p in parents.items()] + [(i, p, names[i]) for i, p in list(parents.items())[:3]], "id bigint, parent bigint, name string").withColumn("leaf", F.lit(1)).withColumn("steps", F.lit("s"))
-    got = {r.id: (r.root_id, r.depth, r.path, r.n_descendants) for r in hierarchy(df).collect()}
-    assert got == brute(parents, names)
+    for local_nodes in (0, len(parents) // 2, 50_000):  # peeled by all tasks, begun so and ended in one, and in one from the start
+        got = {r.id: (r.root_id, r.depth, r.path, r.n_descendants) for r in hierarchy(df, local_nodes).collect()}
+        assert got == brute(parents, names), local_nodes
 
 
 def test_random_forest_with_long_chains_and_cycles(spark):
