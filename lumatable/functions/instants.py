@@ -5,6 +5,8 @@ Everything here is plain integer arithmetic, so that results do not depend on th
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,20 +54,22 @@ def _digits_us(v: Column) -> Column:
     return F.when(date_exists(y, m, d) & time_exists(h, mi, s), (days_from_civil(y, m, d) * 86_400 + h * 3_600 + mi * 60 + s) * MICROS)
 
 
-def number_us(v: Column) -> Column:
+def number_us(v: Column, years: tuple[int, int] = GENUINE) -> Column:
     """Microseconds since 1970 of a number in an unknown unit, epoch or notation, else null.
 
-    Units and epochs are told apart by where the value comes to lie: only one choice falls into the genuine years. Null, 0 and
-    negative numbers, and numbers that fall nowhere, are no time.
+    Units and epochs are told apart by where the value comes to lie: only one choice falls into the genuine years, which `years` gives
+    as seconds since 1970; for other years the first of COUNTINGS that fits counts. Null, 0 and negative numbers, and numbers
+    that fall nowhere, are no time.
     """
     v = v.cast("bigint")
-    low, high = GENUINE
+    low, high = years
     out = F.when(v.isNull() | (v <= 0), F.lit(None).cast("bigint"))
     for unit, epoch in COUNTINGS:
         scaled = v - F.lit(epoch * unit)
         us = scaled * (MICROS // unit) if unit <= MICROS else _div(scaled, unit // MICROS)
         out = out.when((v >= (low + epoch) * unit) & (v < min((high + epoch) * unit, 2**63 - 1)), us)
-    stamp = F.when(v.between(20_120_101_000_000, 20_251_231_235_959), v).when(v.between(20_120_101_000_000_000, 20_251_231_235_959_999), _div(v, 1000)).when(v.between(20_120_101, 20_251_231), v * MICROS)
+    first, last = (int(datetime.fromtimestamp(t, UTC).strftime("%Y%m%d")) for t in (low, high - 1))
+    stamp = F.when(v.between(first * 10**6, last * 10**6 + 235_959), v).when(v.between(first * 10**9, last * 10**9 + 235_959_999), _div(v, 1000)).when(v.between(first, last), v * MICROS)
     millis = F.when(v > 10**16, v % 1000).otherwise(0)
     # a lambda, so that the code of the calendar is made once and not for each use of the stamp
     digits = F.transform(F.array(stamp), _digits_us)[0] + millis * 1000

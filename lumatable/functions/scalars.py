@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -82,6 +83,11 @@ def flag_of_word(word: Column) -> Column:
     return F.when(low.isin("pick", "picked"), 1).when(low.isin("reject", "rejected"), -1).otherwise(0)
 
 
+def visible() -> Column:
+    """Files that are not hidden, in a form the scan takes."""
+    return F.col("hidden").isNull() | (F.col("hidden") == F.lit(False))
+
+
 def clamp(c: Column, low: int, high: int) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
 
@@ -167,6 +173,71 @@ def day_of(second: Column) -> Column:
     return F.floor(second / 86_400).cast("bigint")
 
 
+def day_bounds(year: Column, month: Column, day: Column) -> Column:
+    """First and last second of a day as a struct (start, end); a date that does not exist gives 0 and 0."""
+    start = F.unix_date(F.try_make_date(year, month, day)).cast("bigint") * 86_400 if hasattr(F, "try_make_date") else F.unix_date(F.try_to_timestamp(F.format_string("%04d-%02d-%02d", year, month, day), F.lit("yyyy-MM-dd")).cast("date")).cast("bigint") * 86_400
+    return F.struct(F.coalesce(start, F.lit(0)).cast("bigint").alias("start"), F.coalesce(start + 86_399, F.lit(0)).cast("bigint").alias("end"))
+
+
+def parse_wall_clock(text: Column) -> Column:
+    """Seconds of `2024-05-01 12:30:00`, with or without seconds; null for other text."""
+    t = F.trim(text)
+    return F.unix_seconds(F.coalesce(F.try_to_timestamp(t, F.lit("yyyy-MM-dd HH:mm:ss")), F.try_to_timestamp(t, F.lit("yyyy-MM-dd HH:mm"))))
+
+
+def format_wall_clock(second: Column) -> Column:
+    return F.date_format(F.timestamp_seconds(second), "yyyy-MM-dd HH:mm:ss")
+
+
+def describe_shift(delta: Column) -> Column:
+    """A difference in seconds as +1d 02:03:04."""
+    s = F.abs(delta)
+    clock = F.format_string("%02d:%02d:%02d", F.floor(s % 86_400 / 3600), F.floor(s % 3600 / 60), s % 60)
+    days = F.floor(s / 86_400)
+    return F.concat(F.when(delta < 0, "-").otherwise("+"), F.when(days > 0, F.concat(days.cast("string"), F.lit("d "))).otherwise(""), clock)
+
+
+def format_bytes(n: Column) -> Column:
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, F.format_string("%.1f KB", n / 1024.0)).otherwise(F.format_string("%.1f MB", n / (1024.0 * 1024.0)))
+
+
+def section_title(second: Column, n: Column) -> Column:
+    """The header of a day: its date in words, and how many photos it has."""
+    date = F.coalesce(F.date_format(F.timestamp_seconds(second), "EEEE, MMMM d, yyyy"), F.lit("Unknown Date"))
+    return F.concat(date, F.lit("  ·  "), n.cast("string"), F.when(n == 1, " photo").otherwise(" photos"))
+
+
+def capture_moment(**sources: Column) -> Column:
+    """The capture moment by the order of trust: original, digitized, xmp, tool, container (videos only, above 0), modified, mtime.
+    Sources that are not given count as null."""
+    container = sources.get("container")
+    order = [sources.get("original"), sources.get("digitized"), sources.get("xmp"), sources.get("tool"), None if container is None else F.when(container > 0, container), sources.get("modified"), sources.get("mtime")]
+    given = [c for c in order if c is not None]
+    return F.coalesce(*given) if given else F.lit(None).cast("bigint")
+
+
+def step_index(index: Column, by: Column, n: Column) -> Column:
+    """An index moved round a list of n entries, in either direction; null for an empty list."""
+    return F.when(n > 0, F.pmod(index + by, n))
+
+
+# The first bytes of files, in hexadecimal, where they begin, and the kind of content they tell.
+SIGNATURES = (
+    (0, "ffd8ff", "image/jpeg"), (0, "89504e470d0a1a0a", "image/png"), (0, "474946", "image/gif"), (8, "57454250", "image/webp"), (8, "41564920", "video/x-msvideo"),
+    (8, "43520200", "image/x-canon-cr2"), (0, "49492a00", "image/tiff"), (0, "4d4d002a", "image/tiff"), (4, "6674797068656963", "image/heif"), (4, "667479706d696631", "image/heif"), (4, "6674797061766966", "image/avif"),
+    (4, "6674797071742020", "video/quicktime"), (4, "6674797069736f6d", "video/mp4"), (4, "667479706d703432", "video/mp4"), (4, "667479704d3456", "video/x-m4v"), (0, "1a45dfa3", "video/x-matroska"),
+)
+
+
+def mime_of_content(content: Column) -> Column:
+    """The kind of content by the first bytes of a file; null where they tell nothing."""
+    head = F.lower(F.hex(F.substring(content, 1, 24)))
+    out = F.lit(None).cast("string")
+    for place, code, kind in reversed(SIGNATURES):
+        out = F.when(F.substring(head, 2 * place + 1, len(code)) == code, kind).otherwise(out)
+    return out
+
+
 def xml_unescape(c: Column) -> Column:
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
         c = F.replace(c, F.lit(entity), F.lit(char))
@@ -192,15 +263,22 @@ def search_words(text: str) -> list[str]:
     return [w for w in out if w]
 
 
-def search_norm(c: Column) -> Column:
-    return F.concat(F.lit(" "), F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N}]+", " "))
+def fold_word(word: str) -> str:
+    """A word as the search compares it: without regard to case and accents."""
+    return "".join(c for c in unicodedata.normalize("NFD", word.casefold()) if not unicodedata.combining(c))
 
 
 def matches_text(text: str, columns: list[str]) -> Column:
     """Whether each word of `text` begins a word in one of the columns, without regard to case and accents. A text without any
-    word matches nothing."""
+    word matches nothing.
+
+    The columns are cleaned once, as one text with a mark between them that no phrase can pass; rows of plain letters are compared
+    as they are, only others by the collation.
+    """
     words = search_words(text)
     if not words:
         return F.lit(False)
-    hit = lambda w, c: F.contains(F.collate(search_norm(F.col(c)), "UNICODE_CI_AI"), F.collate(F.lit(f" {w}"), "UNICODE_CI_AI"))
-    return reduce(lambda a, b: a & b, (reduce(lambda a, b: a | b, (hit(w, c) for c in columns)) for w in words))
+    cleaned = F.regexp_replace(F.concat(F.lit(" "), F.concat_ws(" \x1f ", *columns)), r"[^\p{L}\p{N}\x1f]+", " ")
+    plain = lambda x: F.length(x) == F.octet_length(x)
+    hit = lambda x, w: F.when(plain(x), F.contains(F.lower(x), F.lit(f" {fold_word(w)}"))).otherwise(F.contains(F.collate(x, "UNICODE_CI_AI"), F.collate(F.lit(f" {w}"), "UNICODE_CI_AI")))
+    return F.exists(F.array(cleaned), lambda x: reduce(lambda a, b: a & b, (hit(x, w) for w in words)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumatable.functions.scalars import visible
 from lumatable.operators.hierarchy import hierarchy
 from lumatable.runtime import materialize
 
@@ -29,7 +30,7 @@ def images_under(tags: DataFrame, image_tags: DataFrame, path: str) -> DataFrame
 
 def with_counts(tags: DataFrame, image_tags: DataFrame, images: DataFrame) -> DataFrame:
     """(tag_id, name, n_shots): distinct visible shots of each tag that has any."""
-    seen = images.where(~F.coalesce("hidden", F.lit(False))).select(F.col("id").alias("image_id"), "shot_key")
+    seen = images.where(visible()).select(F.col("id").alias("image_id"), "shot_key")
     n = image_tags.join(seen, "image_id").groupBy("tag_id").agg(F.countDistinct("shot_key").alias("n_shots"))
     return n.join(tags.select(F.col("id").alias("tag_id"), "name"), "tag_id")
 
@@ -37,7 +38,7 @@ def with_counts(tags: DataFrame, image_tags: DataFrame, images: DataFrame) -> Da
 def tree_counts(tags: DataFrame, image_tags: DataFrame, images: DataFrame) -> DataFrame:
     """(tag_id, direct_count, recursive_count): distinct shots with the tag, and the sum of these over the tag and all below it,
     which counts a shot twice that has both. Tags on or below cycles count directly only."""
-    seen = images.where(~F.coalesce("hidden", F.lit(False))).select(F.col("id").alias("image_id"), "shot_key")
+    seen = images.where(visible()).select(F.col("id").alias("image_id"), "shot_key")
     direct = image_tags.join(seen, "image_id").groupBy("tag_id").agg(F.countDistinct("shot_key").alias("n"))
     paths = id_paths(tags)
     up = paths.join(direct.withColumnRenamed("tag_id", "id"), "id").select(F.explode("ids").alias("tag_id"), "n").groupBy("tag_id").agg(F.sum("n").alias("recursive"))

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumatable.functions import scalars as S
+from lumatable.functions.scalars import visible
+
 
 def at():
     """The moment by which a timeline is ordered."""
@@ -21,13 +23,15 @@ def collapse(files: DataFrame) -> DataFrame:
     """One tile a shot: the cover is the first file in timeline order that is not raw, else the first; the tile stands where the
     shot's first file stands. Counts only see the rows given, so filters come before.
 
-    A group is aggregated with partial sums on the map side, so a group with a third of all files does not gather in one task.
+    Copies of a row count once. A group is aggregated with partial sums on the map side, so a group with a third of all files does
+    not gather in one task.
     """
-    place = F.struct(at().alias("moment"), F.col("id").alias("id"))
-    raw = S.is_raw(F.col("format"))
-    cover = F.struct((~raw).alias("plain"), place.alias("place"), F.col("filename").alias("filename"), F.col("format").alias("format"), F.col("rating").alias("rating"), F.col("flagged").alias("flagged"), F.col("color_label").alias("color_label"), S.display_aspect(F.col("width"), F.col("height"), F.col("orientation")).alias("aspect"))
+    aspect = S.display_aspect(F.col("width"), F.col("height"), F.col("orientation"))
+    files = files.select("id", "shot_key", at().alias("moment"), S.is_raw(F.col("format")).alias("raw"), "filename", "format", "rating", "flagged", "color_label", aspect.alias("aspect"), F.coalesce("edited", F.lit(False)).alias("edited"), F.coalesce("has_xcf", F.lit(False)).alias("has_xcf")).distinct()
+    place, raw = F.struct("moment", "id"), F.col("raw")
+    cover = F.struct((~raw).alias("plain"), place.alias("place"), F.col("filename").alias("filename"), F.col("format").alias("format"), F.col("rating").alias("rating"), F.col("flagged").alias("flagged"), F.col("color_label").alias("color_label"), F.col("aspect").alias("aspect"))
     tiles = files.groupBy("shot_key").agg(
-        F.max(cover).alias("c"), F.max(place).alias("first"), F.count(F.lit(1)).alias("versions"), F.bool_or(raw).alias("any_raw"), F.bool_or(F.coalesce("edited", F.lit(False))).alias("is_edited"), F.bool_or(F.coalesce("has_xcf", F.lit(False))).alias("has_xcf")
+        F.max(cover).alias("c"), F.max(place).alias("first"), F.count(F.lit(1)).alias("versions"), F.bool_or(raw).alias("any_raw"), F.bool_or("edited").alias("is_edited"), F.bool_or("has_xcf").alias("has_xcf")
     )
     return tiles.select(F.col("c.place.id").alias("id"), "c.filename", "c.format", "c.rating", "c.flagged", "c.color_label", "c.aspect", F.col("first.moment").alias("moment"), F.col("first.id").alias("first_id"), "versions", (F.col("any_raw") & F.col("c.plain")).alias("has_raw_version"), "is_edited", "has_xcf")
 
@@ -38,7 +42,7 @@ def in_order(tiles: DataFrame) -> DataFrame:
 
 def date_tree(images: DataFrame) -> DataFrame:
     """Distinct visible shots by day."""
-    seen = images.where(~F.coalesce("hidden", F.lit(False)) & (F.col("year") > 0))
+    seen = images.where(visible() & (F.col("year") > 0))
     return seen.groupBy("year", "month", "day").agg(F.countDistinct("shot_key").alias("n_shots"))
 
 
@@ -121,7 +125,7 @@ def unscored(images: DataFrame, quality: DataFrame, version: int, need_faces: bo
     lacks = F.col("quality_version").isNull() | (F.col("quality_version") != version)
     lacks = lacks | F.col("faces").isNull() if need_faces else lacks
     lacks = lacks | F.col("aesthetic").isNull() if need_aesthetic else lacks
-    return images.where(~S.is_video(F.col("format")) & ~F.coalesce("missing", F.lit(False)) & ~F.coalesce("hidden", F.lit(False))).join(q, "id", "left").where(lacks).select(*images.columns)
+    return images.where(~S.is_video(F.col("format")) & ~F.coalesce("missing", F.lit(False)) & visible()).join(q, "id", "left").where(lacks).select(*images.columns)
 
 
 def rail_marks(weights: list[tuple[float, float]], gap: float) -> list[float]:

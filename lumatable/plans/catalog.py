@@ -20,18 +20,30 @@ def shot_key():
     return F.coalesce(F.col("group_hash"), F.concat(F.lit("id:"), F.col("id").cast("string")))
 
 
-def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images once each, with created_at in seconds, cleaned group_hash, shot_key, and the calendar parts of created_at."""
-    raw = table(spark, sf_dir, "images")
+def image_rows(spark: SparkSession, sf_dir: str, years: tuple[int, int] = GENUINE) -> DataFrame:
+    """Rows of images, copies included, with created_at in seconds, cleaned group_hash, shot_key, and the calendar parts of created_at.
+
+    Filters on these rows reach the scan; `once` after them leaves one row an image. `years` are the seconds since 1970 between which
+    a number counts as a time.
+    """
+    raw = table(spark, sf_dir, "images").select(*IMAGE_COLUMNS, "created_at", "group_hash", F.col("thumbhash").isNotNull().alias("has_thumbhash"))
     group = F.lower(strip_space(F.col("group_hash")))
-    at = F.floor(number_us(F.col("created_at")) / MICROS).cast("bigint")
-    # copies of a row are equal, so one a key is kept, and columns a query does not ask for are never read
-    one = raw.select(*IMAGE_COLUMNS, "created_at", "group_hash", F.col("thumbhash").isNotNull().alias("has_thumbhash")).dropDuplicates(["id"])
-    slim = one.withColumns({"created_at": at, "group_hash": F.when(group != "", group)})
+    at = F.floor(number_us(F.col("created_at"), years) / MICROS).cast("bigint")
+    slim = raw.withColumns({"created_at": at, "group_hash": F.when(group != "", group)})
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("created_at") / 86_400).cast("int"))
     return slim.withColumns({"shot_key": shot_key(), "year": F.year(day), "month": F.month(day), "day": F.dayofmonth(day)})
 
 
+def once(images: DataFrame) -> DataFrame:
+    """One row an image: copies of a row are equal, so a filter before keeps or drops all of them."""
+    return images.dropDuplicates(["id"])
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images once each; columns a query does not ask for are never read."""
+    return once(image_rows(spark, sf_dir))
+
+
 def _seconds_sql(v: str) -> str:
     low, high = GENUINE
     cases = []

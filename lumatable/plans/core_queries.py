@@ -50,7 +50,7 @@ TILE = ["id", "filename", "format", "rating", "flagged", "color_label", "moment"
 def tiles(view: View):
     def run(spark: SparkSession, d: str) -> DataFrame:
         t = tables(spark, d) if view.kind not in ("all", "day", "color", "missing") else Tables()
-        return timeline.in_order(timeline.collapse(view.apply(C.images(spark, d), t))).select(*TILE)
+        return timeline.in_order(timeline.collapse(view.apply(C.image_rows(spark, d), t))).select(*TILE)
 
     return run
 
@@ -97,22 +97,22 @@ for _name, _view, _cond, _uses in (
 
 @query("date_tree", "SELECT year, month, day, count(DISTINCT shot_key) AS n_shots FROM img WHERE NOT coalesce(hidden, false) AND year > 0 GROUP BY year, month, day")
 def _(s, d):
-    return timeline.date_tree(C.images(s, d))
+    return timeline.date_tree(C.image_rows(s, d))
 
 
 @query("years", "SELECT year, count(DISTINCT shot_key) AS n_shots FROM img WHERE year IS NOT NULL GROUP BY year")
 def _(s, d):
-    return timeline.calendar(C.images(s, d), ["year"])
+    return timeline.calendar(C.image_rows(s, d), ["year"])
 
 
 @query("months", "SELECT year, month, count(DISTINCT shot_key) AS n_shots FROM img WHERE year IS NOT NULL GROUP BY year, month")
 def _(s, d):
-    return timeline.calendar(C.images(s, d), ["year", "month"])
+    return timeline.calendar(C.image_rows(s, d), ["year", "month"])
 
 
 @query("sidebar_totals", "dt AS (SELECT year, month, day, count(DISTINCT shot_key) AS n FROM img WHERE NOT coalesce(hidden, false) AND year > 0 GROUP BY year, month, day) SELECT year, month, sum(n)::BIGINT AS n_shots FROM dt GROUP BY year, month UNION ALL SELECT year, NULL, sum(n)::BIGINT FROM dt GROUP BY year")
 def _(s, d):
-    return timeline.sidebar_totals(C.images(s, d))
+    return timeline.sidebar_totals(C.image_rows(s, d))
 
 
 @query("month_covers", "SELECT year, month, count(*) AS n_files, first(id ORDER BY created_at, id) AS cover_id FROM img WHERE created_at IS NOT NULL GROUP BY year, month")
@@ -127,12 +127,12 @@ def _(s, d):
 
 @query("sections", "t AS (SELECT shot_key, max(coalesce(created_at, imported_at)) AS moment FROM img WHERE NOT coalesce(hidden, false) GROUP BY shot_key) SELECT CAST(floor(moment / 86400) AS BIGINT) AS day_number, count(*) AS n_tiles FROM t GROUP BY 1")
 def _(s, d):
-    return timeline.sections(timeline.collapse(View().apply(C.images(s, d))))
+    return timeline.sections(timeline.collapse(View().apply(C.image_rows(s, d))))
 
 
 @query("justified_rows")
 def _(s, d):
-    return timeline.justify(timeline.collapse(View().apply(C.images(s, d))), 1600.0, 220.0)
+    return timeline.justify(timeline.collapse(View().apply(C.image_rows(s, d))), 1600.0, 220.0)
 
 
 @query("image_count", "SELECT count(*) AS n FROM img")
@@ -142,7 +142,7 @@ def _(s, d):
 
 @query("disagreeing_shots", "SELECT group_hash FROM img WHERE group_hash IS NOT NULL GROUP BY group_hash HAVING count(DISTINCT rating) > 1 OR count(DISTINCT flagged) > 1 OR count(DISTINCT color_label) > 1")
 def _(s, d):
-    return timeline.disagreeing_shots(C.images(s, d))
+    return timeline.disagreeing_shots(C.image_rows(s, d))
 
 
 @query("in_session", "SELECT id, created_at FROM img WHERE camera_model IS NOT DISTINCT FROM 'Corvane X20' AND created_at BETWEEN 1325376000 AND 1420070400")
@@ -178,17 +178,17 @@ def _(s, d):
 
 @query("tags_with_counts", "SELECT tag_id, any_value(name) AS name, count(DISTINCT shot_key) AS n_shots FROM it JOIN img ON img.id = it.image_id JOIN tg ON tg.id = it.tag_id WHERE NOT coalesce(hidden, false) GROUP BY tag_id", ("img", "tg", "it"))
 def _(s, d):
-    return tags.with_counts(C.tags(s, d), C.image_tags(s, d), C.images(s, d))
+    return tags.with_counts(C.tags(s, d), C.image_tags(s, d), C.image_rows(s, d))
 
 
 @query("tag_tree_counts", "d AS (SELECT tag_id, count(DISTINCT shot_key) AS n FROM it JOIN img ON img.id = it.image_id WHERE NOT coalesce(hidden, false) GROUP BY tag_id), up(tag_id, node, n, steps) AS (SELECT tag_id, tag_id, n, 0 FROM d UNION ALL SELECT up.tag_id, tg.parent_id, up.n, steps + 1 FROM up JOIN tg ON tg.id = up.node WHERE tg.parent_id IS NOT NULL AND steps < 2000 AND tg.parent_id IN (SELECT id FROM tg)), ok AS (SELECT tag_id FROM up GROUP BY tag_id HAVING max(steps) < 2000), r AS (SELECT node AS tag_id, sum(n) AS n FROM up WHERE tag_id IN (SELECT tag_id FROM ok) GROUP BY node) SELECT t.id AS tag_id, coalesce(d.n, 0) AS direct_count, coalesce(r.n, d.n, 0)::BIGINT AS recursive_count FROM (SELECT DISTINCT id FROM tg) t LEFT JOIN d ON d.tag_id = t.id LEFT JOIN r ON r.tag_id = t.id", ("img", "tg", "it"))
 def _(s, d):
-    return tags.tree_counts(C.tags(s, d), C.image_tags(s, d), C.images(s, d))
+    return tags.tree_counts(C.tags(s, d), C.image_tags(s, d), C.image_rows(s, d))
 
 
 @query("tags_of_images", "sel AS (SELECT DISTINCT shot_key FROM img WHERE flagged = 1), m AS (SELECT id, shot_key FROM img WHERE shot_key IN (SELECT shot_key FROM sel)) SELECT tag_id, any_value(name) AS name, count(DISTINCT shot_key) AS n_shots FROM it JOIN m ON m.id = it.image_id JOIN tg ON tg.id = it.tag_id GROUP BY tag_id", ("img", "tg", "it"))
 def _(s, d):
-    imgs = C.images(s, d)
+    imgs = C.image_rows(s, d)
     return tags.of_images(imgs.where("flagged = 1").select("id"), C.tags(s, d), C.image_tags(s, d), imgs)
 
 
@@ -201,7 +201,7 @@ def _(s, d):
 @query("album_counts", "SELECT al.album_id, al.name, count(v.id) AS n_files FROM al LEFT JOIN (SELECT album_id, id FROM ai JOIN img ON img.id = ai.image_id WHERE NOT coalesce(hidden, false)) v ON v.album_id = al.album_id GROUP BY al.album_id, al.name", ("img", "al"))
 def _(s, d):
     imgs = C.images(s, d)
-    seen = C.album_images(imgs).join(imgs.where(~F.coalesce("hidden", F.lit(False))).select(F.col("id").alias("image_id")), "image_id", "left_semi").groupBy("album_id").agg(F.count(F.lit(1)).alias("n"))
+    seen = C.album_images(imgs).join(imgs.where(S.visible()).select(F.col("id").alias("image_id")), "image_id", "left_semi").groupBy("album_id").agg(F.count(F.lit(1)).alias("n"))
     return C.albums(s).join(seen, "album_id", "left").select("album_id", "name", F.coalesce("n", F.lit(0)).alias("n_files"))
 
 

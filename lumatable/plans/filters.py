@@ -53,9 +53,9 @@ class SmartQuery:
         parts = [f"“{self.text}”" if self.text else "", f"≥ {self.min_rating} stars" if self.min_rating else "", {1: "picks", -1: "rejects"}.get(self.flag or 0, ""), "not rejected" if self.exclude_rejected else "", S.COLORS[self.color] if self.color else "", self.camera or "", self.lens or "", *self.tags, *(f"not {t}" for t in self.not_tags)]
         return " · ".join(p for p in parts if p)
 
-    def apply(self, images: DataFrame, t: Tables) -> DataFrame:
-        """Visible images that meet every part; tags match whole names without regard to case, and not their descendants."""
-        c = ~F.coalesce("hidden", F.lit(False))
+    def condition(self) -> Column:
+        """Whether an image is visible and meets the parts that need no other table, all but tags and text."""
+        c = S.visible()
         if self.min_rating:
             c &= F.coalesce("rating", F.lit(0)) >= self.min_rating
         if self.flag is not None:
@@ -70,7 +70,11 @@ class SmartQuery:
             c &= F.col("camera_model").ilike(f"%{self.camera}%") | F.col("camera_make").ilike(f"%{self.camera}%")
         if self.lens:
             c &= F.col("lens_model").ilike(f"%{self.lens}%")
-        out = images.where(c)
+        return c
+
+    def apply(self, images: DataFrame, t: Tables) -> DataFrame:
+        """Visible images that meet every part; tags match whole names without regard to case, and not their descendants."""
+        out = images.where(self.condition())
         for name in self.tags:
             out = out.join(tagged(t, F.lower("name") == name.lower()), "id", "left_semi")
         for name in self.not_tags:
@@ -118,9 +122,9 @@ class View:
     color: int | None = None
 
     def apply(self, images: DataFrame, t: Tables = Tables()) -> DataFrame:
-        out = images.where(~F.coalesce("hidden", F.lit(False)))
+        out = images.where(S.visible())
         if self.rating is not None:
-            out = out.where(F.col("rating") >= self.rating if self.rating > 0 else F.coalesce("rating", F.lit(0)) == 0)
+            out = out.where(F.col("rating") >= self.rating if self.rating > 0 else F.col("rating").isNull() | (F.col("rating") == 0))
         if self.flag is not None:
             out = out.where(F.col("flagged") == self.flag)
         if self.color:  # no colour chosen means no filter
@@ -146,7 +150,7 @@ class View:
                 saved = t.smart_collections.where(F.col("id") == self.value).select("query_json").limit(1).collect()  # one row
                 return SmartQuery.parse(saved[0].query_json).apply(out, t) if saved else out.where(F.lit(False))
             case "color":
-                return out.where(F.coalesce("color_label", F.lit(0)) == self.value)
+                return out.where(F.col("color_label") == self.value if self.value else F.col("color_label").isNull() | (F.col("color_label") == 0))
             case "missing":
                 return out.where("missing")
             case "blurred":
