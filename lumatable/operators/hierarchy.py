@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumatable.functions.text import strip_space
+from lumatable.functions.text import path_parts, strip_space
 from lumatable.runtime import Rounds, ship, table
 
 SEPARATOR = "|"
@@ -192,11 +192,6 @@ def descendants(nodes: DataFrame) -> DataFrame:
     return ids.select(F.col("id").alias("descendant_id"), "depth", F.posexplode("path").alias("at", "up")).where("at < depth").select(F.col("up").cast("bigint").alias("ancestor_id"), "descendant_id", (F.col("depth") - F.col("at")).alias("distance"))
 
 
-def path_parts(path):
-    """Parts of a written path: split at | or /, trimmed, empty parts dropped, in lower case; null gives none."""
-    return F.filter(F.transform(F.split(F.lower(F.coalesce(path, F.lit(""))), r"[|/]"), strip_space), lambda x: x != "")
-
-
 def tag_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "tags").select("id", F.col("parent_id").alias("parent"), strip_space(F.col("name")).alias("name"))
 

@@ -4,7 +4,8 @@ from collections import Counter
 from conftest import rows
 from pyspark.sql import functions as F
 
-from lumatable.operators.hierarchy import descendants, hierarchy, path_parts
+from lumatable.functions.text import path_parts
+from lumatable.operators.hierarchy import descendants, hierarchy
 
 
 def brute(parents, names):
@@ -50,5 +51,5 @@ def test_empty_null_names_and_descendants(spark):
 
 
 def test_path_parts(spark):
-    df = spark.createDataFrame([(" A / b|| C ",), (None,), ("",)], "p string").select(path_parts(F.col("p")).alias("x"))
-    assert [r.x for r in df.collect()] == [["a", "b", "c"], [], []]
+    df = spark.createDataFrame([(" A / b|| C ",), (None,), ("",), (" | x y/ /z |",), ("a" + " " * 100_000 + "b",)], "p string").select(path_parts(F.col("p")).alias("x"))
+    assert [r.x for r in df.collect()] == [["a", "b", "c"], [], [], ["x y", "z"], ["a" + " " * 100_000 + "b"]]
