@@ -175,7 +175,7 @@ def day_of(second: Column) -> Column:
 
 def day_bounds(year: Column, month: Column, day: Column) -> Column:
     """First and last second of a day as a struct (start, end); a date that does not exist gives 0 and 0."""
-    start = F.unix_date(F.try_make_date(year, month, day)).cast("bigint") * 86_400 if hasattr(F, "try_make_date") else F.unix_date(F.try_to_timestamp(F.format_string("%04d-%02d-%02d", year, month, day), F.lit("yyyy-MM-dd")).cast("date")).cast("bigint") * 86_400
+    start = F.unix_date(F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd")).cast("bigint") * 86_400
     return F.struct(F.coalesce(start, F.lit(0)).cast("bigint").alias("start"), F.coalesce(start + 86_399, F.lit(0)).cast("bigint").alias("end"))
 
 
@@ -194,11 +194,12 @@ def describe_shift(delta: Column) -> Column:
     s = F.abs(delta)
     clock = F.format_string("%02d:%02d:%02d", F.floor(s % 86_400 / 3600), F.floor(s % 3600 / 60), s % 60)
     days = F.floor(s / 86_400)
-    return F.concat(F.when(delta < 0, "-").otherwise("+"), F.when(days > 0, F.concat(days.cast("string"), F.lit("d "))).otherwise(""), clock)
+    return F.when(delta.isNotNull(), F.concat(F.when(delta < 0, "-").otherwise("+"), F.when(days > 0, F.concat(days.cast("string"), F.lit("d "))).otherwise(""), clock))
 
 
 def format_bytes(n: Column) -> Column:
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, F.format_string("%.1f KB", n / 1024.0)).otherwise(F.format_string("%.1f MB", n / (1024.0 * 1024.0)))
+    shown = lambda unit, name: F.format_string(f"%.1f {name}", F.bround(n / unit, 1))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, shown(1024.0, "KB")).when(n.isNotNull(), shown(1024.0 * 1024.0, "MB"))
 
 
 def section_title(second: Column, n: Column) -> Column:

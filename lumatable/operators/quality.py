@@ -39,13 +39,24 @@ def nth(df: DataFrame, value: str, index, by: list[str] | None, out: str, least:
     return ranked.where(reach & (F.col("total") >= least)).groupBy(*by).agg(F.min("v").alias(out))
 
 
+REFERENCE = "median_sharpness", "eye_p80", "weak_below"
+
+
 def library_reference(quality: DataFrame) -> DataFrame:
-    """One row: median sharpness (the upper one), p80 of eye sharpness, p10 of aesthetic where at least 30 files have it."""
-    one = quality.select(F.lit(1).alias("one")).limit(1)
-    parts = [upper_median(quality, "sharpness").withColumnRenamed("median", "median_sharpness"), nearest_percentile(quality, "eye_sharpness", 0.8).withColumnRenamed("percentile", "eye_p80"), nearest_percentile(quality, "aesthetic", WEAK_SHARE, least=WEAK_LEAST).withColumnRenamed("percentile", "weak_below")]
-    for p in parts:  # each has at most one row
-        one = one.join(F.broadcast(p), F.lit(True), "left")
-    return one.drop("one")
+    """One row: median sharpness (the upper one), p80 of eye sharpness, p10 of aesthetic where at least 30 files have it; no row of no readings."""
+    long = quality.select(F.posexplode(F.array("sharpness", "eye_sharpness", "aesthetic")).alias("which", "value"))
+    found = nth(long, "value", lambda n: F.when(F.col("which") == 0, F.floor(n / 2)).otherwise(F.floor((n - 1) * F.when(F.col("which") == 1, 0.8).otherwise(WEAK_SHARE) + 0.5)), ["which"], "v")
+    # a value counts only where enough readings have it
+    n = long.where("value is not null").groupBy("which").agg(F.count(F.lit(1)).alias("n"))
+    enough = found.join(n, "which").where(f"which < 2 or n >= {WEAK_LEAST}")
+    one = enough.agg(*(F.max(F.when(F.col("which") == i, F.col("v"))).alias(c) for i, c in enumerate(REFERENCE)), F.count(F.lit(1)).alias("n"))
+    return one.where("n > 0").select(*REFERENCE)
+
+
+def with_reference(df: DataFrame, reference: DataFrame) -> DataFrame:
+    """`df` with the values of the one-row reference as constants; null where it has no row."""
+    row = reference.select(*REFERENCE).first()
+    return df.withColumns({c: F.lit(None if row is None else row[c]).cast("double") for c in REFERENCE})
 
 
 def aesthetic_rank(quality: DataFrame, value: float) -> DataFrame:
@@ -98,11 +109,11 @@ def suggestions(files: DataFrame, quality: DataFrame, reference: DataFrame | Non
     ticked). Shots with any flag are never suggested, but still count as a burst's reference. An undated shot has no eye reference.
     """
     files, quality = materialize(files, "files"), materialize(quality, "quality")
-    ref = F.broadcast(materialize(library_reference(quality) if reference is None else reference, "reference"))  # one row
+    reference = library_reference(quality) if reference is None else reference
     bursts = materialize(find_bursts(files.select("id", "created_at", "camera", "shot_key")), "bursts")
     parts_of = files.join(bursts, "id", "left").withColumn("part", F.concat_ws("#", "shot_key", F.col("burst_id").cast("string")))
     s = materialize(shot_scores(parts_of, quality, ["part", "burst_id"]).where("sharpness is not null"), "parts")
-    s = s.join(session_eyes(s, shot_scores(files, quality), "part"), "part", "left").join(ref, F.lit(True), "left")
+    s = with_reference(s.join(session_eyes(s, shot_scores(files, quality), "part"), "part", "left"), reference)
     s = s.withColumn("potential", potential(F.col("aesthetic"), F.col("aesthetic_crop"), F.coalesce("has_crop", F.lit(False))))
     s = materialize(s, "scored")
     b = Window.partitionBy("burst_id")  # the shots of one burst; rows outside bursts are judged apart
@@ -163,4 +174,71 @@ def readings(files: DataFrame, quality: DataFrame, reference: DataFrame) -> Data
     of_shot = F.first("sharpness", ignorenulls=True).over(Window.partitionBy("shot_key").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     own = files.select("id", "shot_key").join(q, "id", "left").withColumn("value", F.coalesce(F.col("sharpness"), of_shot))
     percent = S.percent_of(F.col("value"), F.col("median_sharpness"))
-    return own.join(F.broadcast(reference), F.lit(True), "left").select("id", percent.alias("percent"), S.grade(percent, eyes=False).alias("grade"))
+    return with_reference(own, reference).select("id", percent.alias("percent"), S.grade(percent, eyes=False).alias("grade"))
+
+
+def session_readings(files: DataFrame, quality: DataFrame, reference: DataFrame, suggested: DataFrame | None = None) -> DataFrame:
+    """(id, percent, by_eyes, in_session, grade) of each scored file: its eyes against the session's sharp shots, else the library's, and
+    without eyes its frame against the library's median.
+
+    The session is the camera's files within half an hour; each shot counts once, with its best eyes, and at least three must have
+    them. `suggested` (id, ticked) makes a file with a ticked suggestion Bad, at 5 percent where there is nothing to compare with.
+    """
+    q = quality.select(F.col("image_id").alias("id"), "sharpness", "eye_sharpness")
+    own = materialize(files.select("id", "created_at", "camera", "shot_key").join(q, "id"), "scored-files")
+    cam = F.coalesce("camera", F.lit(""))
+    near = own.where("eye_sharpness is not null and created_at is not null").groupBy(cam.alias("cam"), "shot_key", "created_at").agg(F.max("eye_sharpness").alias("eye"))
+    slots = near.groupBy("cam", F.floor(F.col("created_at") / SESSION_S).alias("slot")).agg(F.collect_list(F.struct(F.col("created_at").alias("t2"), "shot_key", "eye")).alias("seen"))
+    asked = own.where("created_at is not null").select(cam.alias("cam"), F.col("created_at").alias("t1")).distinct()
+    spread = asked.withColumn("slot", F.explode(F.array(*(F.floor(F.col("t1") / SESSION_S) + k for k in (-1, 0, 1)))))
+    hits = spread.join(slots, ["cam", "slot"]).select("cam", "t1", F.explode(F.filter("seen", lambda x: F.abs(x["t2"] - F.col("t1")) <= SESSION_S)).alias("x"))
+    eyes = hits.groupBy("cam", "t1", "x.shot_key").agg(F.max("x.eye").alias("eye")).groupBy("cam", "t1").agg(F.sort_array(F.collect_list("eye")).alias("e"))
+    at = F.floor((F.size("e") - 1) * 0.8 + 0.5).cast("int") + 1
+    refs = eyes.select("cam", F.col("t1").alias("created_at"), F.when(F.size("e") >= SESSION_LEAST, F.element_at("e", at)).alias("session_eye"))
+    j = with_reference(own.withColumn("cam", cam).join(refs, ["cam", "created_at"], "left"), reference)
+    eye_ref = F.coalesce("session_eye", "eye_p80")
+    by_eyes = F.col("eye_sharpness").isNotNull() & F.coalesce(eye_ref > 0, F.lit(False))
+    percent = F.when(by_eyes, F.col("eye_sharpness") / eye_ref * 100).when(F.col("median_sharpness") > 0, F.col("sharpness") / F.col("median_sharpness") * 100)
+    out = j.select("id", percent.alias("percent"), by_eyes.alias("by_eyes"), (by_eyes & F.col("session_eye").isNotNull()).alias("in_session"))
+    graded = F.when(F.col("by_eyes"), S.grade(F.col("percent"))).otherwise(S.grade(F.col("percent"), eyes=False))
+    if suggested is None:
+        return out.withColumn("grade", graded)
+    bad = suggested.where("ticked").select("id", F.lit(True).alias("bad")).distinct()
+    return out.join(bad, "id", "left").withColumns({"grade": F.when(F.col("bad"), "Bad").otherwise(graded), "percent": F.coalesce("percent", F.when(F.col("bad"), 5.0))}).drop("bad")
+
+
+def rejects_view(files: DataFrame, quality: DataFrame) -> DataFrame:
+    """(id, reason, ticked): why each rejected file would have been suggested, had nothing been rejected yet."""
+    before = files.withColumn("flagged", F.when(F.col("flagged") == -1, 0).otherwise(F.col("flagged")))
+    rejected = files.where("flagged = -1").select("id").distinct()
+    return suggestions(before, quality).join(rejected, "id", "left_semi")
+
+
+def review_rejects(files: DataFrame, scores: DataFrame, reference: DataFrame) -> DataFrame:
+    """(id, reason) of files not yet imported that look like faults: the same rules without model outputs, ticked ones only."""
+    found = suggestions(files, new_rows(scores, 0).select("image_id", *(c for c in VALUES if c != "has_crop"), F.lit(False).alias("has_crop")), reference)
+    return found.where("ticked").select("id", "reason")
+
+
+def reject_count(suggested: DataFrame) -> DataFrame:
+    return suggested.agg(F.countDistinct("id").alias("n"))
+
+
+def new_rows(scores: DataFrame, computed_at: int) -> DataFrame:
+    """Rows of the quality table from computed scores (id and its readings); what models add is null."""
+    values = ["sharpness", "sharpness_global", "clip_shadows", "clip_highlights", "mean_luma", "quality_version"]
+    models = {"faces": "int", "eye_sharpness": "double", "aesthetic": "double", "aesthetic_crop": "double", "crop_x": "double", "crop_y": "double", "crop_w": "double", "crop_h": "double"}
+    return scores.select(F.col("id").alias("image_id"), *values, F.lit(computed_at).cast("bigint").alias("computed_at"), *(F.lit(None).cast(t).alias(c) for c, t in models.items()))
+
+
+def final_rejects(rejected: DataFrame, restored: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Ids rejected once the choices are saved: those rejected before without the restored ones, and the chosen, each once, in order."""
+    ids = lambda df: df.select("id")
+    return ids(rejected).subtract(ids(restored)).union(ids(chosen)).distinct().orderBy("id")
+
+
+def apply_choices(images: DataFrame, reject: DataFrame, restore: DataFrame) -> DataFrame:
+    """Images after saving the choices: rejects are flagged -1, restored ones lose their flag; a file in both is rejected."""
+    mark = lambda df, name: df.select("id", F.lit(True).alias(name)).distinct()
+    j = images.join(mark(reject, "__reject"), "id", "left").join(mark(restore, "__restore"), "id", "left")
+    return j.withColumn("flagged", F.when(F.col("__reject"), -1).when(F.col("__restore"), 0).otherwise(F.col("flagged"))).select(*images.columns)

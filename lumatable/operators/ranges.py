@@ -10,19 +10,17 @@ from lumatable.runtime import broadcast_within
 DAY_S = 86_400
 
 
-def containing(images: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Pairs (id, range_id, length) of images and ranges that hold their moment.
+def by_day(ranges: DataFrame) -> DataFrame:
+    """Ranges once for each day they touch, so that other tables meet them by an equality; broadcast where a count proves them few."""
+    span = F.sequence(F.floor(F.col("start_date") / DAY_S), F.floor(F.col("end_date") / DAY_S))
+    return broadcast_within(ranges.where("start_date <= end_date").withColumn("day", F.explode(span)))[0]
+
 
-    Few ranges are broadcast after their number is checked. Otherwise each range is exploded over the days it touches, and both
-    sides meet by day.
-    """
-    moments = images.where("created_at is not null").select("id", "created_at")
-    few, small = broadcast_within(ranges, 10_000)
+def containing(images: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Pairs (id, range_id, length) of images and ranges that hold their moment."""
+    moments = images.where("created_at is not null").select("id", "created_at").withColumn("day", F.floor(F.col("created_at") / DAY_S))
     length = (F.col("end_date") - F.col("start_date")).alias("length")
-    if small:
-        return moments.join(few, F.col("created_at").between(F.col("start_date"), F.col("end_date"))).select("id", "range_id", length)
-    days = ranges.where("start_date <= end_date").withColumn("day", F.explode(F.sequence(F.floor(F.col("start_date") / DAY_S), F.floor(F.col("end_date") / DAY_S))))
-    return moments.withColumn("day", F.floor(F.col("created_at") / DAY_S)).join(days, "day").where("created_at between start_date and end_date").select("id", "range_id", length)
+    return moments.join(by_day(ranges), "day").where("created_at between start_date and end_date").select("id", "range_id", length)
 
 
 def with_counts(images: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -38,9 +36,8 @@ def narrowest(images: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def of_days(days: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(day_start, range_id): the narrowest range that overlaps each day, of days given by their first second."""
-    few, _ = broadcast_within(ranges, 10_000)
-    hit = days.join(few, (F.col("start_date") < F.col("day_start") + DAY_S) & (F.col("end_date") >= F.col("day_start")))
+    """(day_start, range_id): the narrowest range that overlaps each day, of days given by their first second, at midnight."""
+    hit = days.withColumn("day", F.floor(F.col("day_start") / DAY_S)).join(by_day(ranges), "day")
     rank = Window.partitionBy("day_start").orderBy(F.col("end_date") - F.col("start_date"), "range_id")
     return hit.withColumn("rn", F.row_number().over(rank)).where("rn = 1").select("day_start", "range_id")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import log
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,24 +98,19 @@ def ranked_search(images: DataFrame, text: str, limit: int) -> DataFrame:
     """
     words = [S.fold_word(w) for w in S.search_words(text)]
     tokens = F.filter(F.split(F.lower(F.regexp_replace(F.concat_ws(" ", *RANKED_COLUMNS), r"[^\p{L}\p{N}]+", " ")), " "), lambda t: t != "")
-    hits = [F.size(F.filter("tokens", lambda t, w=w: t.startswith(w.split()[-1]))).alias(f"tf{i}") for i, w in enumerate(words)]
-    docs = images.where(S.matches_text(text, RANKED_COLUMNS) if not words else F.lit(True)).select("id", tokens.alias("tokens")).select("id", F.size("tokens").alias("length"), *hits)
+    begins = lambda w: lambda t: F.startswith(t, F.lit(w.split()[-1]))
+    hits = [F.size(F.filter("tokens", begins(w))).alias(f"tf{i}") for i, w in enumerate(words)]
     if not words:
-        return docs.select("id", F.lit(0.0).alias("score")).limit(0)
+        return images.select("id", F.lit(0.0).alias("score")).limit(0)
+    docs = images.select("id", tokens.alias("tokens")).select("id", F.size("tokens").alias("length"), *hits)
     n, mean, *df = docs.agg(F.count(F.lit(1)), F.avg("length"), *(F.count_if(F.col(f"tf{i}") > 0) for i in range(len(words)))).first()  # one row of statistics
-    idf = [max(1e-6, _log((n - d + 0.5) / (d + 0.5))) for d in df]
+    idf = [max(1e-6, log((n - d + 0.5) / (d + 0.5))) for d in df]
     tf = [F.col(f"tf{i}") for i in range(len(words))]
     part = lambda x, w: F.lit(w) * x * (K1 + 1) / (x + K1 * (1 - B + B * F.col("length") / F.lit(mean or 1.0)))
     score = reduce(lambda a, b: a + b, (part(x, w) for x, w in zip(tf, idf, strict=True)))
     return docs.where(reduce(lambda a, b: a & b, (x > 0 for x in tf))).select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), F.desc("id")).limit(limit)
 
 
-def _log(x: float) -> float:
-    from math import log
-
-    return log(x)
-
-
 def trash_plan(images: DataFrame, selected: DataFrame, mode: str) -> DataFrame:
     """(id, path, trashed) of every version of the selected files' (id) shots: which go by the mode (all, raw or raster), and which stay,
     whose sidecars must be kept. A shot that the mode leaves empty loses what was selected."""

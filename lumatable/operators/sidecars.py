@@ -17,7 +17,7 @@ FIELDS = "rating int, rejected boolean, title string, description string, orient
 
 # The editor's own keyword root, the modules whose use counts as an edit, and the names in the documents.
 EDITOR_ROOT = "darktable"
-USER_MODULES = frozenset("crop clipping ashift retouch vignette monochrome watermark grain toneequal colorequal bilat diffuse".split())
+USER_MODULES = ("crop", "clipping", "ashift", "retouch", "vignette", "monochrome", "watermark", "grain", "toneequal", "colorequal", "bilat", "diffuse")
 XMP, TIFF, DC, DT, LR, RDF = "http://ns.adobe.com/xap/1.0/", "http://ns.adobe.com/tiff/1.0/", "http://purl.org/dc/elements/1.1/", "http://darktable.sf.net/", "http://ns.adobe.com/lightroom/1.0/", "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 _PREFIXES = {"xmp": XMP, "tiff": TIFF, "dc": DC, "darktable": DT, "lr": LR, "rdf": RDF, "x": "adobe:ns:meta/"}
 
@@ -108,6 +108,49 @@ def find_sidecar(images: DataFrame, files: DataFrame) -> DataFrame:
     return images.withColumns({"a": full, "b": short}).join(f1, "a", "left").join(f2, "b", "left").select("id", F.coalesce("a2", "b2").alias("sidecar")).where("sidecar is not null")
 
 
+def find_project(images: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, project) of images (id, path): the editor's project of the same stem beside it, in any case; the smallest of several."""
+    key = lambda c: F.lower(F.regexp_replace(c, r"\.[^./]*$", ""))
+    there = files.where(S.extension(F.col("path")) == "xcf").groupBy(S.directory(F.col("path")).alias("dir"), key(F.col("path")).alias("key")).agg(F.min("path").alias("project"))
+    return images.select("id", S.directory(F.col("path")).alias("dir"), key(F.col("path")).alias("key")).join(there, ["dir", "key"]).select("id", "project")
+
+
+def sidecar_destination(source: Column, sidecar: Column, destination: Column) -> Column:
+    """Where a sidecar goes with its file, in its own way of naming: name.ext.xmp or name.xmp."""
+    appended = F.regexp_replace(sidecar, r"^.*/|\.[^./]*$", "") == F.regexp_replace(source, r"^.*/", "")
+    return F.concat(F.when(appended, destination).otherwise(F.regexp_replace(destination, r"\.[^./]*$", "")), F.lit(".xmp"))
+
+
+def stale(images: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, sidecar, mtime) of images (id, path, xmp_mtime) whose sidecar among the files (path, mtime) is newer than the one read last;
+    a write of one's own is not read again, as its time is recorded."""
+    there = find_sidecar(images.select("id", "path"), files.select("path")).join(files.select(F.col("path").alias("sidecar"), "mtime"), "sidecar")
+    return images.select("id", "xmp_mtime").join(there, "id").where(is_newer(F.col("xmp_mtime"), F.col("mtime"))).select("id", "sidecar", "mtime")
+
+
+def after_write(images: DataFrame, written: DataFrame) -> DataFrame:
+    """Images after sidecars were written (id, mtime): they have one, and its time."""
+    w = written.groupBy("id").agg(F.max("mtime").alias("__mtime"))
+    j = images.join(w, "id", "left")
+    return j.withColumns({"xmp_mtime": F.coalesce("__mtime", "xmp_mtime"), "has_sidecar": F.when(F.col("__mtime").isNotNull(), True).otherwise(F.col("has_sidecar"))}).select(*images.columns)
+
+
+def repair_keyword_tags(tags: DataFrame, image_tags: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tags and their use without the editor's own keywords, which had become tags of images: of each image with the editor's root as
+    a tag, those that its sidecar (documents: image_id, paths) has only below that root. Tags then left on no image and without
+    children go. Running it again changes nothing."""
+    root = tags.where(F.lower("name") == EDITOR_ROOT).select(F.col("id").alias("tag_id"))
+    hit = image_tags.join(root, "tag_id", "left_semi").select("image_id").distinct()
+    own = lambda keep: F.filter("paths", lambda p: F.contains(p, F.lit("|")) & (F.lower(p).startswith(EDITOR_ROOT + "|") == F.lit(keep)))
+    words = lambda keep: F.transform(F.flatten(F.transform(own(keep), lambda p: F.split(p, r"\|"))), lambda p: F.lower(F.trim(p)))
+    internal = documents.join(hit, "image_id", "left_semi").where("paths is not null").select("image_id", F.explode(F.array_union(F.array_except(words(True), words(False)), F.array(F.lit(EDITOR_ROOT)))).alias("key"))
+    named = tags.select(F.col("id").alias("tag_id"), F.lower(F.trim("name")).alias("key"))
+    gone = internal.join(named, "key").select("image_id", "tag_id").distinct()
+    used = image_tags.join(gone, ["image_id", "tag_id"], "left_anti").select(*image_tags.columns)
+    unused = gone.select(F.col("tag_id").alias("id")).distinct().join(used.select(F.col("tag_id").alias("id")), "id", "left_anti").join(tags.select(F.col("parent_id").alias("id")), "id", "left_anti")
+    return tags.join(unused, "id", "left_anti"), used
+
+
 def is_newer(stored: Column, mtime: Column) -> Column:
     return stored.isNull() | (mtime > stored)
 

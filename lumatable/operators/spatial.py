@@ -6,7 +6,9 @@ region can hold. Within a cell a vantage-point tree over the region centres, wit
 regions that hold a point.
 
 Where a count proves the regions few, each task holds the whole index and the points are not shuffled at all. Otherwise both
-sides are shuffled by cell, and each cell is cut into blocks of bounded size on both sides, so no task gets an unbounded cell.
+sides are shuffled by cell. Pivots are drawn from the points and regions themselves, as many as their number asks for, so dense
+places have many small cells; a cell that is still too large, as many points may lie at one place, is cut into blocks of
+bounded size on both sides, so no task gets an unbounded cell.
 """
 
 from __future__ import annotations
@@ -18,11 +20,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumatable.runtime import BROADCAST_ROWS, ship, table
+from lumatable.runtime import BROADCAST_ROWS, materialize, ship, table
 
 EARTH_M = 6_371_008.8
-#: Pivots at most, the bounded sample they are chosen from, and rows of either side in a block of a shuffled cell.
-PIVOTS, PIVOT_SAMPLE, BLOCK_ROWS = 64, 2_000, 50_000
+#: Pivots of an index that is sent to all tasks, and the bounded sample they are chosen from.
+PIVOTS, PIVOT_SAMPLE = 64, 2_000
+#: Rows of either side in a block of a shuffled cell, rows for each of which there is a pivot, pivots at most, and rows compared with them at once.
+BLOCK_ROWS, PIVOT_ROWS, MOST_PIVOTS, AT_ONCE = 50_000, 20_000, 1_024, 4_000
 #: Metres by which bounds are widened against rounding; distances themselves are compared exactly.
 SLACK_M = 1.0
 
@@ -56,7 +60,8 @@ def choose_pivots(lat: np.ndarray, lon: np.ndarray, most: int = PIVOTS) -> np.nd
 
 def cell_of(pivots: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
     """Number of the nearest pivot of each point."""
-    return (_unit(lat, lon) @ _unit(pivots[:, 0], pivots[:, 1]).T).argmax(axis=1)
+    at, p = _unit(pivots[:, 0], pivots[:, 1]).T, _unit(lat, lon)
+    return np.concatenate([(p[i : i + AT_ONCE] @ at).argmax(axis=1) for i in range(0, max(1, len(p)), AT_ONCE)])
 
 
 def cells_reached(pivots: np.ndarray, lat: np.ndarray, lon: np.ndarray, radius: np.ndarray) -> np.ndarray:
@@ -147,8 +152,13 @@ def _by_index(points: DataFrame, regions: pd.DataFrame) -> DataFrame:
 
 def _by_cells(points: DataFrame, regions: DataFrame, block_rows: int) -> DataFrame:
     """Both sides shuffled by cell, in blocks: a cell of p and r blocks becomes p * r tasks' groups of bounded size."""
-    sample = regions.orderBy(F.xxhash64("id"), "id").limit(PIVOT_SAMPLE).select("lat", "lon").toPandas()
-    pivots = choose_pivots(np.radians(sample.lat.to_numpy()), np.radians(sample.lon.to_numpy()))
+    places = points.select("id", "lat", "lon").unionByName(regions.select("id", "lat", "lon"))
+    most = min(MOST_PIVOTS, max(PIVOTS, -(-places.count() // PIVOT_ROWS)))
+    # the sample only decides where cells lie; results are the same for any
+    sample = places.select("lat", "lon", F.xxhash64("id", "lat", "lon").alias("h")).orderBy("h").limit(2 * most).toPandas()
+    lat, lon = np.radians(sample.lat.to_numpy()), np.radians(sample.lon.to_numpy())
+    spread = choose_pivots(lat, lon, most // 2)  # half far from each other, half where most places are
+    pivots = np.unique(np.concatenate([spread, np.column_stack([lat, lon])[: most - len(spread)]]), axis=0)
 
     def to_cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -156,8 +166,10 @@ def _by_cells(points: DataFrame, regions: DataFrame, block_rows: int) -> DataFra
 
     def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            i, c = np.nonzero(cells_reached(pivots, np.radians(b.lat.to_numpy()), np.radians(b.lon.to_numpy()), b.radius_m.to_numpy()))
-            yield b.iloc[i].assign(cell=c.astype("int32"))
+            for k in range(0, len(b), AT_ONCE):
+                part = b.iloc[k : k + AT_ONCE]
+                i, c = np.nonzero(cells_reached(pivots, np.radians(part.lat.to_numpy()), np.radians(part.lon.to_numpy()), part.radius_m.to_numpy()))
+                yield part.iloc[i].assign(cell=c.astype("int32"))
 
     p = points.mapInPandas(to_cell, "id bigint, lat double, lon double, cell int")
     r = regions.mapInPandas(to_cells, "id bigint, lat double, lon double, radius_m double, cell int")
@@ -185,7 +197,7 @@ def within_regions(points: DataFrame, regions: DataFrame, broadcast_rows: int =
     ship(points.sparkSession)
     p = points.select("id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).where(valid_position("lat", "lon") & F.col("id").isNotNull())
     r = regions.select("id", *(F.col(c).cast("double").alias(c) for c in ("lat", "lon", "radius_m"))).where(valid_position("lat", "lon") & F.col("id").isNotNull() & (F.col("radius_m") >= 0) & ~F.isnan("radius_m")).distinct()
-    few = r.limit(broadcast_rows + 1).toPandas()  # bounded by the limit, which also is the check
+    few = r.limit(broadcast_rows + 1).toPandas()  # the limit is the check and the bound: 200,001 rows of 32 bytes, 6.4 MB
     return (_by_index(p, few) if len(few) <= broadcast_rows else _by_cells(p, r, block_rows)).distinct()
 
 
@@ -194,8 +206,36 @@ def near_points(points: DataFrame, others: DataFrame, radius_m: float, **options
     return within_regions(points, others.withColumn("radius_m", F.lit(float(radius_m))), **options).where("point_id != region_id")
 
 
+def by_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query p7_by_cells: the rows of p7_found with both sides shuffled by cell, as for regions too many to be sent to all tasks."""
+    return _named(spark, sf_dir, broadcast_rows=0)
+
+
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query p7_found: each image with the named places whose region holds it."""
+    return _named(spark, sf_dir)
+
+
+def _named(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     images = table(spark, sf_dir, "images").select("id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
     places = table(spark, sf_dir, "places").select(F.col("place_id").alias("id"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), "radius_m")
-    return within_regions(images, places).select(F.col("point_id").alias("image_id"), F.col("region_id").alias("place_id"))
+    return within_regions(images, places, **options).select(F.col("point_id").alias("image_id"), F.col("region_id").alias("place_id"))
+
+
+#: Metres within which p7_near looks for other positions.
+NEAR_M = 100.0
+
+
+def near_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query p7_near: for each image whose id is divisible by 20, how many positions and images lie within 100 m of it, itself left out:
+    (image_id, n_positions, n_images).
+
+    Images of one position are one class with their number, so a place with a third of all images is one row, and no pairs of its
+    copies are made. A row for each image that has any.
+    """
+    images = table(spark, sf_dir, "images").select("id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon")).where(valid_position("lat", "lon") & F.col("id").isNotNull()).groupBy("id").agg(F.min(F.struct("lat", "lon")).alias("p")).select("id", "p.lat", "p.lon")
+    places = materialize(images.groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("place")), "positions")
+    asked = images.where("id % 20 = 0")
+    pairs = within_regions(asked, places.select(F.col("place").alias("id"), "lat", "lon", F.lit(NEAR_M).alias("radius_m")))
+    near = pairs.join(places.select(F.col("place").alias("region_id"), "n"), "region_id").groupBy("point_id").agg(F.count(F.lit(1)).alias("n_positions"), (F.sum("n") - 1).alias("n_images"))
+    return near.where("n_images > 0").select(F.col("point_id").alias("image_id"), "n_positions", "n_images")

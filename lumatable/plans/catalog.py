@@ -93,11 +93,11 @@ ALBUMS = ((1, "Best of", "rating = 5"), (2, "prints", "flagged = 1"), (3, "Archi
 
 
 def ranges(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(RANGES), "range_id bigint, name string, start_date bigint, end_date bigint")
+    return spark.sql(f"WITH {RANGES_SQL} SELECT * FROM rg")
 
 
 def albums(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([a[:2] for a in ALBUMS], "album_id bigint, name string")
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"({i}L, '{n}')" for i, n, _ in ALBUMS) + " t(album_id, name)")
 
 
 def album_images(imgs: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumatable.functions import scalars as S
-from lumatable.operators import arrays, bursts, edits, hierarchy, ingest, quality, ranges, sessions, sidecars, spatial, tags, timeline, timestamps
+from lumatable.operators import arrays, bursts, edits, hierarchy, ingest, quality, ranges, records, sessions, sidecars, spatial, tags, timeline, timestamps
 from lumatable.plans import catalog as C
-from lumatable.plans.filters import SmartQuery, Tables, View
+from lumatable.plans.filters import SmartQuery, Tables, View, tagged
 from lumatable.runtime import table
 
 QUERIES: dict = {
@@ -19,6 +19,8 @@ QUERIES: dict = {
     "p4_found": hierarchy.found,
     "p4_descendants": hierarchy.descendant_pairs,
     "p7_found": spatial.found,
+    "p7_by_cells": spatial.by_cells,
+    "p7_near": spatial.near_counts,
 }
 SQL: dict[str, str] = {}
 
@@ -38,10 +40,17 @@ def query(name: str, sql: str | None = None, uses: tuple[str, ...] = ("img",)):
     return register
 
 
-def tables(spark: SparkSession, d: str) -> Tables:
-    imgs = C.images(spark, d)
-    saved = spark.createDataFrame([(1, '{"min_rating": 4, "exclude_rejected": true}'), (2, '{"camera": "corvane", "flag": 1, "unknown": 3}')], "id bigint, query_json string")
-    return Tables(C.tags(spark, d), C.image_tags(spark, d), C.album_images(imgs), C.ranges(spark), C.quality(spark, d), saved)
+SAVED = ((1, '{"min_rating": 4, "exclude_rejected": true}'), (2, '{"camera": "corvane", "flag": 1, "unknown": 3}'))
+
+
+def tables(spark: SparkSession, d: str, kind: str = "") -> Tables:
+    """What a kind of view looks at besides the images."""
+    need = {"tag": "t", "search": "t", "album": "a", "range": "r", "blurred": "q", "smart": "ts"}.get(kind, "")
+    saved = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({i}L, '{j}')" for i, j in SAVED) + " t(id, query_json)") if "s" in need else None
+    return Tables(
+        C.tags(spark, d) if "t" in need else None, C.image_tags(spark, d) if "t" in need else None, C.album_images(C.image_rows(spark, d)).distinct() if "a" in need else None,
+        C.ranges(spark) if "r" in need else None, C.quality(spark, d) if "q" in need else None, saved,
+    )
 
 
 TILE = ["id", "filename", "format", "rating", "flagged", "color_label", "moment", "first_id", "versions", "has_raw_version", "is_edited", "has_xcf"]
@@ -49,8 +58,7 @@ TILE = ["id", "filename", "format", "rating", "flagged", "color_label", "moment"
 
 def tiles(view: View):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        t = tables(spark, d) if view.kind not in ("all", "day", "color", "missing") else Tables()
-        return timeline.in_order(timeline.collapse(view.apply(C.image_rows(spark, d), t))).select(*TILE)
+        return timeline.in_order(timeline.collapse(view.apply(C.image_rows(spark, d), tables(spark, d, view.kind)))).select(*TILE)
 
     return run
 
@@ -162,18 +170,15 @@ def _(s, d):
 
 @query("smart_counts", "SELECT 1::BIGINT AS query_id, count(DISTINCT shot_key) AS n_shots FROM img WHERE NOT coalesce(hidden, false) AND coalesce(rating, 0) >= 4 AND coalesce(flagged, 0) <> -1 UNION ALL SELECT 2, count(DISTINCT shot_key) FROM img WHERE NOT coalesce(hidden, false) AND flagged = 1 AND (lower(camera_model) LIKE '%corvane%' OR lower(camera_make) LIKE '%corvane%')")
 def _(s, d):
-    t, imgs = tables(s, d), C.images(s, d)
-    counted = [SmartQuery.parse(j).apply(imgs, t).agg(F.lit(i).cast("bigint").alias("query_id"), F.countDistinct("shot_key").alias("n_shots")) for i, j in ((1, '{"min_rating": 4, "exclude_rejected": true}'), (2, '{"camera": "corvane", "flag": 1}'))]
-    return counted[0].unionByName(counted[1])
+    saved = s.sql("SELECT * FROM VALUES " + ", ".join(f"({i}L, '{j}')" for i, j in SAVED) + " t(id, query_json)")
+    return records.counts_of_saved(saved, C.image_rows(s, d), Tables())
 
 
 @query("smart_tags", "SELECT id FROM img WHERE NOT coalesce(hidden, false) AND coalesce(rating, 0) >= 1 AND id IN (SELECT image_id FROM it JOIN tg ON tg.id = it.tag_id WHERE lower(name) LIKE 'snow walk%') AND id NOT IN (SELECT image_id FROM it JOIN tg ON tg.id = it.tag_id WHERE lower(name) LIKE 'red%')", ("img", "tg", "it"))
 def _(s, d):
-    from lumatable.plans.filters import tagged
-
-    t = tables(s, d)
-    base = SmartQuery(min_rating=1).apply(C.images(s, d), t)
-    return base.join(tagged(t, F.lower("name").startswith("snow walk")), "id", "left_semi").join(tagged(t, F.lower("name").startswith("red")), "id", "left_anti").select("id")
+    t = tables(s, d, "smart")
+    base = SmartQuery(min_rating=1).apply(C.image_rows(s, d), t)
+    return C.once(base.join(tagged(t, F.lower("name").startswith("snow walk")), "id", "left_semi").join(tagged(t, F.lower("name").startswith("red")), "id", "left_anti").select("id"))
 
 
 @query("tags_with_counts", "SELECT tag_id, any_value(name) AS name, count(DISTINCT shot_key) AS n_shots FROM it JOIN img ON img.id = it.image_id JOIN tg ON tg.id = it.tag_id WHERE NOT coalesce(hidden, false) GROUP BY tag_id", ("img", "tg", "it"))
@@ -420,3 +425,8 @@ SELECT node AS ancestor_id, id AS descendant_id, distance FROM up"""
 SQL["p7_found"] = f"""WITH p AS (SELECT DISTINCT id, radians(latitude) AS a, radians(longitude) AS o FROM images WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND NOT (latitude = 0 AND longitude = 0) AND NOT isnan(latitude) AND NOT isnan(longitude)),
 r AS (SELECT DISTINCT place_id, radians(latitude) AS a, radians(longitude) AS o, radius_m FROM places)
 SELECT DISTINCT id AS image_id, place_id FROM p JOIN r ON 2 * {spatial.EARTH_M} * asin(least(1.0, sqrt(pow(sin((r.a - p.a) / 2), 2) + cos(p.a) * cos(r.a) * pow(sin((r.o - p.o) / 2), 2)))) <= radius_m"""
+SQL["p7_by_cells"] = SQL["p7_found"]
+SQL["p7_near"] = f"""WITH p AS (SELECT DISTINCT id, latitude, longitude FROM images WHERE id IS NOT NULL AND latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND NOT (latitude = 0 AND longitude = 0) AND NOT isnan(latitude) AND NOT isnan(longitude)),
+r AS (SELECT latitude, longitude, count(*) AS n FROM p GROUP BY latitude, longitude), a AS (SELECT * FROM p WHERE id % 20 = 0)
+SELECT a.id AS image_id, count(*) AS n_positions, (sum(n) - 1)::BIGINT AS n_images FROM a JOIN r ON abs(r.latitude - a.latitude) < 0.01
+  AND 2 * {spatial.EARTH_M} * asin(least(1.0, sqrt(pow(sin(radians(r.latitude - a.latitude) / 2), 2) + cos(radians(a.latitude)) * cos(radians(r.latitude)) * pow(sin(radians(r.longitude - a.longitude) / 2), 2)))) <= {spatial.NEAR_M} GROUP BY a.id HAVING sum(n) > 1"""
