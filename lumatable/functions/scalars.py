@@ -269,6 +269,12 @@ def fold_word(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", word.casefold()) if not unicodedata.combining(c))
 
 
+def begins_with(token: Column, word: str) -> Column:
+    """Whether a token in lower case begins with a folded word; only tokens of other than plain letters need the collation."""
+    collated = F.startswith(F.collate(token, "UNICODE_CI_AI"), F.collate(F.lit(word), "UNICODE_CI_AI"))
+    return F.when(F.length(token) == F.octet_length(token), F.startswith(token, F.lit(word))).otherwise(collated)
+
+
 def matches_text(text: str, columns: list[str]) -> Column:
     """Whether each word of `text` begins a word in one of the columns, without regard to case and accents. A text without any
     word matches nothing.

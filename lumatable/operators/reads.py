@@ -98,7 +98,7 @@ def ranked_search(images: DataFrame, text: str, limit: int) -> DataFrame:
     """
     words = [S.fold_word(w) for w in S.search_words(text)]
     tokens = F.filter(F.split(F.lower(F.regexp_replace(F.concat_ws(" ", *RANKED_COLUMNS), r"[^\p{L}\p{N}]+", " ")), " "), lambda t: t != "")
-    begins = lambda w: lambda t: F.startswith(t, F.lit(w.split()[-1]))
+    begins = lambda w: lambda t: S.begins_with(t, w.split()[-1])
     hits = [F.size(F.filter("tokens", begins(w))).alias(f"tf{i}") for i, w in enumerate(words)]
     if not words:
         return images.select("id", F.lit(0.0).alias("score")).limit(0)
