@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
 TREES, DEPTH, RATE, LEAF_ROWS, RIDGE, BINS = 60, 3, 0.25, 5, 1.0, 16
@@ -83,7 +85,22 @@ class BoostedTrees:
                     stack.append((node, 2 * at + 1))  # an early leaf: every row goes left
         return feature, edge, leaf
 
+    def state(self) -> dict:
+        """The fitted trees as plain lists and numbers."""
+        return {"bias": self.bias, "trees": self.trees, "edges": [e.tolist() for e in self.edges]}
+
+    @classmethod
+    def of(cls, state: dict) -> BoostedTrees:
+        out = cls()
+        out.bias, out.edges = state["bias"], [np.array(e, dtype=float) for e in state["edges"]]
+        out.trees = [[tuple(n) if isinstance(n, list) else n for n in tree] for tree in state["trees"]]
+        return out
+
     def predict(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-self.margins(x)))
+
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        """Log-odds of each row."""
         if not len(x):
             return np.zeros(0)
         if not hasattr(self, "flat"):
@@ -93,20 +110,35 @@ class BoostedTrees:
         at = np.zeros((len(x), len(self.trees)), np.int64)
         for _ in range(DEPTH):
             at = 2 * at + 1 + (b[rows, feature[trees, at]] > edge[trees, at])
-        return 1 / (1 + np.exp(-(self.bias + leaf[trees, at - leaf.shape[1] + 1].sum(axis=1))))
-
-
-def best_threshold(score: np.ndarray, y: np.ndarray) -> float:
-    """The threshold of the highest F1 on held-out rows, at most 0.5, as rows with sure labels score higher than others; 0.5 where
-    they hold only one class. Ties take the middle."""
-    if not len(y) or y.min() == y.max():
-        return 0.5
-    order = np.argsort(-score)
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-    last = np.append(score[order][:-1] > score[order][1:], True)
-    f1 = np.where(last, f1, -1)
-    at = np.nonzero(f1 >= f1.max() - 1e-12)[0]
-    i = int(at[len(at) // 2])
-    below = score[order][i + 1] if i + 1 < len(y) else 0.0
-    return float(np.clip((score[order][i] + below) / 2, 0.05, 0.5))
+        return self.bias + leaf[trees, at - leaf.shape[1] + 1].sum(axis=1)
+
+
+@dataclass(frozen=True)
+class Platt:
+    """Calibration of log-odds: the logistic curve over them that fits rows the trees have not seen."""
+
+    slope: float = 1.0
+    shift: float = 0.0
+
+    @classmethod
+    def fit(cls, margin: np.ndarray, y: np.ndarray) -> Platt:
+        """By Newton's steps, with the targets drawn in a little, as few rows must not give certainty; unchanged where one class is missing."""
+        if not len(y) or y.min() == y.max():
+            return cls()
+        n1, n0 = y.sum(), len(y) - y.sum()
+        target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+        x, w = np.column_stack([margin, np.ones(len(y))]), np.array([1.0, 0.0])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            grad = x.T @ (p - target)
+            step = np.linalg.solve((x * np.maximum(p * (1 - p), 1e-9)[:, None]).T @ x + 1e-6 * np.eye(2), grad)
+            w = w - np.clip(step, -1, 1)
+            if np.abs(step).max() < 1e-8:
+                break
+        return cls(float(max(w[0], 0.05)), float(w[1]))
+
+    def apply(self, margin: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
+
+    def state(self) -> list[float]:
+        return [self.slope, self.shift]

@@ -1,45 +1,63 @@
 """Personal details in free text, found and replaced by typed placeholders.
 
-Generators propose spans with high recall (pii_candidates); for each kind, boosted trees score them by format and context, and a
-threshold calibrated on held-out rows decides. Where accepted spans overlap, the best one stays. The trees are fitted on a
-bounded sample of documents whose candidates are labelled by rules that look for sure signs only (labelled form fields, a
-matching mail address in the same text, words that rule a kind out); candidates without such signs are not used for fitting.
-The word counts that decide which spans are proposed come from all texts of the corpus.
+Generators propose spans with high recall (pii_candidates); for each kind, boosted trees score them by format and context, and
+calibrated probabilities decide. Where accepted spans overlap, the best one stays. The trees are fitted on invented sentences
+put between pieces of sampled texts (pii_seeds): how a sentence was made tells its labels, and no rule over the features does.
+Sentence forms and given names that the trees do not see calibrate them. The word counts among the features come from all texts
+of the corpus.
 """
 
 from __future__ import annotations
 
+import json
+import random
 import unicodedata
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumatable.llm.boosting import BoostedTrees, best_threshold
-from lumatable.llm.pii_candidates import KINDS, LEAST, RATE_TEXTS, Candidate, Lexicon, candidates, plain
-from lumatable.llm.pii_seeds import seeds
+from lumatable.llm.boosting import BoostedTrees, Platt
+from lumatable.llm.pii_candidates import GIVEN, KINDS, LEAST, RATE_TEXTS, Candidate, Lexicon, candidates, plain
+from lumatable.llm.pii_seeds import OTHER_GIVEN, frames, made
 from lumatable.runtime import materialize, ship, spread, table
 
-#: Documents the trees are fitted on, and characters up to which a document is taken for that.
-SAMPLE_DOCS, SAMPLE_CHARS = 3_000, 50_000
-#: Features by which labelling rules decide, which the trees must not see.
-HIDDEN = {"name": (12,)}
-#: Candidates of a kind used for fitting at most, and share of them held out for the threshold.
-FIT_ROWS, HELD_OUT = 20_000, 0.25
+#: Documents the made sentences are put into, characters up to which a document is taken for that, and characters around a sentence.
+SAMPLE_DOCS, SAMPLE_CHARS, AROUND = 3_000, 50_000, 120
+#: Sentences made of each form, one in so many forms and given names that calibrate instead of fitting, and the least probability of a detail:
+#: below a half, as a detail that is missed costs more than a word too much.
+ROUNDS, HELD_OUT, LEAST_PROBABILITY = 24, 4, 0.3
 #: Entries the lexicon may have, and entries a task gathers before it gives them on.
 LEXICON_ROWS, GATHERED = 1_000_000, 200_000
 
 
 @dataclass
 class Detector:
-    """The fitted trees and thresholds of each kind, with the word counts the features need; a few megabytes at most."""
+    """The fitted trees and calibrations of each kind, with the word counts the features need; a few megabytes at most."""
 
     lexicon: Lexicon
     trees: dict[str, BoostedTrees]
-    thresholds: dict[str, float]
+    calibrations: dict[str, Platt]
+
+    def scores(self, kind: str, found: list[Candidate]) -> np.ndarray:
+        """The probability of each candidate of a kind."""
+        return self.calibrations[kind].apply(self.trees[kind].margins(_matrix(found)))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Keep the detector in the shared file system, for other applications."""
+        state = {"lexicon": self.lexicon.__getstate__(), "kinds": {k: [self.trees[k].state(), self.calibrations[k].state()] for k in KINDS}}
+        spark.createDataFrame([(json.dumps(state),)], "detector string").coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Detector:
+        state, lexicon = json.loads(spark.read.parquet(path).first().detector), Lexicon()
+        lexicon.__setstate__(state["lexicon"])
+        return cls(lexicon, {k: BoostedTrees.of(v[0]) for k, v in state["kinds"].items()}, {k: Platt(*v[1]) for k, v in state["kinds"].items()})
 
     def find(self, texts: Iterable[str | None]) -> list[list[tuple[str, int, int]]]:
         """(kind, start, end) of what each text holds, without overlaps, in order; candidates of all texts are scored together."""
@@ -50,9 +68,9 @@ class Detector:
                 by_kind.setdefault(c.kind, []).append((i, c))
         kept: list[list[tuple[float, Candidate]]] = [[] for _ in normal]
         for kind, rows in by_kind.items():
-            scores = self.trees[kind].predict(_matrix(kind, [c for _, c in rows]))
+            scores = self.scores(kind, [c for _, c in rows])
             for (i, c), s in zip(rows, scores.tolist(), strict=True):
-                if s >= self.thresholds[kind]:
+                if s >= LEAST_PROBABILITY:
                     kept[i].append((s, c))
         out = []
         for (text, places), good, raw in zip(normal, kept, texts, strict=True):
@@ -73,20 +91,18 @@ _ORDER = {"email": 0, "address": 1, "id_number": 2, "phone": 3, "name": 4}
 
 
 def _without_overlaps(kept: list[tuple[float, Candidate]]) -> list[Candidate]:
-    """The best of overlapping spans: by kind first, as a mail address holds a name and an address a number, then by score and length."""
+    """The best of overlapping spans: by kind first, as a mail address holds a name and an address a number, then by score, where each further word counts a tenth."""
     out: list[Candidate] = []
     taken: list[tuple[int, int]] = []
-    for _, c in sorted(kept, key=lambda x: (_ORDER[x[1].kind], (x[1].start - x[1].end) if x[1].kind in ("address", "name") else -(x[0] // 0.3), x[1].start - x[1].end, x[1].start)):
+    for _, c in sorted(kept, key=lambda x: (_ORDER[x[1].kind], (x[1].start - x[1].end) if x[1].kind == "address" else -(x[0] + 0.1 * x[1].text.count(" ")), x[1].start - x[1].end, x[1].start)):
         if all(c.end <= a or c.start >= b for a, b in taken):
             taken.append((c.start, c.end))
             out.append(c)
     return sorted(out, key=lambda c: c.start)
 
 
-def _matrix(kind: str, found: list[Candidate]) -> np.ndarray:
-    x = np.array([c.features for c in found], dtype=float)
-    x[:, list(HIDDEN.get(kind, ()))] = 0
-    return x
+def _matrix(found: list[Candidate]) -> np.ndarray:
+    return np.array([c.features for c in found], dtype=float)
 
 
 def lexicon_of(docs: DataFrame) -> Lexicon:
@@ -123,33 +139,65 @@ def lexicon_of(docs: DataFrame) -> Lexicon:
     return out.rated(n_texts)
 
 
+def labelled_sentences(texts: list[str], lexicon: Lexicon, every: list[tuple[str, bool]], given: tuple[str, ...], rounds: int, seed: int) -> dict[str, list[Candidate]]:
+    """Candidates of each kind in made sentences of the given forms, each between two pieces of a sampled text, with their labels: 1 for
+    exactly a detail the sentence was made with, 0 for any other span in it."""
+    rng, out = random.Random(seed), {k: [] for k in KINDS}
+    places = places_of(texts)
+    for turn in range(rounds):
+        for frame, good in every:
+            one = made(rng, frame, good, given, places)
+            around = rng.choice(texts) if texts and turn else ""
+            cut = rng.randrange(len(around) + 1)
+            left, right = _whole_words(around[max(0, cut - AROUND) : cut], around[cut : cut + AROUND])
+            text, start = left + one.text + right, len(left)
+            wanted = {(k, start + a, start + b) for k, a, b in one.spans}
+            for c in candidates(text, lexicon):
+                if c.start >= start and c.end <= start + len(one.text):
+                    c.label = int((c.kind, c.start, c.end) in wanted)
+                    out[c.kind].append(c)
+    return out
+
+
+_PLACE = regex.compile(r"(?<=\b(?:in|at|near|over|to|from|bei|nach|über|von|zu|à|en|de|vers|desde|hacia) )\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?")
+#: Sampled texts in which a place must be named.
+PLACE_TEXTS = 3
+
+
+def places_of(texts: list[str]) -> tuple[str, ...]:
+    """What several sampled texts name after a word of place, without what begins with a given name: decoys whose words the corpus knows."""
+    count = Counter(p for t in texts for p in set(_PLACE.findall(t)))
+    return tuple(sorted(p for p, n in count.items() if n >= PLACE_TEXTS and p.split()[0].lower() not in GIVEN))
+
+
+def _whole_words(left: str, right: str) -> tuple[str, str]:
+    """Pieces that end before and begin after a sentence."""
+    left, right = left.rpartition(" ")[0], right.partition(" ")[2]
+    return (left.rstrip(" ,;:") + ". " if left.strip() else ""), (" " + right if right.strip() else "")
+
+
 def fit(texts: list[str], lexicon: Lexicon | None = None) -> Detector:
-    """A detector from sample texts and the built-in seed texts; the same texts give the same detector. Without a lexicon of the
-    corpus, the sample is counted as the whole one."""
+    """A detector from made sentences in sample texts; the same texts give the same detector. Without a lexicon of the corpus, the sample
+    is counted as the whole one."""
     normal = [plain(t)[0] for t in texts]
-    seeded = [(plain(t)[0], marks) for t, marks in seeds()]
     if lexicon is None:
         lexicon = Lexicon()
         for t in normal:
             lexicon.add(t)
         lexicon.rated(len(normal))
-    rows: dict[str, list[Candidate]] = {k: [] for k in KINDS}
-    for t, marks in seeded:
-        for c in candidates(t, lexicon):
-            c.label = int((c.kind, c.text) in marks)
-            rows[c.kind].append(c)
-    for t in normal:
-        for c in candidates(t, lexicon):
-            if c.label is not None and len(rows[c.kind]) < FIT_ROWS:
-                rows[c.kind].append(c)
-    trees, thresholds = {}, {}
-    for kind, found in rows.items():
-        x, y = _matrix(kind, found), np.array([c.label for c in found], dtype=float)
-        held = np.random.default_rng(7).random(len(y)) < HELD_OUT
-        model = BoostedTrees().fit(x[~held], y[~held])
-        thresholds[kind] = best_threshold(model.predict(x[held]), y[held])
-        trees[kind] = model
-    return Detector(lexicon, trees, thresholds)
+    names = sorted({g.title() for g in GIVEN})
+    draw = lambda held: tuple(n for k, n in enumerate(names) if (k % HELD_OUT == 0) == held) + tuple(n for k, n in enumerate(OTHER_GIVEN) if (k % HELD_OUT == 0) == held) * 3
+    every = frames()
+    seen = labelled_sentences(normal, lexicon, [f for k, f in enumerate(every) if k % HELD_OUT], draw(False), ROUNDS, 1)
+    held = labelled_sentences(normal, lexicon, [f for k, f in enumerate(every) if k % HELD_OUT == 0], draw(True), ROUNDS, 2)
+    trees, calibrations = {}, {}
+    for kind in KINDS:
+        label = lambda rows: np.array([c.label for c in rows], dtype=float)
+        judge = BoostedTrees().fit(_matrix(seen[kind]), label(seen[kind]))
+        calibrations[kind] = Platt.fit(judge.margins(_matrix(held[kind])), label(held[kind]))
+        both = seen[kind] + held[kind]  # once calibrated, the trees may see all
+        trees[kind] = BoostedTrees().fit(_matrix(both), label(both))
+    return Detector(lexicon, trees, calibrations)
 
 
 def fit_on(docs: DataFrame) -> Detector:

@@ -6,6 +6,7 @@ unusual spaces become spaces, invisible characters go, and letters are composed.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -52,9 +53,10 @@ LABELS = {
 NOT_PHONE = "order|order no|serial|number|frame|index|batch|build|size|size=|mtime|copied|count|coordinates|on|of|until|from|by|hash|vom|am|du|le|del|el|bytes|version|iso|box|card|id|ssn|passport|licence|führerschein|ausweis"
 NAME_AFTER = r"prize|award|bridge|foundation|trust|street|st|road|rd|lane|avenue|ave|drive|dr|row|close|terrace|hall|square|park|museum|gallery|archive|library|school|institute|memorial|medal|trophy|cup|centre|center|theatre|theater|hospital|university|college|gmbh|ag|kg|ltd|llc|inc|co|sons|studio|studios|photography|fund|grant|society|collection|preis|stiftung|brücke|straße|platz|allee|haus|prix|fondation|pont|rue|place|musée|premio|fundación|puente|calle|plaza|museo|house|church|festival|exhibition|album|pocket|ii|iii"
 NAME_BEFORE = r"prize|prix|premio|pont|puente|fondation|fundación|studio|atelier|galerie|gallery|museum|musée|museo|rue|calle|plaza|place|avenue|bildredaktion|redaktion|agentur|agence|agencia|estudio|camera|kamera|album|l'album|ordner|folder|preis|stiftung|brücke"
+PLACE_BEFORE = r"in|at|near|over|bei|nach|aus|über|à|en|vers|desde|hacia"
 TITLES = r"mr|mrs|ms|mx|miss|dr|prof|sir|dame|herr|frau|hr|fr|monsieur|madame|mme|mlle|m|señor|señora|sr|sra|srta|don|doña|signor|signora|dott|ing"
-CUES = r"signed by|signed|photo|photo by|foto|foto de|crédit|credit|shooter was|left is|right is|according to|met|this is|print|boat|think|erteilt von|signée par|firmada por|links|rechte bei|rechts|izquierda|derecha|gauche|droite|retrato de|portrait of|porträt von|portrait de|picks to|thanks to|merci à|danke an|gracias a|von|par|por|by|from|to|subject|cc|with|avec|mit|con|and|regards|cheers|best|grüße|cordialement|saludos|hi|dear|hallo|bonjour|hola|bei|chez|für|for|©|© \d{4}|\(c\) \d{4}|copyright|copyright \d{4}|back of the print|in the boat"
-# Common given names, a public starting point; names met in the corpus are added to it.
+CUES = r"signed|signed by|photo|photo by|photos by|foto|foto de|fotos|crédit|credit|left|left is|right|right is|is|was|named|called|heißt|according to|met|ask|erteilt von|signée par|firmada por|links|rechts|izquierda|derecha|gauche|droite|retrato de|portrait of|porträt von|portrait de|thanks to|merci à|danke an|gracias a|von|par|por|by|from|to|subject|cc|with|avec|mit|con|and|und|et|y|regards|cheers|best|grüße|cordialement|saludos|hi|dear|hallo|bonjour|hola|bei|chez|für|for|pour|para|©|© \d{4}|\(c\) \d{4}|copyright|copyright \d{4}"
+# Common given names, which tell more than other words but are asked of no candidate; names met in the corpus are added.
 GIVEN = set(
     "adam agnès aisha alan alba alejandro alex alexander alice amina amélie andrea andreas andrew andrés anita anke anna anne antoine antonio astrid barbara beatriz begoña benoît bernd birgit björn brigitte camille carla carlos carmen caroline catherine chiara chloé christian christine claire clara claudia daniel david davide declan diego dieter elena elias elisabeth emily emma eric erik eva fabian fatima felix fernando fiona francesca franz françois frank gabriel george giulia grace greta hannah hans heike heinrich helen helga hélène henry hugo ian ibrahim inés ingrid isabel íñigo jack jacques jakob james jan jane javier jean jean-marc jennifer joan johann john jonas jorge josé juan julia jürgen karin karl karl-heinz katrin klaus laura leila léa lena leon li linda lisa louis luc luca lucas lucía luis lukas maja manuel marc marco margaux maria marie mario mark marta martin mary matthias mehmet mei michael miguel mohammed monika nadia ngozi nicolas nina noémie olga oliver olivia omar pablo paolo patrick paul pedro peter petra philippe pierre priya rachel rafael raj renate robert rosa ruth sabine samuel sandra sara sarah sebastian simon sofia sophie stefan susanne sven sylvie thomas tim tomasz ulrich ursula uwe victor walter wei werner yasmin yuki yves zoé maría étienne".split()
 )
@@ -67,13 +69,13 @@ class Candidate:
     end: int
     text: str
     features: list[float] = field(default_factory=list)
-    label: int | None = None  # 1 or 0 where a labelling rule is sure, else None
+    label: int | None = None  # 1 or 0 in made sentences
 
 
 _AT = r"(?:@|&\#64;|&\#x40;|\s?[\[({<]\s?(?:at|AT|arroba)\s?[\])}>]\s?|\sAT\s|\s@\s|\sat\s(?=[\w-]+\s(?:dot|DOT)\s))"
 _DOT = r"(?:\.|&\#46;|\s?[\[({<]\s?(?:dot|DOT|punto|point|punkt)\s?[\])}>]\s?|\s(?:DOT|dot)\s)"
 EMAIL = regex.compile(rf"(?<![\w.+%-])[\w](?:[\w.+%'-]{{0,63}}[\w+-])?{_AT}[\p{{L}}\d](?:[\p{{L}}\d-]*[\p{{L}}\d])?(?:{_DOT}[\p{{L}}\d](?:[\p{{L}}\d-]*[\p{{L}}\d])?)*{_DOT}\p{{L}}{{2,18}}(?![\w@])")
-PHONE = regex.compile(r"(?<![\w.,/:-])(?<!\d )(?:\+|00)?\(?\d{1,5}\)?(?:[ .\-/]{0,2}\(?\d{1,9}\)?){0,7}(?![\w@]|[.,:/-]\d|-\w)")
+PHONE = regex.compile(r"(?<![\w.,/-])(?<!\d[ :])(?:\+|00)?\(?\d{1,5}\)?(?:[ .\-/]{0,2}\(?\d{1,9}\)?){0,7}(?![\w@]|[.,:/-]\d|-\w)")
 ID = regex.compile(
     r"(?<![\w./-])(?:[A-Z]{5}-?\d{6}-?[A-Z0-9]{5}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z]|\d{3}[- ]\d{2}[- ]\d{4}|[A-Z]\d{2}[A-Z]\d{6}[A-Z]\d|[A-Z]\d{2}[A-Z]\d{2}[A-Z]\d{2}|\d{2}/\d{8}/\d{2}|\d{2}[A-Z]{2}\d{5}"
     r"|[A-Z]{1,3}-?\d{6,9}(?:[ -]?[A-Z](?![a-z]))?|[XYZ]-?\d{7}-?[A-Z]|\d{2}\.?\d{3}\.?\d{3}[ -]?[A-Z]|\d \d{2} \d{2} \d{2} \d{3} \d{3}(?: \d{2})?|\d{15}|\d{13}|\d{8,12}|[A-Z0-9]{9,12}|\d{2}[ ]?\d{6}[ ]?[A-Z][ ]?\d{3})(?![\w-]|[./]\w)",
@@ -87,7 +89,7 @@ _POST = r"(?:[A-Z]{1,2}\d{1,2}[A-Z]? \d[A-Z]{2}|[A-Z]{2} \d{5}(?:-\d{4})?|\d{5}(
 _GAP = r"(?:\s*[,;·]\s*|\s*\r?\n\s*|\s+-\s+)"
 ADDRESS = [
     regex.compile(rf"(?<![\w.,/#-])\d{{1,5}}[A-Z]?(?:-\d{{1,4}}[A-Z]?)?,? (?:(?:[NSEW]\.?|north|south|east|west)\s)?(?:[\p{{L}}'-]+ ){{1,3}}{_ENG}\b\.?{_UNIT}?(?:{_GAP}{_TOWN}(?:(?:,? ?| ){_POST}|{_GAP}{_POST})?)?", regex.IGNORECASE),
-    regex.compile(rf"(?<![\w.,/#-])\d{{1,5}}[a-z]?(?:-\d{{1,4}}[a-z]?)?,? (?:[\p{{Ll}}'.-]+ ){{1,3}}{_ENG}\b\.?{_UNIT}?(?:{_GAP}{_TOWN_ANY}(?: {_TOWN_ANY})?(?:,? ?{_POST.lower()})?)?(?=\s*(?:\r?\n|$|[,;<\"]))", regex.IGNORECASE),
+    regex.compile(rf"(?<![\w.,/#-])\d{{1,5}}[a-z]?(?:-\d{{1,4}}[a-z]?)?,? (?:[\p{{Ll}}'.-]+ ){{1,3}}{_ENG}\b\.?{_UNIT}?(?:{_GAP}{_TOWN_ANY}(?: {_TOWN_ANY})?(?:,? ?{_POST.lower()})?)?(?=\s*(?:\r?\n|$|[,;.<\"]))", regex.IGNORECASE),
     regex.compile(rf"(?<![\w-])(?:(?:[\p{{L}}-]+(?:straße|strasse|str\.|allee|weg|gasse|platz|ring|damm|ufer|steig|hof|chaussee|markt|berg))|(?:(?:obere|untere|alte|neue|am|an der|an den|auf der|auf dem|im|in der|zum|zur|hinter dem|unter den|bei der)\s[\p{{L}}-]+(?:straße|strasse|str\.)?)) \d{{1,4}}(?: ?[a-z](?![\p{{L}}]))?(?:[-/]\d{{1,4}}[a-z]?)?(?:{_GAP}(?:D-)?\d{{5}} {_TOWN})?", regex.IGNORECASE),
     regex.compile(rf"(?<![\w.,/#-])\d{{1,4}}(?:,? ?(?:bis|ter|quater|[a-d])\b)?,? (?:rue|avenue|av\.|quai|place|pl\.|bd|boulevard|boul\.|impasse|chemin|ch\.|allée|allées|cours|route|square|passage|villa|cité|faubourg|montée|sentier)\s(?:(?:de la|de l'|des|du|de|d'|le|la|les|aux|au)\s?)?[\p{{L}}'-]+(?: (?:de la |de l'|des |du |de |d')?\p{{Lu}}[\p{{L}}'-]+){{0,3}}(?:(?:{_GAP}|\s+)(?:F-)?\d{{5}} {_TOWN}(?:[- ](?:sur|sous|les|lès)[- ][\p{{L}}-]+)?)?", regex.IGNORECASE),
     regex.compile(rf"(?<![\w])(?:c/|calle|avda\.?|avenida|av\.|paseo|p\.º|plaza|pza\.|pl\.|camino|carretera|ctra\.|ronda|travesía|cuesta|glorieta|rambla|vía)\s(?:(?:de las|de los|de la|del|de|el|la|las|los)\s)?[\p{{L}}'-]+(?: (?:de las |de los |de la |del |de )?\p{{Lu}}[\p{{L}}'-]+){{0,2}},? (?:n\.?[º°o]\.? ?|núm\.? ?|num\.? ?)?\d{{1,4}}(?:,? (?:bajo|ático|entlo\.?|izda\.?|dcha\.?|\d{{1,2}}\.?[ºª°](?: ?(?:[A-H]|izda\.?|dcha\.?)\b)?))*(?:{_GAP}(?:E-)?\d{{5}} {_TOWN})?", regex.IGNORECASE),
@@ -97,6 +99,7 @@ _PART = r"(?i:van der|van den|van|von der|von|de la|de los|de las|del|de|den|der
 _WORD = r"\p{Lu}(?:[\p{L}\p{M}]|'(?=\p{Lu}))+"
 _SUR = rf"(?:{_PART}){{0,2}}{_WORD}(?:-{_WORD})?"
 _GIV = r"\p{Lu}[\p{L}\p{M}]+(?:-\p{Lu}[\p{L}\p{M}]+)?"
+_TITLE = re.compile(rf"(?:{TITLES})\.?", re.IGNORECASE)
 NAME_FORMS = [
     ("given", regex.compile(rf"(?<![\p{{L}}\p{{N}}_@.'-])(?P<g>{_GIV}(?: {_GIV}){{0,1}}?)(?P<i>(?: \p{{Lu}}\.){{0,2}}) (?P<s>{_SUR})(?![\p{{L}}\p{{N}}_@])", regex.V1)),
     ("comma", regex.compile(rf"(?<![\p{{L}}\p{{N}}_@.'-])(?P<s>{_SUR}), (?P<g>{_GIV}(?: {_GIV})?|\p{{Lu}}\.)(?P<i>(?: \p{{Lu}}\.){{0,2}})(?![\p{{L}}\p{{N}}_@])", regex.V1)),
@@ -141,20 +144,33 @@ def fold(s: str) -> str:
 #: Texts to which the lexicon's counts are scaled down, so that thresholds mean the same for corpora of any size above.
 RATE_TEXTS = 3_000
 #: Times in so many texts below which a word in lower case, or a given name, counts as not met: less than any threshold asks for.
-LEAST = {"lower": 1.000001, "given": 0.5, "ends": 0.0, "other_ends": 0.0}
+LEAST = {"lower": 1.000001, "given": 0.5, "ends": 0.0, "other_ends": 0.0, "caps": 1.000001, "near": 1.000001}
+#: Times in so many texts above which a word in lower case begins or ends no name that is not known otherwise.
+COMMON_FIRST, COMMON_LAST = 20, 50
+_WORDS = regex.compile(r"(?<![\p{L}@._+-])\p{Ll}{2,}(?![\p{L}@_+-]|\.\p{L})")
+_CAPITALS = regex.compile(r"(?<![\p{L}@._+-])\p{Lu}\p{Ll}{2,}(?![\p{L}@_+]|\.\p{L})")
+_AT_PLACE = regex.compile(r"(?<=\b(?:in|at|near|over|to|from|of|bei|nach|aus|über|von|zu|à|en|de|vers|desde|hacia) )\p{Lu}\p{Ll}{2,}")
+
+
+def _grams(word: str) -> list[str]:
+    padded = f"^{word}$"
+    return [padded[i : i + 3] for i in range(max(1, len(padded) - 2))]
 
 
 class Lexicon:
-    """What all texts of a corpus tell of words: how often each stands in lower case, and which given names and ends of family
-    names stand in labelled name fields; each text counts as a whole. Counts are of RATE_TEXTS texts; of fewer texts they stay as
+    """What all texts of a corpus tell of words: how often each stands in lower case, with a capital, and with a capital after a word of
+    place; and which given names and ends of family names stand in labelled name fields; each text counts as a whole. Counts are of RATE_TEXTS texts; of fewer texts they stay as
     they are. The rates of words of one kind sum up to what RATE_TEXTS mean texts hold, so few words reach a threshold, however
     large the corpus; ends are of four letters at most."""
 
     def __init__(self) -> None:
-        self.lower, self.given, self.ends, self.other_ends = Counter(), Counter(), Counter(), Counter()
+        self.lower, self.given, self.ends, self.other_ends, self.caps, self.near = (Counter() for _ in range(6))
+        self.grams, self.told = None, {}
 
     def add(self, text: str) -> None:
-        self.lower.update(regex.findall(r"(?<![\p{L}@._+-])\p{Ll}{3,}(?![\p{L}@_+-]|\.\p{L})", text))
+        self.lower.update(_WORDS.findall(text))
+        self.caps.update(_CAPITALS.findall(text))
+        self.near.update(_AT_PLACE.findall(text))
         for m in _FIELD_NAME.finditer(text):
             v = m.group("v")
             got = regex.fullmatch(rf"(?P<g>{_GIV}(?: {_GIV})?)(?: \p{{Lu}}\.)* (?P<s>{_SUR})", v) or regex.fullmatch(rf"(?P<s>{_SUR}), (?P<g>{_GIV})", v)
@@ -168,18 +184,38 @@ class Lexicon:
         scale = min(1.0, RATE_TEXTS / max(1, texts))
         for kind, least in LEAST.items():
             setattr(self, kind, Counter({w: n * scale for w, n in getattr(self, kind).items() if n * scale >= least}))
+        self.grams, self.told = None, {}
         return self
 
     def __getstate__(self):
-        return {k: dict(v) for k, v in self.__dict__.items()}
+        return {k: dict(v) for k, v in self.__dict__.items() if k in LEAST}
 
     def __setstate__(self, state):
         self.__dict__.update({k: Counter(v) for k, v in state.items()})
+        self.grams, self.told = None, {}
+
+    def name_like(self, token: str) -> float:
+        """How much more the token's letters, three by three, look like a given name than like a word of running text: mean log-odds."""
+        if self.grams is None:
+            sides = [Counter(g for w in words for g in _grams(w)) for words in (GIVEN, (w for w in self.lower if len(w) > 3))]
+            self.grams = [(c, math.log(sum(c.values()) + 2_000)) for c in sides]
+        if token not in self.told:
+            (a, na), (b, nb) = self.grams
+            grams = _grams(token.lower())
+            self.told[token] = sum(math.log(a[g] + 0.2) - na - math.log(b[g] + 0.2) + nb for g in grams) / len(grams)
+            if len(self.told) > 200_000:
+                self.told.clear()
+                return self.name_like(token)
+        return self.told[token]
 
     def is_given(self, token: str) -> int:
         t = token.lower()
         return 2 if t in GIVEN else 1 if self.given[t] else 2 if "-" in t and all(x in GIVEN for x in t.split("-")) else 0
 
+    def place_rate(self, token: str) -> float:
+        """How often the word stands after a word of place, of all its times with a capital; 0 for words hardly met."""
+        return self.near[token] / (self.caps[token] + 2.0)
+
     def surname_like(self, token: str) -> float:
         e = fold(token)[-4:]
         return min(5, self.ends[e]) - min(5, self.other_ends[e] / 4)
@@ -207,33 +243,23 @@ def names(text: str, lex: Lexicon, mails: set[str]) -> Iterable[Candidate]:
             min(lower_sur, 20), min(lower_giv, 20), lex.surname_like(plain_sur), mailed, all(c.isupper() for c in letters) if letters else 0, sur[:1].islower() and " " not in sur,
             "-" in sur, " " in sur.strip(), len(plain_sur), bool(re.match(r"[ \t][A-ZÀ-Þ]", text[end : end + 2])), bool(re.search(r"[a-zà-ÿ] $", text[max(0, start - 2) : start])),
             len(given.split()), bool(re.fullmatch(TITLES, before)), lex.is_given(plain_sur) == 2,
+            lex.place_rate(first), lex.place_rate(plain_sur), min(lex.caps[plain_sur], 50), min(lex.caps[first], 50), not text[max(0, start - 2) : start].strip(" \t") or text[max(0, start - 2) : start].strip(" \t")[-1] in ".!?:\n", bool(re.match(r" [a-zà-ÿ]", text[end : end + 2])), text[end : end + 2] == "'s", bool(re.match(r"[.,;:)\n]", text[end : end + 1])), end == len(text),
+            bool(re.fullmatch(PLACE_BEFORE, before)), lex.name_like(first) if len(first.strip(".")) > 1 else 0.0, lex.name_like(plain_sur),
         ]
         c = Candidate("name", start, end, text[start:end], [float(x) for x in f])
-        if bad_after or bad_before or (form != 1 and lex.is_given(plain_sur) == 2):
-            c.label = 0
-        elif lower_sur > 4 and not mailed and not label:
-            c.label = 0
-        elif mailed and (know or form == 2) and not article:
-            c.label = 1
-        elif is_field and (know or form == 2):
-            c.label = 1
-        elif label and know == 2 and lower_sur == 0 and not article:
-            c.label = 1
-        elif not know and not label and not cue and not mailed and form != 2:
-            c.label = 0
-        elif form == 2 and not label and not cue and not line and not mailed:
-            c.label = 0
         return c
 
     for k, (form, pattern) in enumerate(NAME_FORMS):
         for m in pattern.finditer(text, overlapped=True):
             given, start, end = m["g"], m.start(), m.end()
             words = given.split()
-            if form == "given" and len(words) == 2 and not (lex.is_given(words[0]) and lex.is_given(words[1])):
+            if form == "given" and len(words) == 2 and not all(lex.is_given(w) or lex.name_like(w) > 0 for w in words):
                 continue
-            if form == "given" and not lex.is_given(words[0]) and not (labelled(text, start, LABELS["name"], 16) or labelled(text, start, TITLES, 12) or lex.surname_like(m["s"]) >= 2 or fold(m["s"]) in mails):
+            if form == "given" and not lex.is_given(words[0]) and (lex.lower[words[0].lower()] > COMMON_FIRST or lex.lower[m["s"].split()[-1].lower()] > COMMON_LAST):
+                continue  # words of running text that begin a sentence
+            if form == "given" and _TITLE.fullmatch(words[0]):
                 continue
-            if form == "comma" and not (lex.is_given(words[0]) or "." in given):
+            if form == "comma" and not (lex.is_given(words[0]) or "." in given or lex.name_like(words[0]) > 0):
                 continue
             if (start, end) not in seen:
                 seen.add((start, end))
@@ -259,13 +285,18 @@ def names(text: str, lex: Lexicon, mails: set[str]) -> Iterable[Candidate]:
             yield made(start, end, first, "", rest, 2 if re.fullmatch(r"\w\.", first) else 1 if comma else 0, is_field)
 
 
+_SOME_AT = re.compile(r"@|&#|[\[({<]\s?(?:at|AT|arroba)\b|\sAT\s|\sat\s[\w-]+\s(?:dot|DOT)\s")
+
+
 def emails(text: str) -> Iterable[Candidate]:
+    if not _SOME_AT.search(text):
+        return
     for m in EMAIL.finditer(text):
         t = m.group()
         ending = re.split(r"[^\w]", t.rstrip())[-1].lower()
         picture = ending in {"png", "jpg", "jpeg", "gif", "svg", "webp", "css", "js", "tif", "tiff", "raw", "arw", "cr3", "nef", "orf", "dng", "heic", "mp4", "xmp"}
         f = [picture, labelled(text, m.start(), LABELS["email"]), "@" not in t, len(t), t.count("."), bool(re.search(r"@\dx\.", t)), text[m.end() : m.end() + 2].startswith(":/"), any(c.isspace() for c in t), bool(re.search(r"@", t)) and t.split("@")[0].isdigit()]
-        yield Candidate("email", m.start(), m.end(), t, [float(x) for x in f], 0 if picture or f[5] or f[6] else 1)
+        yield Candidate("email", m.start(), m.end(), t, [float(x) for x in f])
 
 
 _DATE = re.compile(r"(?:19|20)\d\d[-./ ](?:0?[1-9]|1[0-2])[-./ ](?:0?[1-9]|[12]\d|3[01])(?!\d)|\d{1,2}[-./]\d{1,2}[-./](?:19|20)?\d\d(?!\d)")
@@ -288,8 +319,7 @@ def phones(text: str) -> Iterable[Candidate]:
         line = (start == 0 or text[start - 1] in "\n\r") and (end == len(text) or text[end] in "\r\n")
         groups = re.split(r"\D+", t.strip("+()"))
         f = [world, national, dated, label, wrong, line, digits, len(groups), max(map(len, groups)), t.startswith("0"), t.startswith("+"), "(" in t, "/" in t, "." in t, "-" in t, " " in t, text[start - 1 : start] == "-", bool(re.match(r"\s?(?:bytes|kb|mb|px|m\b|s\b|mm)", text[end : end + 8].lower()))]
-        label_value = 0 if dated or f[17] or f[16] or (wrong and not t.startswith("+")) or not (world or national) else 1 if label or (t.startswith("+") and world) or (line and national) else 0 if digits == len(t) and not t.startswith("0") else None
-        yield Candidate("phone", start, end, t, [float(x) for x in f], label_value)
+        yield Candidate("phone", start, end, t, [float(x) for x in f])
 
 
 def id_numbers(text: str) -> Iterable[Candidate]:
@@ -303,7 +333,7 @@ def id_numbers(text: str) -> Iterable[Candidate]:
         wrong = labelled(text, start, "order no|order|serial|serialnumber|frame|index|batch|size|mtime|copied|hash|bytes|n° de série|build|is|imageuniqueid") or labelled(text, start, LABELS["phone"])
         spaced = " " in t or "-" in t or "/" in t or "." in t
         f = [label, file, wrong, digits, len(t), t.isdigit(), sum(c.isalpha() for c in t), spaced, t != t.upper(), bool(_DATE.match(t)), bool(re.search(r"[a-f\d]{9,}", t)) and not t.isdigit(), (start == 0 or text[start - 1] in "\n\r"), text[max(0, start - 1) : start] in "+/_"]
-        yield Candidate("id_number", start, m.end(), t, [float(x) for x in f], 0 if file or (wrong and not label) else 1 if label and not f[9] else 0)
+        yield Candidate("id_number", start, m.end(), t, [float(x) for x in f])
 
 
 def _cut_town(t: str, lex: Lexicon) -> str:
@@ -314,18 +344,26 @@ def _cut_town(t: str, lex: Lexicon) -> str:
     return t
 
 
+#: Words without one of which a pattern of ADDRESS cannot match.
+_SOME_STREET = [re.compile(x, re.IGNORECASE) for x in (rf"\b{_ENG}\b", rf"\b{_ENG}\b", r"straße|strasse|str\.|allee|weg |gasse|platz|ring |damm|ufer|steig|hof |chaussee|markt|berg |obere|untere|alte|neue|am |an der|an den|auf de|im |in der|zum|zur|hinter|unter den|bei der", r"rue|avenue|av\.|quai|place|pl\.|bd|boul|impasse|chemin|ch\.|allée|cours|route|square|passage|villa|cité|faubourg|montée|sentier", r"c/|calle|avda|avenida|av\.|paseo|p\.º|plaza|pza|pl\.|camino|carretera|ctra|ronda|travesía|cuesta|glorieta|rambla|vía")]
+
+
 def addresses(text: str, lex: Lexicon) -> Iterable[Candidate]:
     for k, pattern in enumerate(ADDRESS):
+        if not _SOME_STREET[k].search(text):
+            continue
         for m in pattern.finditer(text):
             t = _cut_town(m.group().rstrip(" ,;-·"), lex)
+            if t.endswith(".") and len(re.split(r"\W", t[:-1])[-1]) > 4:
+                t = t[:-1]  # the end of a sentence, not of an abbreviation
             start, end = m.start(), m.start() + len(t)
             post = bool(re.search(r"\d{5}|[A-Z]{1,2}\d{1,2}[A-Z]? \d[A-Z]{2}", t[4:]))
             label = labelled(text, start, LABELS["address"])
             line = start == 0 or text[start - 1] in "\n\r"
             ends = end == len(text) or text[end] in "\r\n,;.<\""
             head = re.match(r"\d+", t)
-            f = [k, post, label, line, ends, len(t), len(t.split()), "\n" in t, int(head.group()) if head else 0, sum(w[:1].isupper() for w in t.split()) / len(t.split()), _next_word(text, end) in {"box", "flowers", "reflections", "album"}, bool(re.search(r"\b(?:minutes|pictures|frames|negatives|photos|files|images|dateien|bilder|negativen|hours|scans|prints|mm|picks|fotos|of|the|and|was|is|in|from|to|der|die|das|sind)\b", t.lower().split("\n")[0]))]
-            yield Candidate("address", start, end, t, [float(x) for x in f], 0 if f[11] or f[10] else 1 if post or label or line else None)
+            f = [k, post, label, line, ends, len(t), len(t.split()), "\n" in t, int(head.group()) if head else 0, sum(w[:1].isupper() for w in t.split()) / len(t.split()), bool(re.fullmatch(r"box|album|[a-zà-ÿ]{6,}s", _next_word(text, end))), bool(re.search(r"\b(?:minutes|pictures|frames|negatives|photos|files|images|dateien|bilder|negativen|hours|scans|prints|mm|picks|fotos|of|the|and|was|is|in|from|to|der|die|das|sind)\b", t.lower().split("\n")[0]))]
+            yield Candidate("address", start, end, t, [float(x) for x in f])
 
 
 def candidates(text: str, lex: Lexicon) -> list[Candidate]:

@@ -1,13 +1,15 @@
 """Personal details: invented texts with known answers, and held-out labelled forms."""
 
 import hashlib
+import json
+import random
 import re
 
 import numpy as np
 import pytest
 
-from lumatable.llm.boosting import BoostedTrees, best_threshold
-from lumatable.llm import pii, pii_candidates
+from lumatable.llm import pii, pii_candidates, pii_seeds
+from lumatable.llm.boosting import BoostedTrees, Platt
 from lumatable.llm.pii import detect, fit
 from lumatable.llm.pii_candidates import candidates, plain
 
@@ -96,8 +98,61 @@ def test_trees_learn_a_rule():
     y = ((x[:, 0] > 0) & (x[:, 2] < 0.5)).astype(float)
     model = BoostedTrees().fit(x[:1_500], y[:1_500])
     assert ((model.predict(x[1_500:]) > 0.5) == y[1_500:]).mean() > 0.97
-    assert 0.05 <= best_threshold(model.predict(x[1_500:]), y[1_500:]) <= 0.5 and best_threshold(np.zeros(0), np.zeros(0)) == 0.5
     assert len(model.predict(np.zeros((0, 4)))) == 0
+    again = BoostedTrees.of(json.loads(json.dumps(model.state())))
+    assert (again.predict(x) == model.predict(x)).all()
+
+
+def test_calibrated_scores_are_frequencies():
+    rng = np.random.default_rng(1)
+    margin = rng.normal(0, 3, 20_000)
+    y = (rng.random(20_000) < 1 / (1 + np.exp(-(0.4 * margin - 1)))).astype(float)
+    p = Platt.fit(margin, y).apply(margin)
+    for low in (0.1, 0.3, 0.5):
+        at = (p >= low) & (p < low + 0.1)
+        assert abs(y[at].mean() - p[at].mean()) < 0.04
+    assert Platt.fit(margin, np.ones(20_000)) == Platt() and Platt.fit(np.zeros(0), np.zeros(0)) == Platt()
+
+
+# Given names, sentence forms and a language that neither the generators nor the fitting know.
+NEW_GIVEN = ("Thandiwe", "Svetlana", "Rohan", "Ayesha", "Bjarne", "Eszter", "Malik", "Wanjiru", "Nikolai", "Deepika", "Torvald", "Ximena", "Yusuf", "Marit", "Caspian", "Ottavia", "Lucasta", "Imre", "Saoirse", "Kenji")
+NEW_FORMS = (
+    "The loupe was left behind by {n} after lunch.", "We filmed {n} on the stairs.", "Without {n} the evening would have failed.", "Tomorrow {n} returns the flash.", "A portrait of {n} hangs in the hall.", "My neighbour {n} owns an old enlarger.", "Licensee: {n}", "Ms {n} liked the second version.", "Ieri {n} ha portato le luci.",
+    "La foto di {n} è nitida.", "Il cavalletto è di {n}.", "Ontem {n} trouxe as lentes.", "Neben dem Fenster sitzt {n} und liest.", "Devant la porte, {n} attend.", "Junto a la puerta espera {n}.", "Send proofs to {e} by Friday.", "Contact {e}", "Scrivere a {e}.", "My number is {p}.", "Telefono: {p}", "Contact {p} after six.", "Identity card {i} was scanned.", "Passport {i}",
+    "Dokument: Reisepass {i}", "Deliver to {a}.", "Address: {a}", "Her studio is at {a}.", "The {n} Prize is closed.", "Der {n} Platz ist leer.", "They walked to {q} and {q}.", "The {d} is broken.", "Order no. {u} is late.", "Frames {u} and {u}", "box {u}-{s}", "IMG_{u}.png",
+)
+DECOYS = {f for f in NEW_FORMS[-8:]}
+
+
+def test_new_names_forms_and_languages(spark, detector):
+    """Recall and precision of each kind on made sentences of forms that were not fitted on, with given names outside all lists."""
+    known = {g.lower() for g in NEW_GIVEN} & (pii_candidates.GIVEN | {g.lower() for g in pii_seeds.OTHER_GIVEN})
+    assert not known and not set(NEW_FORMS) & {f for f, _ in pii_seeds.frames()}
+    texts = [plain(t)[0] for t in spark.read.parquet(f"{DATA}/documents.parquet").select("text").where("length(text) > 200").limit(300).toPandas().text]
+    rng, want, got = random.Random(11), set(), set()
+    cases = []
+    for turn in range(12):
+        for form in NEW_FORMS:
+            one = pii_seeds.made(rng, form, form not in DECOYS, NEW_GIVEN)
+            left, right = pii._whole_words(rng.choice(texts)[:80], rng.choice(texts)[-80:]) if turn else ("", "")
+            cases.append((left, one, right))
+    for k, ((left, one, _), spans) in enumerate(zip(cases, detector.find([a + o.text + b for a, o, b in cases]), strict=True)):
+        want |= {(k, *s) for s in one.spans}
+        got |= {(k, kind, a - len(left), b - len(left)) for kind, a, b in spans if a >= len(left) and b <= len(left) + len(one.text)}
+    figures = {}
+    for kind in pii_candidates.KINDS:
+        w, g = {x for x in want if x[1] == kind}, {x for x in got if x[1] == kind}
+        figures[kind] = (round(len(w & g) / len(w), 3), round(len(w & g) / max(1, len(g)), 3))
+    least = {"name": (0.7, 0.9), "email": (0.95, 0.95), "phone": (0.9, 0.95), "id_number": (0.95, 0.95), "address": (0.7, 0.85)}
+    assert all(figures[k][i] >= least[k][i] for k in figures for i in (0, 1)), figures
+    print(figures)
+
+
+def test_a_kept_detector_finds_the_same(spark, detector, tmp_path):
+    detector.save(spark, str(tmp_path / "kept"))
+    again = pii.Detector.load(spark, str(tmp_path / "kept"))
+    texts = [t for t, _ in CASES] + ["Photo: Maria Lindqvist / archive. Tel. 415 555 0132"]
+    assert again.find(texts) == detector.find(texts)
 
 
 def test_word_counts_are_of_the_whole_corpus(spark, monkeypatch):
@@ -111,7 +166,7 @@ def test_word_counts_are_of_the_whole_corpus(spark, monkeypatch):
     assert (got.lower["filler"], got.lower["lanterns"], got.lower["text"]) == (9_000, 42, 40)
     assert got.given == {"zorbina": 2} and got.ends == {"marn": 2} and got.other_ends["dorf"] == 300
     said = "Yesterday Zorbina Tessomarn came along."
-    assert [c.text for c in candidates(said, got) if c.kind == "name"] == ["Zorbina Tessomarn"]
+    assert "Zorbina Tessomarn" in [c.text for c in candidates(said, got) if c.kind == "name"] and got.is_given("Zorbina") == 1
     monkeypatch.setattr(pii_candidates, "RATE_TEXTS", 21)
     monkeypatch.setattr(pii, "RATE_TEXTS", 21)
     half = pii.lexicon_of(docs)  # 42 distinct texts: rates of half of them
