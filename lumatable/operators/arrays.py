@@ -29,12 +29,102 @@ def head_score(embedding: Column, weights: list[float], bias: float) -> Column:
 
 
 def crop_candidates(sizes: DataFrame) -> DataFrame:
-    """Square crops of images (id, width, height) as fractions (x, y, w, h): three sides of the short edge at nine places, each once."""
-    each = lambda name, values: F.explode(F.array(*map(F.lit, values))).alias(name)
-    w, h = F.greatest("width", F.lit(1)), F.greatest("height", F.lit(1))
-    squares = sizes.select("id", F.least(w, h).alias("short"), w.alias("w0"), h.alias("h0"), each("side", SIDES)).select("id", (F.col("side") * F.col("short") / F.col("w0")).alias("w"), (F.col("side") * F.col("short") / F.col("h0")).alias("h"))
-    spread = squares.select("*", each("fx", (0.0, 0.5, 1.0))).select("*", each("fy", (0.0, 0.5, 1.0)))
-    return spread.select("id", F.round((1 - F.col("w")) * F.col("fx"), 9).alias("x"), F.round((1 - F.col("h")) * F.col("fy"), 9).alias("y"), F.round("w", 9).alias("w"), F.round("h", 9).alias("h")).distinct()
+    """Square crops of images (id, width, height) as fractions (x, y, w, h): three sides of the short edge at nine places, each once.
+
+    All of an image are made and deduplicated in one array, so nothing is shuffled; repeated rows of an image give its crops again.
+    """
+    w0, h0 = (F.greatest(c, F.lit(1)).cast("double") for c in ("width", "height"))
+    places = (0.0, 0.5, 1.0)
+    sides = F.transform(F.array(*map(F.lit, SIDES)), lambda s: F.struct((s * F.least(w0, h0) / w0).alias("w"), (s * F.least(w0, h0) / h0).alias("h")))
+    box = lambda c, fx, fy: F.struct(F.round((1 - c["w"]) * fx, 9).alias("x"), F.round((1 - c["h"]) * fy, 9).alias("y"), F.round(c["w"], 9).alias("w"), F.round(c["h"], 9).alias("h"))
+    boxes = F.flatten(F.transform(sides, lambda c: F.array(*(box(c, fx, fy) for fx in places for fy in places))))
+    return sizes.select("id", F.explode(F.array_distinct(boxes)).alias("b")).select("id", "b.*")
+
+
+def crop_pixels(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:
+    """The pixels of a crop given in fractions as a struct (left, top, columns, rows), at least one and inside the frame."""
+    left, top = (F.greatest(F.lit(0), F.least(n - 1, F.round(c * n).cast("int"))) for c, n in ((x, width), (y, height)))
+    size = lambda c, n, start: F.greatest(F.lit(1), F.least(n - start, F.round(c * n).cast("int")))
+    return F.struct(left.alias("left"), top.alias("top"), size(w, width, left).alias("columns"), size(h, height, top).alias("rows"))
+
+
+#: The detector's frame, its strides, and what counts as a face.
+FACE_FRAME, STRIDES, FACE_SCORE, FACE_PIXELS, FACE_OVERLAP = 640, (8, 16, 32), 0.6, 24.0, 0.3
+EYE_WIDTH, EYES_APART = 160, 12.0
+
+
+def decode_faces(outputs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], scale: float) -> list[dict]:
+    """Faces of a detector's outputs, best first: for each stride the class and object scores, boxes (n, 4) and landmarks (n, 10) of its
+    grid. `scale` is that of the letterbox; faces come in pixels of the image, overlapping ones once."""
+    found = []
+    for stride, (cls, obj, boxes, marks) in zip(STRIDES, outputs, strict=True):
+        columns = FACE_FRAME // stride
+        score = np.sqrt(np.clip(cls, 0, 1) * np.clip(obj, 0, 1))
+        wide, tall = np.exp(boxes[:, 2]) * stride, np.exp(boxes[:, 3]) * stride
+        for i in np.nonzero((score >= FACE_SCORE) & (wide >= FACE_PIXELS) & (tall >= FACE_PIXELS))[0]:
+            at = np.array([i % columns, i // columns], dtype=float)
+            centre = (at + boxes[i, :2]) * stride
+            points = (at + marks[i].reshape(5, 2)) * stride / scale
+            found.append({"score": float(score[i]), "x": float(centre[0] - wide[i] / 2) / scale, "y": float(centre[1] - tall[i] / 2) / scale, "w": float(wide[i]) / scale, "h": float(tall[i]) / scale, "points": points.tolist()})
+    kept: list[dict] = []
+    for f in sorted(found, key=lambda f: -f["score"]):
+        if all(_overlap(f, k) < FACE_OVERLAP for k in kept):
+            kept.append(f)
+    return kept
+
+
+def _overlap(a: dict, b: dict) -> float:
+    x = max(0.0, min(a["x"] + a["w"], b["x"] + b["w"]) - max(a["x"], b["x"]))
+    y = max(0.0, min(a["y"] + a["h"], b["y"] + b["h"]) - max(a["y"], b["y"]))
+    return x * y / max(1e-9, a["w"] * a["h"] + b["w"] * b["h"] - x * y)
+
+
+def eye_sharpness(pixels: np.ndarray, face: dict) -> float | None:
+    """Variance of the Laplacian around both eyes of a face in RGB pixels, at a fixed width; None where the eyes are too close to tell."""
+    (x1, y1), (x2, y2) = face["points"][:2]
+    apart = float(np.hypot(x2 - x1, y2 - y1))
+    if apart < EYES_APART:
+        return None
+    left, right = int(max(0, min(x1, x2) - apart / 2)), int(min(pixels.shape[1], max(x1, x2) + apart / 2))
+    top, bottom = int(max(0, min(y1, y2) - 0.4 * apart)), int(min(pixels.shape[0], max(y1, y2) + 0.4 * apart))
+    if right - left < 8 or bottom - top < 4:
+        return None
+    part = pixels[top:bottom, left:right].astype(float)
+    rows = max(3, round((bottom - top) / (right - left) * EYE_WIDTH))
+    ys, xs = np.linspace(0, part.shape[0] - 1, rows), np.linspace(0, part.shape[1] - 1, EYE_WIDTH)
+    y0, x0 = np.floor(ys).astype(int), np.floor(xs).astype(int)
+    y1_, x1_ = np.minimum(y0 + 1, part.shape[0] - 1), np.minimum(x0 + 1, part.shape[1] - 1)
+    fy, fx = (ys - y0)[:, None, None], (xs - x0)[None, :, None]
+    scaled = (part[y0][:, x0] * (1 - fx) + part[y0][:, x1_] * fx) * (1 - fy) + (part[y1_][:, x0] * (1 - fx) + part[y1_][:, x1_] * fx) * fy
+    luma = scaled @ np.array([0.299, 0.587, 0.114])
+    lap = luma[:-2, 1:-1] + luma[2:, 1:-1] + luma[1:-1, :-2] + luma[1:-1, 2:] - 4 * luma[1:-1, 1:-1]
+    return float(lap.var())
+
+
+def judge_faces(frames: DataFrame) -> DataFrame:
+    """(id, faces, eye_sharpness) of frames (id, width, height, rgb binary, faces: array of structs score, x, y, w, h, points): the eyes of
+    the largest face that can be judged. A frame of the wrong length, or without faces, gives null eyes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for i, w, h, data, faces in zip(b.id, b.width, b.height, b.rgb, b.faces, strict=True):
+                faces = [] if faces is None else [{"w": f["w"], "h": f["h"], "points": [list(p) for p in f["points"]]} for f in faces]
+                ok = data is not None and len(data) == int(w) * int(h) * 3
+                pixels = np.frombuffer(data, np.uint8).reshape(int(h), int(w), 3) if ok else None
+                eyes = (eye_sharpness(pixels, f) for f in sorted(faces, key=lambda f: -f["w"] * f["h"])) if ok else ()
+                rows.append((i, len(faces), next((e for e in eyes if e is not None), None)))
+            yield pd.DataFrame(rows, columns=["id", "faces", "eye_sharpness"])
+
+    return frames.mapInPandas(run, "id bigint, faces int, eye_sharpness double")
+
+
+def tile_table(sizes: DataFrame, tile: int = 512, overlap: int = 32) -> DataFrame:
+    """(id, left, top, width, height) of the tiles that cover images (id, width, height), each overlapping its neighbours; the last ones
+    of a row or column are moved back inside, and an image smaller than a tile is one."""
+    starts = lambda n: F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((n - tile) / (tile - overlap))).cast("int")), lambda k: F.greatest(F.lit(0), F.least(k * (tile - overlap), n - tile))))
+    spread = sizes.where("width > 0 and height > 0").select("id", "width", "height", F.explode(starts(F.col("width"))).alias("left")).select("*", F.explode(starts(F.col("height"))).alias("top"))
+    return spread.select("id", "left", "top", F.least(F.lit(tile), F.col("width")).alias("width"), F.least(F.lit(tile), F.col("height")).alias("height"))
 
 
 def describe_crop(x: Column, y: Column, w: Column, h: Column) -> Column:

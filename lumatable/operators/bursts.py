@@ -14,35 +14,37 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumatable.runtime import materialize, ship
+from lumatable.runtime import materialize, release, ship
 
 GAP_S, SLOT_S = 2, 3_600
 
 
-def running_max(df: DataFrame, value: Column, slot: str, order: list, out: str) -> DataFrame:
-    """Adds `out`: the largest value in all rows before, in the order of (slot, order), by partial maxima of slots."""
+def running_max(df: DataFrame, values: dict[str, Column], slot: str, order: list) -> DataFrame:
+    """Adds for each name the largest value in all rows before, in the order of (slot, order), by partial maxima of slots."""
     w = Window.partitionBy(slot).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    staged = df.withColumn("__v", value)
-    tops = staged.groupBy(slot).agg(F.max("__v").alias("__top"))
+    staged = df.withColumns({f"__v_{k}": v for k, v in values.items()})
+    tops = staged.groupBy(slot).agg(*(F.max(f"__v_{k}").alias(f"__top_{k}") for k in values))
     over_slots = Window.orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)  # one row for each slot of time
-    before = tops.select(slot, F.max("__top").over(over_slots).alias("__before"))
-    return staged.withColumn("__within", F.max("__v").over(w)).join(before, slot).withColumn(out, F.greatest("__within", "__before")).drop("__v", "__within", "__before")
+    before = tops.select(slot, *(F.max(f"__top_{k}").over(over_slots).alias(f"__before_{k}") for k in values))
+    within = staged.withColumns({f"__within_{k}": F.max(f"__v_{k}").over(w) for k in values}).join(before, slot)
+    return within.withColumns({k: F.greatest(f"__within_{k}", f"__before_{k}") for k in values}).drop(*(f"__{p}_{k}" for p in ("v", "within", "before") for k in values))
 
 
 def segments(files: DataFrame) -> DataFrame:
     """Files (id, created_at, camera, shot_key) with `segment`, the place (created_at, id) of the first file of a stretch that no burst crosses."""
     place = F.struct("created_at", "id")
-    dated = materialize(files.where("created_at is not null").select("id", "created_at", "camera", "shot_key"), "burst-files").withColumn("slot", F.floor(F.col("created_at") / SLOT_S))
+    dated = materialize(files.where("created_at is not null").select("id", "created_at", "camera", "shot_key"), "burst-files")
     last = dated.groupBy("shot_key").agg(F.max(place).alias("shot_last"))
-    rows = materialize(dated.join(last, "shot_key"), "burst-rows")
+    rows = materialize(dated.join(last, "shot_key").withColumn("slot", F.floor(F.col("created_at") / SLOT_S)), "burst-rows")
     order = ["created_at", "id"]
     whole = F.struct(F.col("created_at").alias("created_at"), F.col("id").alias("id"), F.struct(F.col("camera").alias("camera")).alias("of"))
-    rows = materialize(running_max(rows, whole, "slot", order, "prev"), "burst-rows")
-    rows = materialize(running_max(rows, F.col("shot_last"), "slot", order, "open_until"), "burst-rows")
+    seen = running_max(rows, {"prev": whole, "open_until": F.col("shot_last")}, "slot", order)
     near = (F.col("created_at") - F.col("prev.created_at") <= GAP_S) & F.col("camera").eqNullSafe(F.col("prev.of.camera"))
     cut = F.col("prev").isNull() | (~near & (F.col("open_until") < place))
-    rows = running_max(rows.withColumn("cut", cut), F.when(cut, place), "slot", order, "earlier_cut")
-    return rows.withColumn("segment", F.when(F.col("cut"), place).otherwise(F.col("earlier_cut"))).select("id", "created_at", "camera", "shot_key", "segment")
+    marked = materialize(seen.select("id", "created_at", "camera", "shot_key", "slot", cut.alias("cut")), "burst-cuts")
+    release(dated, rows)
+    found = running_max(marked, {"earlier_cut": F.when(F.col("cut"), place)}, "slot", order)
+    return found.withColumn("segment", F.when(F.col("cut"), place).otherwise(F.col("earlier_cut"))).select("id", "created_at", "camera", "shot_key", "segment")
 
 
 def fold(rows: Iterator[tuple]) -> Iterator[tuple[int, int]]:

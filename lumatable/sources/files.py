@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumatable.functions import scalars as S
@@ -27,6 +27,20 @@ def supported(df: DataFrame, path: str = "path") -> DataFrame:
     return df.where(S.extension(F.col(path)).isin(*S.FORMATS))
 
 
+def existing(paths: DataFrame, listing: DataFrame) -> DataFrame:
+    """Paths of another manager's database that are among the files there (path)."""
+    return paths.join(listing.select("path").distinct(), "path", "left_semi")
+
+
+def apply_metadata(images: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Images after taking over what another manager knows (path, rating, flagged, tags): values it has replace those here, and silence
+    keeps them; and (image_id, tag_path) of the tags to add."""
+    one = known.groupBy("path").agg(*(F.max(c).alias(f"__{c}") for c in ("rating", "flagged")), F.array_distinct(F.flatten(F.collect_list("tags"))).alias("__tags"))
+    j = images.join(one, "path", "left")
+    tags = j.select(F.col("id").alias("image_id"), F.explode("__tags").alias("tag_path"))
+    return j.withColumns({c: F.coalesce(f"__{c}", c) for c in ("rating", "flagged")}).select(*images.columns), tags
+
+
 class FolderSource:
     """Files of the known kinds below a folder, or only directly in it; content is not read unless asked for."""
 
@@ -99,16 +113,23 @@ class DigikamSource:
 
     source_type = "digikam"
 
-    def __init__(self, spark: SparkSession, database: str):
-        self.spark, self.database = spark, database
+    def __init__(self, spark: SparkSession, database: str, volumes: dict[str, str] | None = None):
+        """`volumes` gives the folder at which each volume, by its UUID, is to be found."""
+        self.spark, self.database, self.volumes = spark, database, volumes or {}
 
     def description(self) -> str:
         return self.database
 
     def _photos(self) -> DataFrame:
-        q = "SELECT i.id, r.specificPath, a.relativePath, i.name FROM Images i JOIN Albums a ON i.album = a.id JOIN AlbumRoots r ON a.albumRoot = r.id WHERE i.status = 1"
-        rows = read_sqlite(self.spark, self.database, q, "id bigint, root string, folder string, name string")
-        return rows.select("id", F.regexp_replace(F.concat_ws("/", "root", "folder", "name"), "/+", "/").alias("path"))
+        q = "SELECT i.id, r.identifier, r.specificPath, a.relativePath, i.name FROM Images i JOIN Albums a ON i.album = a.id JOIN AlbumRoots r ON a.albumRoot = r.id WHERE i.status = 1"
+        rows = read_sqlite(self.spark, self.database, q, "id bigint, identifier string, root string, folder string, name string")
+        return rows.select("id", F.regexp_replace(F.concat_ws("/", self._volume(F.col("identifier")), F.coalesce("root", F.lit("")), "folder", "name"), "/+", "/").alias("path"))
+
+    def _volume(self, identifier: Column) -> Column:
+        """Where a root begins: the path that its identifier names, else the folder of its volume, else the file system's root."""
+        part = lambda key: S.percent_decode(F.regexp_extract(identifier, rf"[?&]{key}=([^&]*)", 1))
+        known = F.create_map(*(F.lit(x) for kv in self.volumes.items() for x in kv)) if self.volumes else F.create_map().cast("map<string,string>")
+        return F.coalesce(F.when(part("path") != "", part("path")), F.try_element_at(known, F.lower(part("uuid"))), F.lit(""))
 
     def scan(self) -> DataFrame:
         return supported(self._photos().select("path"))

@@ -193,8 +193,8 @@ def test_sources(spark, tmp_path):
     s = ShotwellSource(spark, str(tmp_path / "s.db"))
     assert [r.path for r in s.scan().collect()] == ["/b.nef", "/a.jpg"] and rows(s.tags()) == [("/a.jpg", "t"), ("/b.nef", "t")]
     with sqlite3.connect(tmp_path / "d.db") as con:
-        con.executescript("""CREATE TABLE AlbumRoots(id, specificPath); CREATE TABLE Albums(id, albumRoot, relativePath); CREATE TABLE Images(id, album, name, status); CREATE TABLE ImageInformation(imageid, rating); CREATE TABLE Tags(id, pid, name); CREATE TABLE ImageTags(imageid, tagid);
-        INSERT INTO AlbumRoots VALUES (1,'/photos'); INSERT INTO Albums VALUES (1,1,'/2020'); INSERT INTO Images VALUES (1,1,'a.jpg',1),(2,1,'b.jpg',3),(3,1,'c.jpg',1); INSERT INTO ImageInformation VALUES (1,7),(3,-1);
+        con.executescript("""CREATE TABLE AlbumRoots(id, identifier, specificPath); CREATE TABLE Albums(id, albumRoot, relativePath); CREATE TABLE Images(id, album, name, status); CREATE TABLE ImageInformation(imageid, rating); CREATE TABLE Tags(id, pid, name); CREATE TABLE ImageTags(imageid, tagid);
+        INSERT INTO AlbumRoots VALUES (1,'volumeid:?uuid=ab-1','/photos'); INSERT INTO Albums VALUES (1,1,'/2020'); INSERT INTO Images VALUES (1,1,'a.jpg',1),(2,1,'b.jpg',3),(3,1,'c.jpg',1); INSERT INTO ImageInformation VALUES (1,7),(3,-1);
         INSERT INTO Tags VALUES (1,0,'_Digikam_Internal_Tags_'),(2,1,'Pick Label Rejected'),(3,0,'Places'),(4,3,'Paris'); INSERT INTO ImageTags VALUES (1,2),(1,4);""")
     d = DigikamSource(spark, str(tmp_path / "d.db"))
     assert rows(d.scan()) == [("/photos/2020/a.jpg",), ("/photos/2020/c.jpg",)]

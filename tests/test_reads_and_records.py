@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from lumatable.functions import scalars as S
 from lumatable.operators import quality, reads, records, sidecars
+from lumatable.plans import backup, core_queries, read_queries
 from lumatable.plans import catalog as C
-from lumatable.plans import core_queries, read_queries
 from lumatable.plans.filters import SmartQuery, Tables, View
 
 IMG = "id bigint, path string, filename string, format string, shot_key string, created_at bigint, imported_at bigint, rating int, flagged int, hidden boolean, title string"
@@ -157,6 +157,21 @@ def test_choices_and_reviews(spark):
     assert rows(reading.select("id", "percent", "grade")) == [(1, 5.0, "Bad"), (2, 5.0, "Bad")]
 
 
+def test_snapshots_are_checked_rotated_and_restored(spark, tmp_path):
+    folder, other = str(tmp_path / "b"), str(tmp_path / "m")
+    one = spark.createDataFrame([(1, "a"), (2, None)], "id bigint, name string")
+    assert backup.is_due(spark, folder, 0) and backup.snapshots(spark, folder).count() == 0
+    for at in (100, 200, 300):
+        backup.snapshot({"t": one.where(f"id * 150 <= {at}"), "empty": one.limit(0)}, folder, at)
+    one.write.parquet(f"{folder}/snapshot-400/t")  # not finished
+    assert backup.rotate(spark, folder, keep=2) == [100] and not backup.is_due(spark, folder, 300 + backup.EVERY_S - 1) and backup.is_due(spark, folder, 300 + backup.EVERY_S)
+    back = backup.restore(spark, folder)
+    assert rows(back["t"]) == [(1, "a"), (2, None)] and back["empty"].count() == 0 and rows(backup.restore(spark, folder, 200)["t"]) == [(1, "a")]
+    assert backup.mirror(spark, folder, other) == [200, 300] and backup.mirror(spark, folder, other) == []
+    with pytest.raises(FileNotFoundError):
+        backup.restore(spark, folder, 400)
+
+
 DATA = "/root/testdata/sf0.001"
 
 
