@@ -159,7 +159,7 @@ def labelled_sentences(texts: list[str], lexicon: Lexicon, every: list[tuple[str
     return out
 
 
-_PLACE = regex.compile(r"(?<=\b(?:in|at|near|over|to|from|bei|nach|über|von|zu|à|en|de|vers|desde|hacia) )\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?")
+_PLACE = regex.compile(r"\b(?:in|at|near|over|to|from|bei|nach|über|von|zu|à|en|de|vers|desde|hacia) (\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?)")
 #: Sampled texts in which a place must be named.
 PLACE_TEXTS = 3
 

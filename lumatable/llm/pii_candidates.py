@@ -20,6 +20,7 @@ KINDS = ("name", "email", "phone", "id_number", "address")
 
 _PLAIN = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)} | dict.fromkeys(map(ord, "\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"), " ") | dict.fromkeys(range(0x2010, 0x2016), "-") | {0x2212: "-", 0x2019: "'", 0xFE6B: "@"}
 _UNUSUAL = re.compile("[\uff01-\uff5e\u00a0\u2000-\u200a\u202f\u205f\u3000\u2010-\u2015\u2212\u2019\ufe6b]")
+_CLUSTER = regex.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]|[\u1100-\u11ff]+|\\P{M}\\p{M}+|[\u212a\u212b\u2126\u0340-\u0344\u0374\u037e\u0387]")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 
 
@@ -30,16 +31,16 @@ def plain(text: str) -> tuple[str, list[int] | None]:
     out = text.translate(_PLAIN) if _UNUSUAL.search(text) else text
     if not _INVISIBLE.search(out) and unicodedata.is_normalized("NFC", out):
         return out, None
-    chars, places, i = [], [], 0
-    while i < len(out):
-        j = i + 1
-        while j < len(out) and unicodedata.combining(out[j]):
-            j += 1
-        for c in unicodedata.normalize("NFC", out[i:j]) if not _INVISIBLE.match(out[i]) else "":
-            chars.append(c)
-            places.append(i)
-        i = j
-    return "".join(chars), [*places, len(text)]
+    chars, places, at = [], [], 0
+    for m in _CLUSTER.finditer(out):  # all else stands for itself
+        chars.append(out[at : m.start()])
+        places.extend(range(at, m.start()))
+        made = "" if _INVISIBLE.match(m.group()) else unicodedata.normalize("NFC", m.group())
+        chars.append(made)
+        places.extend([m.start()] * len(made))
+        at = m.end()
+    chars.append(out[at:])
+    return "".join(chars), [*places, *range(at, len(out)), len(text)]
 
 
 # Words that announce or rule out a kind, in the languages of the corpus; all in lower case.
@@ -106,7 +107,11 @@ NAME_FORMS = [
     ("initial", regex.compile(rf"(?<![\p{{L}}\p{{N}}_@.'/-])(?P<g>\p{{Lu}}\.(?:[ -]?\p{{Lu}}\.){{0,2}})(?P<i>) ?(?P<s>{_SUR})(?![\p{{L}}\p{{N}}_@])", regex.V1)),
     ("given", regex.compile(rf"(?<![\p{{L}}\p{{N}}_@.'-])(?P<g>{_GIV} {_GIV})(?P<i>(?: \p{{Lu}}\.){{0,2}}) (?P<s>{_SUR})(?![\p{{L}}\p{{N}}_@])", regex.V1)),
 ]
+#: Where a name may begin: at a capital, or at a particle of a family name that comes first.
+_CAPITAL = re.compile(r"(?<![\w@.'-])[^\W\d_a-z]")
+_PARTICLE = re.compile(r"(?<![\w@.'-])(?:van|von|del?|den|der|ter|di|da|dos|el|al|bin|ben|le|la) ", re.IGNORECASE)
 _LOWER_WORD = regex.compile(r"(?<![\p{L}\p{N}_@.'-])\p{Ll}{2,}(?:-\p{Ll}+)?(?= )")
+_PLAIN_WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)?")
 _LOWER_REST = regex.compile(rf"(?P<i>(?: \p{{Ll}}\.){{0,2}}) (?P<s>(?:{_PART}){{0,2}}(?:\p{{Ll}}')?\p{{Ll}}{{4,}}(?:-\p{{Ll}}+)?)(?![\p{{L}}\p{{N}}_@'-])")
 _FIELD_NAME = regex.compile(r"(?im)^[ \t>*-]*(?:full name|name|nom et prénom|nom|nombre|nome|vor- und nachname)[ \t]*(?:\.{3,}|[:|=]|\t)[ \t]*(?P<v>[^\r\n|<>\"]{3,60}?)[ \t]*$")
 _LINE_NAME = regex.compile(rf"(?m)^[ \t>]*(?P<v>[\p{{L}}\p{{M}}][\p{{L}}\p{{M}}'. ,-]{{3,45}})[ \t]*\r?$")
@@ -149,7 +154,8 @@ LEAST = {"lower": 1.000001, "given": 0.5, "ends": 0.0, "other_ends": 0.0, "caps"
 COMMON_FIRST, COMMON_LAST = 20, 50
 _WORDS = regex.compile(r"(?<![\p{L}@._+-])\p{Ll}{2,}(?![\p{L}@_+-]|\.\p{L})")
 _CAPITALS = regex.compile(r"(?<![\p{L}@._+-])\p{Lu}\p{Ll}{2,}(?![\p{L}@_+]|\.\p{L})")
-_AT_PLACE = regex.compile(r"(?<=\b(?:in|at|near|over|to|from|of|bei|nach|aus|über|von|zu|à|en|de|vers|desde|hacia) )\p{Lu}\p{Ll}{2,}")
+_AT_PLACE = regex.compile(r"\b(?:in|at|near|over|to|from|of|bei|nach|aus|über|von|zu|à|en|de|vers|desde|hacia) (\p{Lu}\p{Ll}{2,})")
+_OTHER_END = regex.compile(r"(?:[,.]|\b(?:in|at|near|aus|à|en)) (\p{Lu}\p{Ll}{4,})")
 
 
 def _grams(word: str) -> list[str]:
@@ -177,7 +183,7 @@ class Lexicon:
             if got:
                 self.given.update([got["g"].split()[0].lower()])
                 self.ends.update([fold(got["s"])[-4:]])
-        self.other_ends.update(fold(w)[-4:] for w in regex.findall(r"(?<=[,.] |in |at |near |aus |à |en )\p{Lu}\p{Ll}{4,}", text))
+        self.other_ends.update(fold(w)[-4:] for w in _OTHER_END.findall(text))
 
     def rated(self, texts: int) -> Lexicon:
         """The counts of so many texts as rates, without words too rare for any threshold."""
@@ -249,8 +255,10 @@ def names(text: str, lex: Lexicon, mails: set[str]) -> Iterable[Candidate]:
         c = Candidate("name", start, end, text[start:end], [float(x) for x in f])
         return c
 
+    capitals = [m.start() for m in _CAPITAL.finditer(text) if m.group().isupper()]
+    family = sorted({*capitals, *(m.start() for m in _PARTICLE.finditer(text))})
     for k, (form, pattern) in enumerate(NAME_FORMS):
-        for m in pattern.finditer(text, overlapped=True):
+        for m in filter(None, (pattern.match(text, at) for at in (capitals if form != "comma" else family))):
             given, start, end = m["g"], m.start(), m.end()
             words = given.split()
             if form == "given" and len(words) == 2 and not all(lex.is_given(w) or lex.name_like(w) > 0 for w in words):
@@ -264,7 +272,7 @@ def names(text: str, lex: Lexicon, mails: set[str]) -> Iterable[Candidate]:
             if (start, end) not in seen:
                 seen.add((start, end))
                 yield made(start, end, given, m["i"] or "", m["s"], k, False)
-    for m in _LOWER_WORD.finditer(text):
+    for m in _LOWER_WORD.finditer(text) if not GIVEN.isdisjoint(_PLAIN_WORD.findall(text)) else ():
         if lex.is_given(m.group()) == 2 and (r := _LOWER_REST.match(text, m.end())) and (lex.surname_like(r["s"]) >= 1 or fold(r["s"]) in mails) and lex.lower[r["s"].split()[-1]] <= 2 and (m.start(), r.end()) not in seen:
             seen.add((m.start(), r.end()))
             yield made(m.start(), r.end(), m.group(), r["i"] or "", r["s"], 0, False)
@@ -322,8 +330,22 @@ def phones(text: str) -> Iterable[Candidate]:
         yield Candidate("phone", start, end, t, [float(x) for x in f])
 
 
+#: Where a number may begin: a digit after few letters.
+_ID_START = re.compile(r"(?<![\w./-])(?=[A-Za-z]{0,7}[ -]?\d)[A-Za-z0-9]")
+_HOUSE = re.compile(r"(?<![\w.,/#-])\d")
+
+
+def _matches(pattern: regex.Pattern, starts: re.Pattern, text: str) -> Iterable:
+    """Matches of a pattern, which is tried only where `starts` matches; none overlaps the one before."""
+    end = 0
+    for s in starts.finditer(text):
+        if s.start() >= end and (m := pattern.match(text, s.start())):
+            yield m
+            end = m.end()
+
+
 def id_numbers(text: str) -> Iterable[Candidate]:
-    for m in ID.finditer(text):
+    for m in _matches(ID, _ID_START, text):
         t, start = m.group(), m.start()
         digits = sum(c.isdigit() for c in t)
         if digits < 5:
@@ -344,15 +366,20 @@ def _cut_town(t: str, lex: Lexicon) -> str:
     return t
 
 
-#: Words without one of which a pattern of ADDRESS cannot match.
-_SOME_STREET = [re.compile(x, re.IGNORECASE) for x in (rf"\b{_ENG}\b", rf"\b{_ENG}\b", r"straße|strasse|str\.|allee|weg |gasse|platz|ring |damm|ufer|steig|hof |chaussee|markt|berg |obere|untere|alte|neue|am |an der|an den|auf de|im |in der|zum|zur|hinter|unter den|bei der", r"rue|avenue|av\.|quai|place|pl\.|bd|boul|impasse|chemin|ch\.|allée|cours|route|square|passage|villa|cité|faubourg|montée|sentier", r"c/|calle|avda|avenida|av\.|paseo|p\.º|plaza|pza|pl\.|camino|carretera|ctra|ronda|travesía|cuesta|glorieta|rambla|vía")]
+#: Patterns of ADDRESS that begin with a house number; and parts of words, in lower case, without one of which the others cannot match.
+NUMBER_FIRST = (0, 1, 3)
+SOME_STREET = {
+    2: ("straße", "strasse", "str.", "allee", "weg ", "gasse", "platz", "ring ", "damm", "ufer", "steig", "hof ", "chaussee", "markt", "berg ", "obere", "untere", "alte", "neue", "am ", "an der", "an den", "auf de", "im ", "in der", "zum", "zur", "hinter", "unter den", "bei der"),
+    4: ("c/", "calle", "avda", "avenida", "av.", "paseo", "p.º", "plaza", "pza", "pl.", "camino", "carretera", "ctra", "ronda", "travesía", "cuesta", "glorieta", "rambla", "vía"),
+}
 
 
 def addresses(text: str, lex: Lexicon) -> Iterable[Candidate]:
+    low = text.lower()
     for k, pattern in enumerate(ADDRESS):
-        if not _SOME_STREET[k].search(text):
+        if k in SOME_STREET and not any(w in low for w in SOME_STREET[k]):
             continue
-        for m in pattern.finditer(text):
+        for m in _matches(pattern, _HOUSE, text) if k in NUMBER_FIRST else pattern.finditer(text):
             t = _cut_town(m.group().rstrip(" ,;-·"), lex)
             if t.endswith(".") and len(re.split(r"\W", t[:-1])[-1]) > 4:
                 t = t[:-1]  # the end of a sentence, not of an abbreviation
