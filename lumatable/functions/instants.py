@@ -26,11 +26,6 @@ COUNTINGS = (
 MICROS = 1_000_000
 
 
-def _div(a: Column, b: int) -> Column:
-    """Quotient of integers, exact beyond the 53 bits of a double."""
-    return F.call_function("div", a, F.lit(b))
-
-
 def days_from_civil(y: Column, m: Column, d: Column) -> Column:
     """Days since 1970-01-01 of a date that exists; to be guarded by date_exists."""
     return F.unix_date(F.make_date(y, m, d)).cast("bigint")
@@ -47,30 +42,31 @@ def time_exists(h: Column, mi: Column, s: Column) -> Column:
     return h.between(0, 23) & mi.between(0, 59) & s.between(0, 59)
 
 
-def _digits_us(v: Column) -> Column:
-    """Microseconds of a number written as the digits YYYYMMDDhhmmss, else null."""
-    part = lambda div, mod: _div(v, div) % F.lit(mod)
-    y, m, d, h, mi, s = (part(a, b).cast("int") for a, b in ((10**10, 10**4), (10**8, 100), (10**6, 100), (10**4, 100), (100, 100), (1, 100)))
-    return F.when(date_exists(y, m, d) & time_exists(h, mi, s), (days_from_civil(y, m, d) * 86_400 + h * 3_600 + mi * 60 + s) * MICROS)
+#: Microseconds of a number x written as the digits YYYYMMDDhhmmss, else null; in SQL, as the text is parsed at once where building it
+#: from columns would take hundreds of calls.
+_DIGITS = """
+x -> CASE WHEN x div 10000000000 >= 1 AND x div 100000000 % 100 BETWEEN 1 AND 12 AND x div 1000000 % 100 >= 1
+ AND x div 1000000 % 100 <= CASE WHEN x div 100000000 % 100 IN (4, 6, 9, 11) THEN 30 WHEN x div 100000000 % 100 = 2 THEN
+  CASE WHEN x div 10000000000 % 4 = 0 AND (x div 10000000000 % 100 <> 0 OR x div 10000000000 % 400 = 0) THEN 29 ELSE 28 END ELSE 31 END
+ AND x div 10000 % 100 <= 23 AND x div 100 % 100 <= 59 AND x % 100 <= 59
+THEN (unix_date(make_date(CAST(x div 10000000000 AS INT), CAST(x div 100000000 % 100 AS INT), CAST(x div 1000000 % 100 AS INT))) * 86400L + x div 10000 % 100 * 3600 + x div 100 % 100 * 60 + x % 100) * 1000000L END"""
 
 
-def number_us(v: Column, years: tuple[int, int] = GENUINE) -> Column:
-    """Microseconds since 1970 of a number in an unknown unit, epoch or notation, else null.
+def number_us(name: str, years: tuple[int, int] = GENUINE) -> Column:
+    """Microseconds since 1970 of the numbers in a column, of an unknown unit, epoch or notation, else null.
 
     Units and epochs are told apart by where the value comes to lie: only one choice falls into the genuine years, which `years` gives
     as seconds since 1970; for other years the first of COUNTINGS that fits counts. Null, 0 and negative numbers, and numbers
     that fall nowhere, are no time.
     """
-    v = v.cast("bigint")
-    low, high = years
-    out = F.when(v.isNull() | (v <= 0), F.lit(None).cast("bigint"))
+    v, (low, high) = f"CAST(`{name}` AS BIGINT)", years
+    cases = []
     for unit, epoch in COUNTINGS:
-        scaled = v - F.lit(epoch * unit)
-        us = scaled * (MICROS // unit) if unit <= MICROS else _div(scaled, unit // MICROS)
-        out = out.when((v >= (low + epoch) * unit) & (v < min((high + epoch) * unit, 2**63 - 1)), us)
+        scaled = f"({v} - {epoch * unit}L)"
+        us = f"{scaled} * {MICROS // unit}L" if unit <= MICROS else f"{scaled} div {unit // MICROS}L"
+        cases.append(f"WHEN {v} >= {(low + epoch) * unit}L AND {v} < {min((high + epoch) * unit, 2**63 - 1)}L THEN {us}")
     first, last = (int(datetime.fromtimestamp(t, UTC).strftime("%Y%m%d")) for t in (low, high - 1))
-    stamp = F.when(v.between(first * 10**6, last * 10**6 + 235_959), v).when(v.between(first * 10**9, last * 10**9 + 235_959_999), _div(v, 1000)).when(v.between(first, last), v * MICROS)
-    millis = F.when(v > 10**16, v % 1000).otherwise(0)
+    stamp = f"CASE WHEN {v} BETWEEN {first * 10**6}L AND {last * 10**6 + 235_959}L THEN {v} WHEN {v} BETWEEN {first * 10**9}L AND {last * 10**9 + 235_959_999}L THEN {v} div 1000L WHEN {v} BETWEEN {first}L AND {last}L THEN {v} * 1000000L END"
     # a lambda, so that the code of the calendar is made once and not for each use of the stamp
-    digits = F.transform(F.array(stamp), _digits_us)[0] + millis * 1000
-    return F.coalesce(out, F.when(stamp.isNotNull() & out.isNull(), digits))
+    digits = f"transform(array({stamp}), {_DIGITS})[0] + CASE WHEN {v} > {10**16}L THEN {v} % 1000L ELSE 0L END * 1000L"
+    return F.expr(f"CASE WHEN {v} IS NULL OR {v} <= 0 THEN NULL {' '.join(cases)} ELSE {digits} END")

@@ -47,12 +47,12 @@ def format_of(name: Column) -> Column:
 
 
 def _format_map() -> Column:
-    return F.create_map(*(F.lit(x) for kv in FORMATS.items() for x in kv))
+    return F.expr("map(" + ", ".join(f"'{x}'" for kv in FORMATS.items() for x in kv) + ")")  # parsed at once
 
 
 def stored_format(text: Column) -> Column:
     """A stored format, which may be a format's name or a file extension; other text gives UNKNOWN."""
-    return F.when(text.isin(*set(FORMATS.values())), text).otherwise(F.coalesce(F.try_element_at(_format_map(), F.lower(text)), F.lit("UNKNOWN")))
+    return F.when(F.array_contains(F.expr("array(" + ", ".join(f"'{x}'" for x in sorted(set(FORMATS.values()))) + ")"), text), text).otherwise(F.coalesce(F.try_element_at(_format_map(), F.lower(text)), F.lit("UNKNOWN")))
 
 
 def is_raw(fmt: Column) -> Column:

@@ -98,7 +98,7 @@ class SessionState:
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query p3_found: shooting sessions of each camera along images.created_at."""
-    images = table(spark, sf_dir, "images").select("id", camera_key(F.col("camera_model")).alias("camera"), F.floor(number_us(F.col("created_at")) / 1_000_000).alias("t"))
+    images = table(spark, sf_dir, "images").select("id", camera_key(F.col("camera_model")).alias("camera"), F.floor(number_us("created_at") / 1_000_000).alias("t"))
     return sessions(images, "camera", "t", "id").select(F.col("key").alias("camera_model"), F.col("begin").alias("session_start"), F.col("end").alias("session_end"), F.col("n").alias("n_images"))
 
 
@@ -111,7 +111,7 @@ def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Copies of a row arrive together, as they have the same imported_at; images without one arrive first.
     """
-    images = table(spark, sf_dir, "images").select("id", "imported_at", camera_key(F.col("camera_model")).alias("camera"), F.floor(number_us(F.col("created_at")) / 1_000_000).alias("t"))
+    images = table(spark, sf_dir, "images").select("id", "imported_at", camera_key(F.col("camera_model")).alias("camera"), F.floor(number_us("created_at") / 1_000_000).alias("t"))
     slim = materialize(images.where("camera is not null and t is not null"), "arrivals")
     cuts = slim.approxQuantile("imported_at", [i / REPLAY_BATCHES for i in range(1, REPLAY_BATCHES)], 0.01)  # where they are cut changes no result
     state = SessionState(spark, scratch_path(spark, "sessions"), late=REPLAY_LATE_S)

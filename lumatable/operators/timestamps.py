@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lumatable.functions.instants import GENUINE, MICROS, date_exists, days_from_civil, number_us, time_exists
 from lumatable.functions.text import strip_wrapping
-from lumatable.runtime import table
+from lumatable.runtime import spread, table
 
 # English month names by their first three letters, and zone abbreviations with their offsets in minutes.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
@@ -162,12 +162,12 @@ def text_parts(df: DataFrame, text: str) -> DataFrame:
     Each way of writing is rewritten to the same ten parts, year|month|day|hour|minute|second|fraction|half|mark|region.
     """
     t = F.col("__text")
-    df = df.withColumn("__text", strip_wrapping(F.col(text)))
+    df = df.withColumn("__text", strip_wrapping(F.col(text))).withColumn("__number", t.try_cast("bigint"))
     parts = F.lit(None).cast("string")
     for name, pattern in reversed(_WRITTEN.items()):
         order = [*_PLACES[name], *range(4, 11)]
         parts = F.when(t.rlike(pattern), F.regexp_replace(t, pattern, "|".join(f"${k}" for k in order))).otherwise(parts)
-    number = F.when(t.rlike(r"^\d{12,19}$"), number_us(t.try_cast("bigint")))
+    number = F.when(t.rlike(r"^\d{12,19}$"), number_us("__number"))
     seconds = F.when(t.rlike(r"^\d{9,11}(?:\.\d{1,9})?$"), F.floor(t.try_cast("decimal(30,9)") * MICROS).cast("bigint"))
     df = df.withColumns({"__parts": F.split(parts, r"\|"), "__bare_us": F.coalesce(seconds, number)})
     p = lambda k: F.col("__parts")[k]
@@ -188,7 +188,7 @@ def text_parts(df: DataFrame, text: str) -> DataFrame:
     y, m, d, h, mi, s, fraction = (F.col("__n")[k] for k in range(7))
     local = (days_from_civil(y, m, d) * 86_400 + h * 3_600 + mi * 60 + s) * MICROS + fraction
     filled = lambda k: F.when(p(k) != "", p(k))
-    return df.withColumns({"__local_us": F.when(F.col("__bare_us").isNull() & date_exists(y, m, d) & time_exists(h, mi, s), local), "__mark": filled(8), "__region": filled(9)}).drop("__text", "__parts", "__n")
+    return df.withColumns({"__local_us": F.when(F.col("__bare_us").isNull() & date_exists(y, m, d) & time_exists(h, mi, s), local), "__mark": filled(8), "__region": filled(9)}).drop("__text", "__number", "__parts", "__n")
 
 
 def text_instants(df: DataFrame, text: str, offset_time: str, time_zone: str, out: str = "instant_us", status: str | None = None) -> DataFrame:
@@ -221,15 +221,15 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Rows without an id are dropped; repeated rows come out once; an empty table gives no rows.
     """
-    created = table(spark, sf_dir, "images").select(F.lit("images.created_at").alias("field_name"), F.col("id").alias("image_id"), number_us(F.col("created_at")).alias("instant_us"))
-    headers = table(spark, sf_dir, "image_metadata").select("image_id", "capture_date", "offset_time", "time_zone")
+    created = table(spark, sf_dir, "images").select(F.lit("images.created_at").alias("field_name"), F.col("id").alias("image_id"), number_us("created_at").alias("instant_us"))
+    headers = spread(table(spark, sf_dir, "image_metadata").select("image_id", "capture_date", "offset_time", "time_zone"))  # texts are dear to take apart
     written = text_instants(headers, "capture_date", "offset_time", "time_zone").select(F.lit("image_metadata.capture_date").alias("field_name"), "image_id", "instant_us")
     return created.unionByName(written).where(F.col("image_id").isNotNull() & F.col("instant_us").isNotNull()).distinct()
 
 
 def status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query p1_status: image_id, instant_us and status of each written moment, readable or not."""
-    headers = table(spark, sf_dir, "image_metadata").select("image_id", "capture_date", "offset_time", "time_zone").where("image_id is not null")
+    headers = spread(table(spark, sf_dir, "image_metadata").select("image_id", "capture_date", "offset_time", "time_zone").where("image_id is not null"))
     return text_instants(headers, "capture_date", "offset_time", "time_zone", status="status").select("image_id", "instant_us", "status").distinct()
 
 

@@ -28,7 +28,7 @@ def image_rows(spark: SparkSession, sf_dir: str, years: tuple[int, int] = GENUIN
     """
     raw = table(spark, sf_dir, "images").select(*IMAGE_COLUMNS, "created_at", "group_hash", F.col("thumbhash").isNotNull().alias("has_thumbhash"))
     group = F.lower(strip_space(F.col("group_hash")))
-    at = F.floor(number_us(F.col("created_at"), years) / MICROS).cast("bigint")
+    at = F.floor(number_us("created_at", years) / MICROS).cast("bigint")
     slim = raw.withColumns({"created_at": at, "group_hash": F.when(group != "", group)})
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("created_at") / 86_400).cast("int"))
     return slim.withColumns({"shot_key": shot_key(), "year": F.year(day), "month": F.month(day), "day": F.dayofmonth(day)})

@@ -282,7 +282,7 @@ def _(s, d):
 def candidates(s, d) -> DataFrame:
     from lumatable.functions.instants import number_us
 
-    return table(s, d, "import_candidates").select(F.col("candidate_id").alias("id"), "path", "filename", "size_bytes", F.floor(number_us(F.col("created_at")) / 1_000_000).cast("bigint").alias("created_at"), "hash").distinct()
+    return table(s, d, "import_candidates").select(F.col("candidate_id").alias("id"), "path", "filename", "size_bytes", F.floor(number_us("created_at") / 1_000_000).cast("bigint").alias("created_at"), "hash").distinct()
 
 
 _CAND = f"ca AS (SELECT DISTINCT candidate_id AS id, path, filename, size_bytes, CAST({C._seconds_sql('created_at')} AS BIGINT) AS created_at, hash FROM import_candidates)"

@@ -194,6 +194,6 @@ def test_years_are_a_parameter(spark):
     late = spark.createDataFrame([(1, 1_800_000_000)], "id bigint, created_at bigint")
     from lumatable.functions.instants import number_us
 
-    assert late.select(number_us(F.col("created_at"))).first()[0] is None
-    assert late.select(number_us(F.col("created_at"), (1_325_376_000, 1_900_000_000))).first()[0] == 1_800_000_000_000_000
+    assert late.select(number_us("created_at")).first()[0] is None
+    assert late.select(number_us("created_at", (1_325_376_000, 1_900_000_000))).first()[0] == 1_800_000_000_000_000
     assert C.images(spark, DATA).count() > 0 and SmartQuery.parse("{}").describe() == ""
