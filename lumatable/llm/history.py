@@ -69,7 +69,7 @@ def _clean_names(names: pd.Series) -> pd.Series:
     return names.map(clean_name, na_action="ignore")
 
 
-def records(df: DataFrame, record_id: str, content_hash: str, name: Column, size: str, created: Column) -> DataFrame:
+def records(df: DataFrame, record_id: str, content_hash: str, name: Column, size: str, created: str) -> DataFrame:
     """Records (id, hash, name, t, size) of a table, cleaned; rows without an id are dropped."""
     h = F.lower(strip_space(F.col(content_hash)))
     raw = df.select(F.col(record_id).cast("bigint").alias("id"), F.when(h != "", h).alias("hash"), name.alias("name"), F.floor(number_us(created) / 1_000_000).alias("t"), F.col(size).cast("bigint").alias("size"))
@@ -260,7 +260,7 @@ def found(spark: SparkSession, sf_dir: str, step_rows: int = STEP_ROWS) -> DataF
     ship(spark)
     images = table(spark, sf_dir, "images").select("id", "hash", "original_filename", "filename", "size_bytes", "created_at")
     store = SortedRuns(spark, scratch_path(spark, "history"))
-    store.merge(records(images, "id", "hash", F.coalesce("original_filename", "filename"), "size_bytes", F.col("created_at")))
+    store.merge(records(images, "id", "hash", F.coalesce("original_filename", "filename"), "size_bytes", "created_at"))
     arrived = table(spark, sf_dir, "import_candidates").select(F.col("candidate_id").cast("bigint").alias("candidate_id"), "filename", "size_bytes", "created_at", "hash").where("candidate_id is not null")
     out = check_waiting(store, arrived, step_rows)
     drop_path(spark, store.folder)
@@ -284,7 +284,7 @@ def check_waiting(store: SortedRuns, arrived: DataFrame, step_rows: int = STEP_R
             step = step.where(F.col("candidate_id") > bounds[first - 1])
         if last < len(bounds):
             step = step.where(F.col("candidate_id") <= bounds[last])
-        batch = materialize(records(step, "candidate_id", "hash", F.col("filename"), "size_bytes", F.col("created_at")).distinct(), "batch")
+        batch = materialize(records(step, "candidate_id", "hash", F.col("filename"), "size_bytes", "created_at").distinct(), "batch")
         store.merge(batch)
         store.check(batch).write.mode("append").parquet(results)
         release(batch)

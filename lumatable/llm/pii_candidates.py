@@ -152,8 +152,7 @@ RATE_TEXTS = 3_000
 LEAST = {"lower": 1.000001, "given": 0.5, "ends": 0.0, "other_ends": 0.0, "caps": 1.000001, "near": 1.000001}
 #: Times in so many texts above which a word in lower case begins or ends no name that is not known otherwise.
 COMMON_FIRST, COMMON_LAST = 20, 50
-_WORDS = regex.compile(r"(?<![\p{L}@._+-])\p{Ll}{2,}(?![\p{L}@_+-]|\.\p{L})")
-_CAPITALS = regex.compile(r"(?<![\p{L}@._+-])\p{Lu}\p{Ll}{2,}(?![\p{L}@_+]|\.\p{L})")
+_WORDS = re.compile(r"(?<![\w@.+-])[^\W\d_]{2,}(?![\w@+-]|\.\w)")
 _AT_PLACE = regex.compile(r"\b(?:in|at|near|over|to|from|of|bei|nach|aus|über|von|zu|à|en|de|vers|desde|hacia) (\p{Lu}\p{Ll}{2,})")
 _OTHER_END = regex.compile(r"(?:[,.]|\b(?:in|at|near|aus|à|en)) (\p{Lu}\p{Ll}{4,})")
 
@@ -174,8 +173,11 @@ class Lexicon:
         self.grams, self.told = None, {}
 
     def add(self, text: str) -> None:
-        self.lower.update(_WORDS.findall(text))
-        self.caps.update(_CAPITALS.findall(text))
+        for w, n in Counter(_WORDS.findall(text)).items():
+            if w.islower():
+                self.lower[w] += n
+            elif len(w) > 2 and w[0].isupper() and w[1:].islower():
+                self.caps[w] += n
         self.near.update(_AT_PLACE.findall(text))
         for m in _FIELD_NAME.finditer(text):
             v = m.group("v")

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from lumatable.runtime import materialize, salted_lookup, ship, spread, table
 
 #: Characters the rolling hash covers; one in so many borders, and in long stretches one in so many other places, become cuts; longest chunk.
-WINDOW, BORDER_EVERY, OTHER_EVERY, LONGEST = 8, 64, 1_024, 4_096
+WINDOW, BORDER_EVERY, OTHER_EVERY, LONGEST = 8, 48, 1_024, 4_096
 _BASE, _MIX = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 #: Characters before a cut on which the splitting may depend beyond the last piece: the longest contraction.
 _CONTEXT = 3

@@ -94,7 +94,7 @@ def test_batches_against_brute_force(spark, tmp_path):
     make = lambda i: (i, rng.choice([None, "", "AB", f"h{rng.randint(0, 150)}", f"H{rng.randint(0, 150)}"]), rng.choice([None, "hot1.jpg", "HOT1 (1).JPG", f"f{rng.randint(0, 30)}.jpg"]), rng.choice([None, 1_000, 1_005, 1_020, 5_000]), rng.choice([None, 0, T0 + rng.randint(0, 6), (T0 + rng.randint(0, 6)) * 1_000]))
     every = [make(i) for i in range(500)]
     schema = "id bigint, h string, name string, size bigint, t bigint"
-    recs = lambda part: history.records(spark.createDataFrame(part, schema), "id", "h", F.col("name"), "size", F.col("t"))
+    recs = lambda part: history.records(spark.createDataFrame(part, schema), "id", "h", F.col("name"), "size", "t")
     store = history.SortedRuns(spark, str(tmp_path / "runs"), file_rows=60)
     got = set()
     for a, b in ((0, 250), (250, 300), (300, 310), (310, 400), (400, 450), (450, 500)):
@@ -134,7 +134,7 @@ def test_a_batch_costs_files_for_its_own_records(spark, tmp_path):
     """A history ten times as long makes a batch read no more rows, and merging rewrites a record a few times only."""
     T0, read = 1_400_000_000, []
     schema = "id bigint, h string, name string, size bigint, t bigint"
-    recs = lambda part: history.records(spark.createDataFrame(part, schema), "id", "h", F.col("name"), "size", F.col("t"))
+    recs = lambda part: history.records(spark.createDataFrame(part, schema), "id", "h", F.col("name"), "size", "t")
     for n in (4_000, 40_000):
         store = history.SortedRuns(spark, str(tmp_path / f"h{n}"), file_rows=500)
         store.merge(recs([(i, f"{i * 7_919 % 1_000_003:06d}", f"a{i}.jpg", 1_000 + i, T0 + 60 * i) for i in range(n)]))
@@ -157,7 +157,7 @@ from lumatable.llm.history import SortedRuns, records
 spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.driver.host", "127.0.0.1").getOrCreate()
 folder, first, last = sys.argv[1], int(sys.argv[2]), int(sys.argv[3])
 rows = [(i, f"h{i % 6}") for i in range(first, last)]
-batch = records(spark.createDataFrame(rows, "id bigint, h string").withColumns({"name": F.lit(None).cast("string"), "size": F.lit(1), "t": F.lit(None).cast("bigint")}), "id", "h", F.col("name"), "size", F.col("t"))
+batch = records(spark.createDataFrame(rows, "id bigint, h string").withColumns({"name": F.lit(None).cast("string"), "size": F.lit(1), "t": F.lit(None).cast("bigint")}), "id", "h", F.col("name"), "size", "t")
 store = SortedRuns.open(spark, folder) if first else SortedRuns(spark, folder)
 store.merge(batch)
 print("FOUND", sorted(map(tuple, store.check(batch).collect())))
