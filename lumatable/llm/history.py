@@ -290,3 +290,22 @@ def check_waiting(store: SortedRuns, arrived: DataFrame, step_rows: int = STEP_R
         release(batch)
     schema = "first_id bigint, repeat_id bigint"
     return spark.read.schema(schema).parquet(results) if ranges else spark.createDataFrame([], schema)
+
+
+def _sql() -> str:
+    from lumatable.plans.catalog import _seconds_sql
+
+    clean = f"""SELECT *, CASE WHEN cut <> '' AND rest <> '' AND (left(cut, 1) NOT IN ('_', '-') OR NOT regexp_matches(ltrim(cut, '_-'), '^[0-9]+$') OR regexp_matches(rest, '[0-9]')) THEN rest ELSE stem END || '.' || CASE ext WHEN 'jpeg' THEN 'jpg' WHEN 'tiff' THEN 'tif' ELSE ext END AS key
+FROM (SELECT *, rtrim(left(stem, length(stem) - length(cut))) AS rest FROM (SELECT *, regexp_extract(stem, '{_COPY.pattern}', 0) AS cut FROM
+(SELECT *, CASE WHEN contains(n, '.') THEN regexp_extract(n, '^(.*)\\.[^.]*$', 1, 's') ELSE n END AS stem, CASE WHEN contains(n, '.') THEN trim(regexp_extract(n, '\\.([^.]*)$', 1, 's')) ELSE '' END AS ext FROM
+(SELECT *, nullif(lower(nfc_normalize(trim(name))), '') AS n FROM rec))))"""
+    return f"""
+WITH rec AS (SELECT DISTINCT id, nullif(lower(trim(hash)), '') AS h, coalesce(original_filename, filename) AS name, size_bytes AS size, CAST({_seconds_sql('created_at')} AS BIGINT) AS t, false AS waits FROM images WHERE id IS NOT NULL
+  UNION ALL SELECT DISTINCT candidate_id, nullif(lower(trim(hash)), ''), filename, size_bytes, CAST({_seconds_sql('created_at')} AS BIGINT), true FROM import_candidates WHERE candidate_id IS NOT NULL),
+k AS ({clean}),
+p AS (SELECT a.id AS first_id, b.id AS repeat_id FROM k a JOIN k b ON a.h = b.h AND a.id < b.id WHERE b.waits
+  UNION ALL SELECT a.id, b.id FROM k a JOIN k b ON a.key = b.key AND a.id < b.id AND abs(a.t - b.t) <= {SECONDS} AND abs(a.size - b.size) * 100 <= greatest(a.size, b.size) * {SIZE_PERCENT} WHERE b.waits)
+SELECT min(first_id) AS first_id, repeat_id FROM p GROUP BY repeat_id"""
+
+
+SQL = {"p5_found": _sql}

@@ -15,4 +15,4 @@ QUERIES = {
     "p10_redacted": pii.redacted,
 }
 
-SQL: dict[str, str] = {name: text() for m in (percentiles, survivors) for name, text in m.SQL.items()}
+SQL: dict[str, str] = {name: text() for m in (percentiles, history, survivors) for name, text in m.SQL.items()}
