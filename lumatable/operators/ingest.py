@@ -98,6 +98,56 @@ def plan_destinations(files: DataFrame, taken: DataFrame, part_rows: int = PART_
     return placed.select("id", F.concat("head", number, "ext").alias("destination"))
 
 
+#: Values of a new image's columns where its file tells nothing.
+DEFAULTS = {"rating": 0, "flagged": 0, "color_label": 0, "hidden": False, "missing": False, "edited": False, "has_sidecar": False, "has_xcf": False, "orientation": 1}
+
+
+def with_defaults(rows: DataFrame) -> DataFrame:
+    """Rows of new images with the columns they lack or leave null filled in."""
+    return rows.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if c in rows.columns else F.lit(v) for c, v in DEFAULTS.items()})
+
+
+def accept(files: DataFrame, library: DataFrame, in_place: bool = False) -> DataFrame:
+    """(id, outcome) of files to import (id, path, filename, size_bytes, created_at, hash), tested from cheap to dear: `empty` without
+    bytes, `known` by path where files stay in place, `suspected` by name, size and moment, `duplicate` by content, of the library
+    or of a file of smaller id in this import, else `new`. Unread content is new."""
+    first = files.groupBy("id").agg(F.min(F.struct("path", "filename", "size_bytes", "created_at", "hash")).alias("f")).select("id", "f.*").where("id is not null")
+    paths = library.select("path").where("path is not null").distinct().withColumn("by_path", F.lit(True))
+    keys = library.select(F.lower(F.coalesce("original_filename", "filename")).alias("k_name"), F.col("size_bytes").alias("k_size"), F.col("created_at").alias("k_at")).where("k_at is not null").distinct().withColumn("by_key", F.lit(True))
+    keyed = first.withColumns({"k_name": F.lower("filename"), "k_size": F.col("size_bytes"), "k_at": F.col("created_at")})
+    cheap = materialize(keyed.join(paths, "path", "left").join(keys, ["k_name", "k_size", "k_at"], "left").select("id", F.lower("hash").alias("h"), F.when(F.col("size_bytes") <= 0, "empty").when(F.lit(in_place) & F.col("by_path"), "known").when(F.col("by_key"), "suspected").alias("outcome")), "to-read")
+    read = cheap.where("outcome is null and h is not null")
+    fresh = read.groupBy("h").agg(F.min("id").alias("id")).join(library.select(F.lower("hash").alias("h")).distinct(), "h", "left_anti").select("id", F.lit(True).alias("first"))
+    return cheap.join(fresh, "id", "left").select("id", F.coalesce("outcome", F.when(F.col("h").isNull() | F.col("first"), "new").otherwise("duplicate")).alias("outcome"))
+
+
+def import_files(library: DataFrame, batches: DataFrame, files: DataFrame, source: str, began: int, ended: int, in_place: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The library and the import log after an import: new files are rows with defaults, the import time and their shot's key, and the
+    log's row tells how many were new, already there, or could not be taken."""
+    from lumatable.operators import records
+
+    outcome = materialize(accept(files, library, in_place), "outcome")
+    n = {r.outcome: r.n for r in outcome.groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).collect()}  # five kinds at most
+    fresh = files.join(outcome.where("outcome = 'new'").select("id"), "id", "left_semi").dropDuplicates(["id"])
+    rows = with_defaults(fresh.join(group_map(fresh).withColumnRenamed("group_key", "group_hash"), "path", "left")).withColumns({"imported_at": F.lit(began).cast("bigint"), "format": S.format_of(F.col("path"))})
+    kept = [c for c in rows.columns if c in library.columns]
+    log = records.start_import(batches, source, began)
+    done = records.finish_import(log, records.next_id(batches), ended, n.get("new", 0), sum(n.get(k, 0) for k in ("known", "suspected", "duplicate")), n.get("empty", 0))
+    return library.unionByName(rows.select(*kept), allowMissingColumns=True), done
+
+
+def thumbnail_gaps(images: DataFrame, cached: DataFrame) -> DataFrame:
+    """(hash, id): content without a cached thumbnail (cached: hash), each once, with the smallest id that has it."""
+    return images.where("hash is not null and not coalesce(missing, false)").groupBy("hash").agg(F.min("id").alias("id")).join(cached.select("hash").distinct(), "hash", "left_anti")
+
+
+def adoptable(planned: DataFrame, there: DataFrame) -> DataFrame:
+    """Files whose planned place (id, destination, size_bytes, hash) already holds the same content (there: path, size_bytes, hash), so
+    that nothing need be copied: length first, then content."""
+    same = there.select(F.col("path").alias("destination"), "size_bytes", "hash").distinct()
+    return planned.join(same, ["destination", "size_bytes", "hash"], "left_semi").select("id", "destination")
+
+
 def relink(missing: DataFrame, found: DataFrame) -> DataFrame:
     """(id, path): missing files found elsewhere by name, size and content; each missing row and each found path is used once, in order."""
     key = ["k_name", "size_bytes", "hash"]

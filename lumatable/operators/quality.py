@@ -59,6 +59,11 @@ def with_reference(df: DataFrame, reference: DataFrame) -> DataFrame:
     return df.withColumns({c: F.lit(None if row is None else row[c]).cast("double") for c in REFERENCE})
 
 
+def scores(quality: DataFrame, value: str) -> DataFrame:
+    """(image_id, value) of the files that have it."""
+    return quality.where(F.col(value).isNotNull()).select("image_id", F.col(value).alias("value"))
+
+
 def aesthetic_rank(quality: DataFrame, value: float) -> DataFrame:
     return quality.agg(F.count_if(F.col("aesthetic") < value).alias("n_below"), F.count("aesthetic").alias("n_total"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lumatable.functions import scalars as S
 from lumatable.operators import edits, quality, reads, records, sidecars, timeline
 from lumatable.plans import catalog as C
-from lumatable.plans.core_queries import QUERIES, SQL, files_of, query, tables
+from lumatable.plans.core_queries import QUERIES, SQL, candidates, files_of, query, tables
 from lumatable.plans.filters import SmartQuery, Tables
 from lumatable.runtime import table
 
@@ -334,4 +334,32 @@ def _(s, d):
     return ingest.relink(imgs.where("missing"), moved)
 
 
+_CAND = f"ca AS (SELECT DISTINCT candidate_id AS id, path, filename, size_bytes, CAST({C._seconds_sql('created_at')} AS BIGINT) AS created_at, lower(hash) AS h FROM import_candidates WHERE candidate_id IS NOT NULL)"
+
+
+@query("import_outcomes", _CAND + ", k AS (SELECT DISTINCT lower(coalesce(original_filename, filename)) AS n, size_bytes AS z, created_at AS t FROM img WHERE created_at IS NOT NULL), o AS (SELECT ca.id, h, CASE WHEN size_bytes <= 0 THEN 'empty' WHEN path IN (SELECT path FROM img WHERE path IS NOT NULL) THEN 'known' WHEN EXISTS (SELECT 1 FROM k WHERE n = lower(filename) AND z = size_bytes AND t = ca.created_at) THEN 'suspected' END AS o FROM ca), f AS (SELECT min(id) AS id FROM o WHERE o IS NULL AND h IS NOT NULL AND h NOT IN (SELECT lower(hash) FROM img WHERE hash IS NOT NULL) GROUP BY h) SELECT id, coalesce(o, CASE WHEN h IS NULL OR id IN (SELECT id FROM f) THEN 'new' ELSE 'duplicate' END) AS outcome FROM o")
+def _(s, d):
+    from lumatable.operators import ingest
+
+    return ingest.accept(candidates(s, d), C.images(s, d), in_place=True)
+
+
+@query("thumbnail_gaps", "SELECT hash, min(id) AS id FROM img WHERE hash IS NOT NULL AND NOT coalesce(missing, false) AND hash NOT IN (SELECT hash FROM img WHERE has_thumbhash AND hash IS NOT NULL) GROUP BY hash")
+def _(s, d):
+    from lumatable.operators import ingest
+
+    rows = C.image_rows(s, d)
+    return ingest.thumbnail_gaps(rows, rows.where("has_thumbhash"))
+
+
+@query("eye_scores", "SELECT image_id, eye_sharpness AS value FROM q WHERE eye_sharpness IS NOT NULL", ("q",))
+def _(s, d):
+    return quality.scores(C.quality(s, d), "eye_sharpness")
+
+
+@query("aesthetic_scores", "SELECT image_id, aesthetic AS value FROM q WHERE aesthetic IS NOT NULL", ("q",))
+def _(s, d):
+    return quality.scores(C.quality(s, d), "aesthetic")
+
+
 __all__ = ["QUERIES", "SQL"]

@@ -8,7 +8,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
-from functools import reduce
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -135,15 +136,9 @@ def broadcast_within(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFra
     return (F.broadcast(df) if small else df), small
 
 
-def hot_keys(df: DataFrame, key: str, share: float = 0.01) -> DataFrame:
-    """Keys that hold more than `share` of all rows; at most 1 / `share` rows come out, which bounds their broadcast."""
-    least = max(1.0, df.count() * share)
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > least)
-
-
 def salted_lookup(facts: DataFrame, lookup: DataFrame, key: str, hot: DataFrame, salts: int = 32, spread: str | None = None) -> DataFrame:
     """Inner equi-join on `key` where `lookup` has one row a key: rows of a hot key are spread over `salts` tasks, and only
-    its lookup row is repeated. `hot` must be bounded (hot_keys). `spread` names a column to salt by, for a repeatable salt."""
+    its lookup row is repeated. `hot` must be bounded: keys of over a stated share of all rows. `spread` names a column to salt by, for a repeatable salt."""
     marks = F.broadcast(hot.select(F.col(key).alias("__hot")))
     by = F.pmod(F.xxhash64(F.col(spread)), F.lit(salts)) if spread else F.pmod(F.monotonically_increasing_id(), F.lit(salts))
     left = facts.join(marks, F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.when(F.col("__hot").isNotNull(), by).otherwise(F.lit(0)).cast("int")).drop("__hot")
@@ -155,5 +150,12 @@ def salted_lookup(facts: DataFrame, lookup: DataFrame, key: str, hot: DataFrame,
     return left.join(right, [key, "__salt"]).drop("__salt")
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)
+@contextmanager
+def cancellable(spark: SparkSession, what: str) -> Iterator[Callable[[], None]]:
+    """Gives a function that cancels the jobs started inside, from any thread; they end with an error there."""
+    context, tag = spark.sparkContext, f"{what}-{uuid.uuid4().hex}"
+    context.addJobTag(tag)
+    try:
+        yield lambda: context.cancelJobsWithTag(tag)
+    finally:
+        context.removeJobTag(tag)

@@ -1,13 +1,16 @@
 """Import, sidecars, edits, kernels, scalars, sources and the import stream on small cases with exact answers."""
 
 import sqlite3
+import threading
 
 import numpy as np
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from lumatable.functions import scalars as S
 from lumatable.operators import arrays, edits, ingest, sidecars
+from lumatable.runtime import cancellable
 from lumatable.sources.files import DigikamSource, FolderSource, ListSource, ShotwellSource
 from lumatable.streaming import ingest as stream
 
@@ -211,3 +214,30 @@ def test_stream_imports_each_hash_once(spark, tmp_path):
     run()
     got = rows(stream.accepted(spark, str(tmp_path / "out"), schema))
     assert got == [("h1", "/a"), ("h2", "/c"), ("h3", "/e"), (None, "/n")]  # rows without a hash stay, as in the batch import
+
+
+def test_an_import_from_files_to_log(spark):
+    schema = "id bigint, path string, filename string, original_filename string, size_bytes bigint, created_at bigint, hash string, rating int, group_hash string, imported_at bigint, format string"
+    library = spark.createDataFrame([(1, "/l/a.jpg", "a.jpg", "A.JPG", 10, 100, "H1", 3, None, 1, "JPEG")], schema)
+    log = spark.createDataFrame([], "id bigint, source string, started_at bigint, finished_at bigint, imported bigint, duplicates bigint, errors bigint, status string")
+    files = spark.createDataFrame(
+        [(10, "/l/a.jpg", "a.jpg", 99, None, "h9"), (11, "/c/a.jpg", "a.JPG", 10, 100, None), (12, "/c/b.jpg", "b.jpg", 5, 7, "h1"), (13, "/c/c.jpg", "c.jpg", 5, 7, "h2"), (14, "/c/d.jpg", "d.jpg", 6, 8, "H2"), (15, "/c/e.jpg", "e.jpg", 0, 8, "h3"), (16, "/c/c.orf", "c.orf", 50, 7, None), (16, "/c/c.orf", "c.orf", 50, 7, None)],
+        "id bigint, path string, filename string, size_bytes bigint, created_at bigint, hash string",
+    )
+    assert dict(rows(ingest.accept(files, library, in_place=True))) == {10: "known", 11: "suspected", 12: "duplicate", 13: "new", 14: "duplicate", 15: "empty", 16: "new"}
+    assert dict(rows(ingest.accept(files, library)))[10] == "new" and ingest.accept(files.limit(0), library).count() == 0
+    after, done = ingest.import_files(library, log, files, "/c", 500, 501, in_place=True)
+    new = {r.id: r for r in after.collect()}
+    assert set(new) == {1, 13, 16} and new[13].rating == 0 and new[13].imported_at == 500 and new[16].format == "RAW_ORF" and new[13].group_hash == new[16].group_hash is not None
+    assert rows(done) == [(1, "/c", 500, 501, 2, 4, 1, "complete")]
+    assert rows(ingest.thumbnail_gaps(after.withColumn("missing", F.lit(False)), spark.createDataFrame([("H1",)], "hash string"))) == [("h2", 13)]
+    planned = spark.createDataFrame([(1, "/p/x", 5, "h"), (2, "/p/y", 5, "h")], "id bigint, destination string, size_bytes bigint, hash string")
+    assert rows(ingest.adoptable(planned, spark.createDataFrame([("/p/x", 5, "h"), ("/p/y", 6, "h")], "path string, size_bytes bigint, hash string"))) == [(1, "/p/x")]
+
+
+def test_jobs_can_be_cancelled(spark):
+    with cancellable(spark, "count") as cancel:
+        threading.Timer(2, cancel).start()
+        with pytest.raises(Exception, match="(?i)cancel"):
+            spark.range(10**12).agg(F.max(F.xxhash64("id"))).collect()
+    assert spark.range(3).count() == 3
