@@ -100,6 +100,7 @@ _PART = r"(?i:van der|van den|van|von der|von|de la|de los|de las|del|de|den|der
 _WORD = r"\p{Lu}(?:[\p{L}\p{M}]|'(?=\p{Lu}))+"
 _SUR = rf"(?:{_PART}){{0,2}}{_WORD}(?:-{_WORD})?"
 _GIV = r"\p{Lu}[\p{L}\p{M}]+(?:-\p{Lu}[\p{L}\p{M}]+)?"
+_FIRM = re.compile(NAME_BEFORE, re.IGNORECASE)
 _TITLE = re.compile(rf"(?:{TITLES})\.?", re.IGNORECASE)
 NAME_FORMS = [
     ("given", regex.compile(rf"(?<![\p{{L}}\p{{N}}_@.'-])(?P<g>{_GIV}(?: {_GIV}){{0,1}}?)(?P<i>(?: \p{{Lu}}\.){{0,2}}) (?P<s>{_SUR})(?![\p{{L}}\p{{N}}_@])", regex.V1)),
@@ -267,8 +268,8 @@ def names(text: str, lex: Lexicon, mails: set[str]) -> Iterable[Candidate]:
                 continue
             if form == "given" and not lex.is_given(words[0]) and (lex.lower[words[0].lower()] > COMMON_FIRST or lex.lower[m["s"].split()[-1].lower()] > COMMON_LAST):
                 continue  # words of running text that begin a sentence
-            if form == "given" and _TITLE.fullmatch(words[0]):
-                continue
+            if form == "given" and (_TITLE.fullmatch(words[0]) or (_FIRM.fullmatch(words[0]) and not lex.is_given(words[0]))):
+                continue  # a title belongs to no name, and a word of firms begins one of theirs
             if form == "comma" and not (lex.is_given(words[0]) or "." in given or lex.name_like(words[0]) > 0):
                 continue
             if (start, end) not in seen:
