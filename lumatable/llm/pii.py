@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumatable.llm.boosting import BoostedTrees, Platt
-from lumatable.llm.pii_candidates import GIVEN, KINDS, LEAST, RATE_TEXTS, Candidate, Lexicon, candidates, plain
+from lumatable.llm.pii_candidates import AT_START, GIVEN, KINDS, KNOWN, LEAST, RATE_TEXTS, Candidate, Lexicon, candidates, plain
 from lumatable.llm.pii_seeds import OTHER_GIVEN, frames, made
 from lumatable.runtime import materialize, ship, spread, table
 
@@ -91,16 +91,22 @@ _ORDER = {"email": 0, "address": 1, "id_number": 2, "phone": 3, "name": 4}
 
 
 def _without_overlaps(kept: list[tuple[float, Candidate]]) -> list[Candidate]:
-    """The best of overlapping spans: by kind first, as a mail address holds a name and an address a number, then by score, where each further word counts a tenth."""
+    """The best of overlapping spans: by kind first, as a mail address holds a name and an address a number, then by score, where each further word counts a tenth,
+    unless the first one may only begin the sentence."""
     out: list[Candidate] = []
     taken: list[tuple[int, int]] = []
-    for _, c in sorted(kept, key=lambda x: (_ORDER[x[1].kind], (x[1].start - x[1].end) if x[1].kind == "address" else -(x[0] + 0.1 * x[1].text.count(" ")), x[1].start - x[1].end, x[1].start)):
+    for _, c in sorted(kept, key=lambda x: (_ORDER[x[1].kind], (x[1].start - x[1].end) if x[1].kind == "address" else -(x[0] + 0.1 * x[1].text.count(" ") * _begins_well(x[1])), x[1].start - x[1].end, x[1].start)):
         if all(c.end <= a or c.start >= b for a, b in taken):
             taken.append((c.start, c.end))
             out.append(c)
     return sorted(out, key=lambda c: c.start)
 
 
+def _begins_well(c: Candidate) -> bool:
+    """Whether the first word of a name is a known given name, or does not begin a sentence."""
+    return c.kind != "name" or bool(c.features[KNOWN]) or not c.features[AT_START]
+
+
 def _matrix(found: list[Candidate]) -> np.ndarray:
     return np.array([c.features for c in found], dtype=float)
 

@@ -230,6 +230,10 @@ class Lexicon:
         return min(5, self.ends[e]) - min(5, self.other_ends[e] / 4)
 
 
+#: Places of two of a name's features: whether its first word is a known given name, and whether it begins a sentence.
+KNOWN, AT_START = 0, 27
+
+
 def names(text: str, lex: Lexicon, mails: set[str]) -> Iterable[Candidate]:
     seen: set[tuple[int, int]] = set()
 

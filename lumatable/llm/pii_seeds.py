@@ -31,11 +31,11 @@ GOOD = {
         "{n} carried the reflector all afternoon.", "Last week {n} brought the spare lenses.", "The tripod belongs to {n}.", "We owe the idea to {n}.", "Later {n} walked back to the car.", "Ask {n} about the missing card.",
         "{n} will collect the prints soon.", "Sitting on the bench is {n}.", "{n}'s wedding gallery is online.", "The girl in the blue coat is {n}.", "A letter from {n} arrived.", "Please credit {n} for the cover.",
         "Portrait session with {n}, window light.", "Invoice for {n}, two retouches.", "Mrs {n} asked for a larger print.", "Dr. {n} opened the show.", "© {n} 2019", "(photo {n})", "In the middle stands {n}, smiling.",
-        "The release was returned by {n} yesterday.", "Many thanks to {n} for the chairs.", "Names: {n} and {n}.", "{n} and {n} held the ladder.", "Caption as given: {n}. The rest is cropped.", "please call {n} before noon", "Yesterday {n} came along.", "Afterwards {n} locked the studio.", "Perhaps {n} has the charger.", "Meanwhile {n} moved the light.", "Today {n} is second camera.", "I guess {n} shot it.",
+        "The release was returned by {n} yesterday.", "Many thanks to {n} for the chairs.", "Names: {n} and {n}.", "{n} and {n} held the ladder.", "Caption as given: {n}. The rest is cropped.", "please call {n} before noon", "Yesterday {n} came along.", "Afterwards {n} locked the studio.", "Perhaps {n} has the charger.", "Meanwhile {n} moved the light.", "Today {n} is second camera.", "I guess {n} shot it.", "Written on the sleeve: {n} The mount is loose.", "People in the frame: {n} Next roll starts at dusk.", "signed on the mat: {n} TWO COPIES EXIST.",
     ),
-    "de": ("{n} hielt den Schirm.", "Gestern brachte {n} die Objektive.", "Das Stativ gehört {n}.", "Frau {n} möchte einen größeren Abzug.", "Herr {n} ruft später an.", "Rechnung an {n}, zwei Retuschen.", "Auf der Bank sitzt {n}.", "Das Mädchen im Mantel heißt {n}.", "Aufnahme von {n}, Fensterlicht.", "In der Mitte steht {n}."),
-    "fr": ("{n} tenait le réflecteur.", "Le trépied appartient à {n}.", "Hier {n} a rapporté les objectifs.", "Madame {n} voudrait un tirage.", "Merci de citer {n}.", "Facture pour {n}, deux retouches.", "Assise sur le banc, {n} sourit.", "Une lettre de {n} est arrivée.", "Portrait de {n}, lumière douce."),
-    "es": ("{n} sujetaba el reflector.", "El trípode es de {n}.", "Ayer {n} trajo los objetivos.", "La señora {n} quiere una copia.", "Hay que citar a {n}.", "Factura para {n}, dos retoques.", "Sentada en el banco está {n}.", "Llegó una carta de {n}.", "Retrato de {n}, luz suave."),
+    "de": ("{n} hielt den Schirm.", "Gestern brachte {n} die Objektive.", "Das Stativ gehört {n}.", "Frau {n} möchte einen größeren Abzug.", "Herr {n} ruft später an.", "Rechnung an {n}, zwei Retuschen.", "Auf der Bank sitzt {n}.", "Das Mädchen im Mantel heißt {n}.", "Aufnahme von {n}, Fensterlicht.", "In der Mitte steht {n}.", "Auf der Hülle: {n} Das Passepartout ist lose."),
+    "fr": ("{n} tenait le réflecteur.", "Le trépied appartient à {n}.", "Hier {n} a rapporté les objectifs.", "Madame {n} voudrait un tirage.", "Merci de citer {n}.", "Facture pour {n}, deux retouches.", "Assise sur le banc, {n} sourit.", "Une lettre de {n} est arrivée.", "Portrait de {n}, lumière douce.", "Au dos du cadre : {n} Le verre est fendu."),
+    "es": ("{n} sujetaba el reflector.", "El trípode es de {n}.", "Ayer {n} trajo los objetivos.", "La señora {n} quiere una copia.", "Hay que citar a {n}.", "Factura para {n}, dos retoques.", "Sentada en el banco está {n}.", "Llegó una carta de {n}.", "Retrato de {n}, luz suave.", "En el sobre: {n} El marco está suelto."),
 }
 FORMS = (
     "\nName: {n}\nPhone: {p}\nE-mail: {e}\nID no.: {i}\nAddress: {a}\n", "\nVor- und Nachname | {n}\nTelefon | {p}\nE-Mail | {e}\nAusweis-Nr. | {i}\nAnschrift | {a}\n", "\nNom et prénom = {n}\nTéléphone = {p}\nCourriel = {e}\nPièce n° = {i}\nAdresse = {a}\n",
